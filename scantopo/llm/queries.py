@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scantopo.llm import langid, licenses, mixing, secrets
+from scantopo.llm import decontaminate, langid, licenses, mixing, secrets, warc
 from scantopo.llm._text import id_text, materialise
 
 
@@ -15,6 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return r.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    path = warc.write(pages, warc.scratch(spark))
+    captures = materialise(warc.assemble(warc.read(spark, path, payloads=False)))
+    r = F.col("response")
+    return warc.resolve(captures, pages.schema["page_id"].dataType.simpleString()).select("page_id", r["payload_bytes"].alias("payload_bytes"), r["payload_digest"].alias("payload_digest"), r["type"].alias("record_type"), "refers_to")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     d = materialise(d.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")))
@@ -54,9 +67,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": op2_decontaminate,
+    "op3_warc": op3_warc,
     "op5_mixing": op5_mixing,
     "op6_langid": op6_langid,
     "op8_secrets": op8_secrets,
     "op10_licenses": op10_licenses,
 }
-ORACLES: dict[str, str] = {"op5_mixing": mixing.ORACLE.format(table="documents")}
+ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE, "op3_warc": warc.ORACLE, "op5_mixing": mixing.ORACLE.format(table="documents")}
