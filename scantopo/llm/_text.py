@@ -112,7 +112,8 @@ class Words:
         self.first = np.searchsorted(self.start, self.text_start)
         self.count = np.diff(self.first)
         self.text = np.repeat(np.arange(len(texts)), self.count)
-        self.hash = span_hash(prefix(low, BYTE_BASE), self.start, self.end, BYTE_BASE) if len(self.start) else np.empty(0, U)
+        self.base, self.sums = BYTE_BASE, prefix(low, BYTE_BASE)
+        self.hash = span_hash(self.sums, self.start, self.end, BYTE_BASE) if len(self.start) else np.empty(0, U)
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Indexes of the first words of the n-word shingles inside one text, and their hashes."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scantopo.llm import decontaminate, langid, licenses, mixing, secrets, warc
+from scantopo.llm import decontaminate, langid, licenses, mixing, neighbours, secrets, toxicity, warc
 from scantopo.llm._text import id_text, materialise
 
 
@@ -28,6 +28,13 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve(captures, pages.schema["page_id"].dataType.simpleString()).select("page_id", r["payload_bytes"].alias("payload_bytes"), r["payload_digest"].alias("payload_digest"), r["type"].alias("record_type"), "refers_to")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = langid.held_out(F.col("doc_id"), 5, 0)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~out)
+    r = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), labels, keep=["doc_id"])
+    return r.select("doc_id", out.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"), F.col("toxic_evidence").alias("evidence"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     d = materialise(d.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")))
@@ -54,6 +61,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(_spans(base), 256).alias("base_sha256"), _spans(F.col("secret_spans")).alias("spans"), n("novel").alias("n_novel"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = licenses.scan(table(spark, sf_dir, "documents"))
     base = F.filter("hits", lambda h: h["kind"] == "base")
@@ -69,9 +80,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_warc": op3_warc,
+    "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op6_langid": op6_langid,
     "op8_secrets": op8_secrets,
+    "op9_neighbours": op9_neighbours,
     "op10_licenses": op10_licenses,
 }
 ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE, "op3_warc": warc.ORACLE, "op5_mixing": mixing.ORACLE.format(table="documents")}
