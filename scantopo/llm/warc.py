@@ -21,7 +21,7 @@ DATE = "2024-01-01T00:00:00Z"
 LEAST = 0
 #: Groups of equal payloads up to which their list is broadcast; beyond it is joined.
 BROADCAST_GROUPS = 50_000
-CAPTURES_A_FILE = 2_000
+CAPTURES_A_FILE = 1_000
 _END = "\r\n"
 
 
@@ -40,16 +40,18 @@ def record_id(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
-def _record(kind: str | Column, ident: Column, target: Column, media: str, extra: list[tuple[str, Column]], block: Column) -> Column:
-    """A record without the two line ends that close it; headers whose value is null are left out."""
+def _record(kind: str | Column, ident: Column, target: Column, media: str, extra: list[tuple[str, Column]], block: Column, body: Column | None = None, body_bytes: Column | None = None) -> Column:
+    """A record without the two line ends that close it; headers whose value is null are left out. The block is
+    ``block``, then ``body``, whose length is given so that a long text is put together once."""
     fields = [("WARC-Type", F.lit(kind) if isinstance(kind, str) else kind), ("WARC-Record-ID", ident), ("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", target)]
-    fields += [*extra, ("Content-Type", F.lit(media)), ("Content-Length", F.octet_length(block).cast("string"))]
+    fields += [*extra, ("Content-Type", F.lit(media)), ("Content-Length", (F.octet_length(block) + (F.lit(0) if body_bytes is None else body_bytes)).cast("string"))]
     lines = [F.coalesce(F.concat(F.lit(f"{k}: "), v, F.lit(_END)), F.lit("")) for k, v in fields]
-    return F.concat(F.lit(f"WARC/1.1{_END}"), *lines, F.lit(_END), block)
+    return F.concat(F.lit(f"WARC/1.1{_END}"), *lines, F.lit(_END), block, *([] if body is None else [body]))
 
 
 def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """One row (warc string) for each record: request, response or revisit, and metadata of each row of ``pages``.
+    """One row (warc string) for each row of ``pages``: its request, response or revisit, and metadata records, with
+    the two line ends between them that close a record, and none after the last.
 
     Of equal payloads of at least ``least`` bytes, the row with the largest page_id is the response (all of them, where
     that page_id repeats; a null page_id counts as least), the others revisit it. Groups of one are never listed, so
@@ -73,27 +75,28 @@ def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
     about = F.concat(F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit(_END)), F.lit("")), F.lit("via: table"), F.lit(_END))
     revisit = lambda c: F.when(again, c)
     uri = F.col("uri")
-    three = F.array(
+    warc = F.concat_ws(
+        _END * 2,
         _record("request", request, uri, "application/http;msgtype=request", [], ask),
         _record(
             F.when(again, F.lit("revisit")).otherwise(F.lit("response")), response, uri, "application/http;msgtype=response",
             [
                 ("WARC-Concurrent-To", request), ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
                 ("WARC-Profile", revisit(F.lit(PROFILE))), ("WARC-Refers-To", revisit(record_id(F.lit("response"), first, F.col("digest")))),
-            ], F.when(again, http).otherwise(F.concat(http, F.col("html"))),
+            ], http, F.when(again, F.lit("")).otherwise(F.col("html")), F.when(again, F.lit(0)).otherwise(F.col("n")),
         ),
         _record("metadata", record_id(F.lit("metadata"), F.col("cap").cast("string")), uri, "application/warc-fields", [("WARC-Concurrent-To", request)], about),
     )
-    return p.select(F.explode(three).alias("warc"))
+    return p.select(warc.alias("warc"))
 
 
 def write(pages: DataFrame, path: str, least: int = LEAST) -> str:
     """Writes ``pages`` as gzipped WARC files under ``path`` and returns it.
 
     Spark's writer puts them there, so that any store it knows will do, a lost task is run again, and only whole files
-    of finished tasks show. The line end of its text format is the two line ends that close each record.
+    of finished tasks show. The line end of its text format is the two line ends that close the last record of a row.
     """
-    how = records(pages, least).write.option("lineSep", _END * 2).option("compression", "gzip").option("maxRecordsPerFile", 3 * CAPTURES_A_FILE)
+    how = records(pages, least).write.option("lineSep", _END * 2).option("compression", "gzip").option("maxRecordsPerFile", CAPTURES_A_FILE)
     how.mode("overwrite").text(path)
     return path
 
