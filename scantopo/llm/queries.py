@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scantopo.llm import decontaminate, langid, licenses, mixing, neighbours, repeats, secrets, toxicity, warc
+from scantopo.llm import decontaminate, langid, licenses, mixing, nearcopies, neighbours, repeats, secrets, toxicity, warc
 from scantopo.llm._text import id_text, materialise
 
 
@@ -56,6 +56,12 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_margin").alias("margin"), F.col("lang_rejected").alias("rejected"))
 
 
+def op7_nearcopies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = materialise(nearcopies.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]))
+    sizes = c.groupBy("near_class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return c.join(sizes, "near_class").select("doc_id", "class_id", "class_size")
+
+
 def _spans(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op6_langid": op6_langid,
+    "op7_nearcopies": op7_nearcopies,
     "op8_secrets": op8_secrets,
     "op9_neighbours": op9_neighbours,
     "op10_licenses": op10_licenses,
