@@ -8,12 +8,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scantopo.llm._text import id_text
 
-#: Documents and bytes a language's dictionary is made of, at most: the bounded sample of labelled rows.
+#: Documents (about) and bytes (at most) that a language's dictionary is made of: the bounded sample of labelled rows.
 SAMPLE, DICT_BYTES, SHARE = 600, 96 << 10, 512
 #: Texts are compressed in pieces, so that a long text is judged by the dictionary and not by its own beginning.
 PIECE = 768
@@ -36,16 +36,16 @@ def held_out(doc_id: Column, mod: int = 3, rest: int = 1) -> Column:
 def dictionaries(docs: DataFrame, sample: int = SAMPLE, size: int = DICT_BYTES) -> dict[str, bytes]:
     """Raw-content dictionaries of the languages in ``docs`` (doc_id, text, lang), from rows with text and lang.
 
-    The sample is the ``sample`` rows of each language with the least digests of their doc_id; of each, about SHARE
-    bytes of its middle, so that no long document fills a dictionary. The ranking reads no text: the texts of the chosen
-    rows alone come by a join against their ids, of which there are ``sample`` a language.
+    The sample is the rows whose digest of doc_id, as a number in [0, 1), is under ``sample`` by the rows of their
+    language: about ``sample`` rows, chosen without ranking. Of each, about SHARE bytes of its middle, so that no long
+    document fills a dictionary. The counts read no text; one short row a language goes to the executors.
     """
-    named = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("_h", F.xxhash64(F.lit("langid"), id_text(F.col("doc_id"))))
-    w = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    best = named.select("doc_id", "lang", "_h").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= sample)
-    bound = best.groupBy("lang").agg(F.max("_h").alias("_m"))
+    named = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rate = named.groupBy("lang").agg((F.lit(float(sample)) / F.count(F.lit(1))).alias("_rate"))
+    h = F.xxhash64(F.lit("langid"), id_text(F.col("doc_id")))
+    part = F.pmod(h, F.lit(1 << 30)) / F.lit(float(1 << 30))
     mid = F.greatest(F.lit(1), F.floor(F.length("text") / 2 - SHARE / 2).cast("int"))
-    rows = named.join(F.broadcast(bound), "lang").filter(F.col("_h") <= F.col("_m")).select("lang", "_h", F.substring("text", mid, F.lit(SHARE)).alias("t"))
+    rows = named.withColumn("_h", h).withColumn("_part", part).join(F.broadcast(rate), "lang").filter("_part < _rate").select("lang", "_h", F.substring("text", mid, F.lit(SHARE)).alias("t"))
     out: dict[str, bytes] = {}
     for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["_h"], r["t"])):
         out[r["lang"]] = out.get(r["lang"], b"") + normal(r["t"]) + b" "
