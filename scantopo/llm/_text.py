@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import functools
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,29 +46,33 @@ def id_text(doc_id: Column) -> Column:
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64 (fixed values), over uint64 with wrap-around."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-@functools.lru_cache(maxsize=8)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n, n a power of two."""
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.empty(n, U)
-        p[0] = 1
-        k = 1
-        while k < n:
-            p[k : 2 * k] = p[:k] * U(pow(b, k, 1 << 64))
-            k *= 2
-        out.append(p)
-    return out[0], out[1]
+    y = x >> U(30)
+    y ^= x
+    y *= U(0xBF58476D1CE4E5B9)
+    z = y >> U(27)
+    y ^= z
+    y *= U(0x94D049BB133111EB)
+    np.right_shift(y, U(31), out=z)
+    y ^= z
+    return y
+
+
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n - 1).bit_length() if n > 1 else 0)
-    return _powers(base, size)
+    """base**i and base**-i modulo 2**64 for i < n at least; the longest so far are kept."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        size, out = 1 << max(16, int(n - 1).bit_length()), []
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.empty(size, U)
+            p[0], k = 1, 1
+            while k < size:
+                p[k : 2 * k] = p[:k] * U(pow(b, k, 1 << 64))
+                k *= 2
+            out.append(p)
+        _POWERS[base] = out[0], out[1]
+    return _POWERS[base]
 
 
 def prefix(values: np.ndarray, base: int) -> np.ndarray:
@@ -75,7 +80,8 @@ def prefix(values: np.ndarray, base: int) -> np.ndarray:
     fwd, _ = powers(base, len(values) + 1)
     s = np.empty(len(values) + 1, U)
     s[0] = 0
-    np.cumsum(values.astype(U) * fwd[: len(values)], out=s[1:])
+    np.multiply(values, fwd[: len(values)], out=s[1:], dtype=U, casting="unsafe")
+    np.cumsum(s[1:], out=s[1:])
     return s
 
 
@@ -92,10 +98,24 @@ WORD[0x41:0x5B] = np.arange(0x61, 0x7B)
 WORD[0x80:] = np.arange(0x80, 0x100)
 
 
-def encode(texts: Iterable[str | bytes | None]) -> list[bytes]:
+def encode(texts: pa.Array | Iterable[str | bytes | None]) -> list[bytes]:
+    """Texts as UTF-8, null as empty; a column of Arrow strings is read as it lies, without decoding."""
+    if isinstance(texts, pa.Array):
+        return [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
     return [t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass") for t in (b"" if t is None else t for t in texts)]
 
 
+def slices(col: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Ranges of rows of about ``limit`` bytes with their texts, so that memory is bounded beyond one text."""
+    col = col.cast(pa.binary())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    lo = 0
+    while lo < len(col):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, "right")))
+        yield lo, hi, encode(col.slice(lo, hi - lo))
+        lo = hi
+
+
 class Words:
     """The words of a list of texts: byte spans in one buffer, the text each is of, and 64-bit hashes."""
 
@@ -126,15 +146,3 @@ class Words:
 
     def words_of(self, lo: int, hi: int) -> list[bytes]:
         return [self.buffer[self.start[i] : self.end[i]].lower() for i in range(lo, hi)]
-
-
-def chunks(texts: list[bytes], limit: int = 4 << 20) -> Iterable[tuple[int, int]]:
-    """Index ranges of about ``limit`` bytes each, so that vectorised work has bounded memory beyond one text."""
-    lo, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t) + 1
-        if size >= limit:
-            yield lo, i + 1
-            lo, size = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)

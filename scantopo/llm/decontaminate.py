@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scantopo.llm._text import Words, chunks, encode, materialise
+from scantopo.llm._text import Words, encode, materialise, slices
 
 #: Words of a window and of the shingles by which windows are found.
 WINDOW, SHINGLE = 13, 5
@@ -28,7 +28,7 @@ def windows(bench: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            w = Words(encode(b.column(1).to_pylist()))
+            w = Words(encode(b.column(1)))
             grams = {n: dict(zip(*(x.tolist() for x in w.grams(n)), strict=True)) for n in range(1, shingle + 1)}
             out: list[dict] = []
             for i, item in enumerate(b.column(0).to_pylist()):
@@ -73,9 +73,8 @@ def rarity(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.unpackbits(shared.value).astype(bool)
         for b in batches:
-            texts = encode(b.column(0).to_pylist())
-            for lo, hi in chunks(texts):
-                w = Words(texts[lo:hi])
+            for _, _, texts in slices(b.column(0)):
+                w = Words(texts)
                 h, n = np.unique(np.concatenate([_passing(w, s, own)[1] for s in sizes]), return_counts=True)
                 if len(h):
                     yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["h", "n"])
@@ -93,10 +92,9 @@ def occurrences(docs: DataFrame, keep: list[Column], bits: np.ndarray, sizes: li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.unpackbits(shared.value).astype(bool)
         for b in batches:
-            texts = encode(b.column(0).to_pylist())
-            counts, found = np.zeros(len(texts), np.int64), [[] for _ in texts]
-            for lo, hi in chunks(texts):
-                w = Words(texts[lo:hi])
+            counts, found = np.zeros(b.num_rows, np.int64), [[] for _ in range(b.num_rows)]
+            for lo, hi, texts in slices(b.column(0)):
+                w = Words(texts)
                 counts[lo:hi] = w.count
                 for s in sizes:
                     for at, h in zip(*(x.tolist() for x in _passing(w, s, own)), strict=True):

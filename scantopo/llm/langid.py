@@ -40,7 +40,7 @@ def dictionaries(docs: DataFrame, sample: int = SAMPLE, size: int = DICT_BYTES)
     language: about ``sample`` rows, chosen without ranking. Of each, about SHARE bytes of its middle, so that no long
     document fills a dictionary. The counts read no text; one short row a language goes to the executors.
     """
-    named = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    named = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rate = named.groupBy("lang").agg((F.lit(float(sample)) / F.count(F.lit(1))).alias("_rate"))
     h = F.xxhash64(F.lit("langid"), id_text(F.col("doc_id")))
     part = F.pmod(h, F.lit(1 << 30)) / F.lit(float(1 << 30))

@@ -166,7 +166,7 @@ def scan(docs: DataFrame, notices: dict[str, str] = NOTICES) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = []
-            for t in encode(b.column(1).to_pylist()):
+            for t in encode(b.column(1)):
                 x = scan_text(t, pairs)
                 base, more = sum(h[0] == "base" for h in x["hits"]), sum(h[0] == "notice" for h in x["hits"])
                 found.append(x | {"score": confidence(base, more, len(x["expressions"]))})

@@ -54,8 +54,10 @@ def mix(docs: DataFrame, size: Column, order: Column, weights: tuple[int, ...] =
     holds a third of all rows, or one size that does, is spread over 256 cells, and no window sees more than one cell.
 
     Rows with null source form the last source. Null or empty texts have size 0 and take 0 words. Rows that repeat are
-    rows of their own. An empty table gives an empty table. Columns of ``docs`` are kept as they are.
+    rows of their own. An empty table gives an empty table. Columns of ``docs`` are kept as they are, but for those
+    named mix_..., which are replaced.
     """
+    docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
     b = docs.withColumns({"mix_size": size, "mix_s": source_key(F.col("source")), "mix_k": F.md5(order)}).withColumn("mix_b", F.substring("mix_k", 1, 2))
     cell = b.groupBy("mix_s", "mix_size", "mix_b").agg(F.count(F.lit(1)).alias("n"))
     by_size = cell.groupBy("mix_s", "mix_size").agg(F.sum("n").alias("n"))
@@ -76,7 +78,7 @@ def mix(docs: DataFrame, size: Column, order: Column, weights: tuple[int, ...] =
 
 def emit(mixed: DataFrame) -> DataFrame:
     """One row for each copy, numbered from 1 in column ``copy``; rows without a copy go."""
-    columns = [c for c in mixed.columns if not c.startswith("mix_")]
+    columns = [f"`{c}`" for c in mixed.columns if not c.startswith("mix_") and c != "copy"]
     return mixed.filter("mix_copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("copy"))
 
 

@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scantopo.llm._text import BYTE_BASE, U, encode, materialise, prefix, span_hash, text_key
+from scantopo.llm._text import BYTE_BASE, U, encode, materialise, mix64, powers, prefix, slices, span_hash, text_key
 
 LENGTH, GRAM = 200, 32
 #: Longer texts are read in overlapping pieces of this many suffixes, so that memory is bounded.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Different contexts of one gram up to which one task sorts them; windows of more are counted one by one.
 HOT_CONTEXTS = 20_000
 SORT_BYTES = 4 << 20
@@ -70,10 +70,13 @@ def pieces(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, byt
 def segments(parts: list[tuple[int, int, bytes]], length: int = LENGTH, gram: int = GRAM) -> Segments:
     buffer = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
     sums = prefix(buffer.astype(np.uint16) + np.uint16(1), BYTE_BASE)
-    begin = np.arange(len(buffer) - gram + 1)
-    g = span_hash(sums, begin, begin + gram, BYTE_BASE)
+    count = len(buffer) - gram + 1
+    g = sums[gram:] - sums[:count]
+    g *= powers(BYTE_BASE, len(sums))[1][:count]
+    g = mix64(g)
     span = length - gram + 1
-    least, done = g, 1
+    rank = (g >> U(32)).astype(np.uint32)  # half the digest is enough to choose by
+    least, done = rank, 1
     while done < span:  # least of windows of 2, 4, 8, ... and at last of ``span``
         step = min(done, span - done)
         least = np.minimum(least[:-step], least[step:])
@@ -81,20 +84,20 @@ def segments(parts: list[tuple[int, int, bytes]], length: int = LENGTH, gram: in
     sizes = np.array([len(p[2]) for p in parts])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     # suffixes that have ``length`` bytes within their piece
-    valid = np.zeros(len(buffer) + 1, np.int8)
-    np.add.at(valid, starts, 1)
-    np.add.at(valid, starts + sizes - length + 1, -1)
-    valid = np.cumsum(valid[:-1])[: len(least)] > 0
-    new = valid.copy()
-    new[1:] &= (least[1:] != least[:-1]) | (g[: len(least) - 1] == least[:-1])  # another value, or its place has gone by
-    new[starts] = valid[starts]
+    new = np.empty(len(least), bool)
+    new[0] = True
+    np.not_equal(least[1:], least[:-1], out=new[1:])  # another value,
+    new[1:] |= rank[: len(least) - 1] == least[:-1]  # or its place has gone by
+    new[starts] = True
+    for edge in (starts[1:]).tolist():
+        new[edge - length + 1 : edge] = False
     at = np.flatnonzero(new)
     piece = np.searchsorted(starts, at, "right") - 1
     n = np.minimum(np.append(at[1:], len(buffer)), (starts + sizes - length + 1)[piece]) - at
     offset = np.empty(len(at), np.int64)
     for i in range(0, len(at), 4096):
         a = at[i : i + 4096]
-        offset[i : i + 4096] = np.argmax(g[a[:, None] + np.arange(span)] == least[a][:, None], axis=1)
+        offset[i : i + 4096] = np.argmax(rank[a[:, None] + np.arange(span)] == least[a][:, None], axis=1)
     context = span_hash(sums, at, at + n - 1 + length, BYTE_BASE)
     where = np.array([(p[0], p[1]) for p in parts])
     return Segments(buffer, sums, where[piece, 0], at, at - starts[piece] + where[piece, 1], n, g[at + offset].view(np.int64), context.view(np.int64), offset)
@@ -111,14 +114,23 @@ def repeated(raw: bytes, start: np.ndarray, n: np.ndarray, key: np.ndarray, leng
     word = np.zeros(len(raw) + 1, U)
     for i in range(8):
         word = (word << U(8)) | digits[i : i + len(raw) + 1].astype(U)
-    live, group = np.arange(total), key
-    for depth in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
-        digit = word[pos[live] + depth]
-        order = np.lexsort((digit, group))
-        live, group, digit = live[order], group[order], digit[order]
+    live = np.argsort(key, kind="stable")
+    group = key[live]
+    for depth in [None, *range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
+        digit = np.zeros(len(live), U) if depth is None else word[pos[live] + depth]
+        if depth is not None:
+            same = digit == digit[np.flatnonzero(first)][group]
+            if same.all():
+                continue
+            split = np.zeros(len(live), bool)
+            split[group[~same]] = True
+            at = np.flatnonzero(split[group])  # only groups whose digits differ need sorting
+            order = at[np.lexsort((digit[at], group[at]))]
+            live[at], digit[at] = live[order], digit[order]
         new = np.r_[True, (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])] if len(live) else np.empty(0, bool)
         several = ~(new & np.r_[new[1:], True]) if len(live) else new
-        live, group = live[several], np.cumsum(new)[several]
+        live, first = live[several], new[several]
+        group = np.cumsum(first) - 1
         if not len(live):
             break
     out = np.zeros(total, bool)
@@ -129,19 +141,24 @@ def repeated(raw: bytes, start: np.ndarray, n: np.ndarray, key: np.ndarray, leng
 _FLAG = "gram long, context long, k1 long, k2 long"
 
 
-def find(docs: DataFrame, length: int = LENGTH, hot: int = HOT_CONTEXTS) -> DataFrame:
+def find(keyed: DataFrame, carry: list[str], length: int = LENGTH, hot: int = HOT_CONTEXTS) -> DataFrame:
     """(k1, k2, whole array<long>, part array<struct<context, lo, hi>>): for each text with repeats, by its key, the
-    contexts all of whose suffixes occur twice, and the suffixes [lo, hi) of others that do."""
-    keyed = docs.select("text", *text_key(F.col("text"))).filter(F.octet_length("text") >= length)
+    contexts all of whose suffixes occur twice, and the suffixes [lo, hi) of others that do.
+
+    ``keyed`` has text, the columns ``carry``, k1 and k2. The columns to carry are not used; but as they go along where
+    texts are shuffled by key, Spark sees that whoever joins the result to the same rows needs the same shuffle, and
+    makes it once.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k1, k2 = b.column(1).to_numpy(), b.column(2).to_numpy()
-            for parts in pieces(encode(b.column(0).to_pylist()), length):
-                s = segments(parts, length)
-                yield pa.RecordBatch.from_arrays([pa.array(s.gram), pa.array(s.context), pa.array(k1[s.text]), pa.array(k2[s.text])], names=["gram", "context", "k1", "k2"])
+            for first, _, texts in slices(b.column(0), PIECE):
+                for parts in pieces(texts, length):
+                    s = segments(parts, length)
+                    yield pa.RecordBatch.from_arrays([pa.array(s.gram), pa.array(s.context), pa.array(k1[first + s.text]), pa.array(k2[first + s.text])], names=["gram", "context", "k1", "k2"])
 
-    rows = keyed.mapInArrow(scan, _FLAG)
+    rows = keyed.select("text", "k1", "k2").mapInArrow(scan, _FLAG)
     twice = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
     met = materialise(rows.join(twice, "gram"))
     by_context = met.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2")).alias("rep"))
@@ -154,21 +171,22 @@ def find(docs: DataFrame, length: int = LENGTH, hot: int = HOT_CONTEXTS) -> Data
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k1, k2, wants = b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()
-            for parts in pieces(encode(b.column(0).to_pylist()), length):
-                s, out, seen = segments(parts, length), [], set()
-                names = {i: {w["context"]: w for w in wants[i]} for i in {p[0] for p in parts}}
-                for j, (i, c) in enumerate(zip(s.text.tolist(), s.context.tolist(), strict=True)):
-                    if (w := names[i].get(c)) and (i, c) not in seen:
-                        seen.add((i, c))
-                        a, n = int(s.at[j]), int(s.n[j])
-                        out.append((int(s.gram[j]), c, k1[i], k2[i], w["contexts"], w["single"], int(s.offset[j]), n, s.buffer[a : a + n - 1 + length].tobytes()))
-                if out:
-                    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["gram", "context", "k1", "k2", "contexts", "single", "off", "n", "raw"])
-
-    shown = keyed.join(asked, ["k1", "k2"]).select("text", "k1", "k2", "want").mapInArrow(show, schema)
-    shown = materialise(shown)  # copies of a text show the same; a context counts once
+            k1, k2, wants = (b.column(b.num_columns - 3 + i).to_pylist() for i in range(3))
+            for base, _, texts in slices(b.column(0), PIECE):
+                for parts in pieces(texts, length):
+                    s, out, seen = segments(parts, length), [], set()
+                    names = {i: {w["context"]: w for w in wants[base + i]} for i in {p[0] for p in parts}}
+                    for j, (i, c) in enumerate(zip(s.text.tolist(), s.context.tolist(), strict=True)):
+                        if (w := names[i].get(c)) and (i, c) not in seen:
+                            seen.add((i, c))
+                            a, n = int(s.at[j]), int(s.n[j])
+                            out.append((int(s.gram[j]), c, k1[base + i], k2[base + i], w["contexts"], w["single"], int(s.offset[j]), n, s.buffer[a : a + n - 1 + length].tobytes()))
+                    if out:
+                        kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["gram", "context", "k1", "k2", "contexts", "single", "off", "n", "raw"])
+
+    # copies of a text show the same; a context counts once
+    shown = keyed.join(asked, ["k1", "k2"]).select("text", *[f"`{c}`" for c in carry], "k1", "k2", "want").mapInArrow(show, schema)
     found = "gram long, context long, k1 long, k2 long, lo int, hi int"
 
     def ranges(keys: list[tuple], start: np.ndarray, n: np.ndarray, hit: np.ndarray) -> pa.RecordBatch:
@@ -243,43 +261,56 @@ def remove(docs: DataFrame, keep: list[str], length: int = LENGTH, hot: int = HO
     """
     names = [f"`{c}`" for c in keep]
     fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.select(*keep).schema, strict=True))
-    rows = docs.select("text", *keep, *[k.alias(f"_{n}") for n, k in zip(("k1", "k2"), text_key(F.col("text")), strict=True)])
-    hits = find(docs, length, hot).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "whole", "part")
+    carry = [f"_keep{i}" for i in range(len(keep))]
+    rows = docs.select("text", *[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)], *text_key(F.col("text")))
+    hits = find(rows, carry, length, hot)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = encode(b.column(0).to_pylist())
-            whole, part = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
-            edges: list[list[tuple[int, int]]] = [[] for _ in texts]
-            some = [t if whole[i] or part[i] else b"" for i, t in enumerate(texts)]
-            wholes = {i: set(w) for i, w in enumerate(whole) if w}
-            partial: dict[int, dict[int, list]] = {}
-            for i, p in enumerate(part):
-                for x in p or ():
-                    partial.setdefault(i, {}).setdefault(x["context"], []).append((x["lo"], x["hi"]))
-            for group in pieces(some, length):
-                s = segments(group, length)
-                for i, lo, n, c in zip(s.text.tolist(), s.lo.tolist(), s.n.tolist(), s.context.tolist(), strict=True):
-                    if c in wholes.get(i, ()):
-                        edges[i].append((lo, lo + n - 1 + length))
-                    else:
-                        edges[i] += [(lo + x, lo + y - 1 + length) for x, y in partial.get(i, {}).get(c, ())]
-            spans, kept = [], []
-            for t, e in zip(texts, edges, strict=True):
-                merged: list[list[int]] = []
-                for a, z in sorted(e):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(z, merged[-1][1])
-                    else:
-                        merged.append([a, z])
-                spans.append([{"start": a, "end": z} for a, z in merged])
-                at, out = 0, []
-                for a, z in merged:
-                    out.append(t[at:a])
-                    at = z
-                kept.append(b"".join([*out, t[at:]]))
-            yield pa.RecordBatch.from_arrays([*b.columns[1 : 1 + len(keep)], pa.array([len(t) for t in texts], pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=[*keep, "n_bytes", "spans", "kept"])
-
-    joined = rows.join(hits, ["_k1", "_k2"], "left").select("text", *names, "whole", "part")
+            for lo, hi, texts in slices(b.column(0), PIECE):
+                whole, part = (b.column(b.num_columns - 2 + i).slice(lo, hi - lo).to_pylist() for i in range(2))
+                found = [_merge(e) for e in _edges(texts, whole, part, length)]
+                kept = [_without(t, e) for t, e in zip(texts, found, strict=True)]
+                spans = [[{"start": x, "end": y} for x, y in e] for e in found]
+                own = [c.slice(lo, hi - lo) for c in b.columns[1 : 1 + len(keep)]]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([len(t) for t in texts], pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=[*keep, "n_bytes", "spans", "kept"])
+
+    joined = rows.join(hits, ["k1", "k2"], "left").select("text", *carry, "whole", "part")
     return joined.mapInArrow(cut, f"{fields}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+
+
+def _edges(texts: list[bytes], whole: list, part: list, length: int) -> list[list[tuple[int, int]]]:
+    """For each text the bytes under its repeated suffixes, as spans that may overlap."""
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    wholes = {i: set(w) for i, w in enumerate(whole) if w}
+    partial: dict[int, dict[int, list]] = {}
+    for i, p in enumerate(part):
+        for x in p or ():
+            partial.setdefault(i, {}).setdefault(x["context"], []).append((x["lo"], x["hi"]))
+    for group in pieces([t if whole[i] or part[i] else b"" for i, t in enumerate(texts)], length):
+        s = segments(group, length)
+        for i, lo, n, c in zip(s.text.tolist(), s.lo.tolist(), s.n.tolist(), s.context.tolist(), strict=True):
+            if c in wholes.get(i, ()):
+                out[i].append((lo, lo + n - 1 + length))
+            else:
+                out[i] += [(lo + x, lo + y - 1 + length) for x, y in partial.get(i, {}).get(c, ())]
+    return out
+
+
+def _merge(spans: list[tuple[int, int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, z in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(z, out[-1][1])
+        else:
+            out.append([a, z])
+    return out
+
+
+def _without(text: bytes, spans: list[list[int]]) -> bytes:
+    out, at = [], 0
+    for a, z in spans:
+        out.append(text[at:a])
+        at = z
+    return b"".join([*out, text[at:]])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scantopo.llm._text import U, Words, chunks, encode, id_text, materialise, mix64, span_hash
+from scantopo.llm._text import U, Words, id_text, materialise, mix64, slices, span_hash
 
 #: Labelled documents of each class that are examples, at most: the bounded sample of labelled rows.
 EXAMPLES = 3000
@@ -57,9 +57,8 @@ def term_counts(docs: DataFrame, keep: list[str], terms: np.ndarray | None) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = encode(b.column(0).to_pylist())
-            for lo, hi in chunks(raw):
-                w = Words(raw[lo:hi])
+            for lo, hi, texts in slices(b.column(0)):
+                w = Words(texts)
                 text, h = term_hashes(w)
                 if terms is not None:
                     ok = bits[h & 0xFFFF]
@@ -194,7 +193,7 @@ def build(rows: list[tuple[int, int, list[int], list[int]]], terms: np.ndarray,
         at, w = ix.vector(np.array(k[0]), np.array(k[1]))
         ix.weight[at, j] = w
         ix.votes[j] = distinct[k][1]
-    ix.block_max = ix.weight.reshape(len(terms), -1, BLOCK).max(2)
+    ix.block_max = ix.weight.reshape(len(terms), pad // BLOCK, BLOCK).max(2)
     x, y, z = [], [], []
     for j, k in enumerate(order):  # each left out once
         at = np.searchsorted(terms, np.array(k[0]))
