@@ -159,7 +159,7 @@ def find(keyed: DataFrame, carry: list[str], length: int = LENGTH, hot: int = HO
                     yield pa.RecordBatch.from_arrays([pa.array(s.gram), pa.array(s.context), pa.array(k1[first + s.text]), pa.array(k2[first + s.text])], names=["gram", "context", "k1", "k2"])
 
     rows = keyed.select("text", "k1", "k2").mapInArrow(scan, _FLAG)
-    twice = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    twice = materialise(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"))
     met = materialise(rows.join(twice, "gram"))
     by_context = met.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2")).alias("rep"))
     several = by_context.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1")
