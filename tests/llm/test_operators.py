@@ -104,10 +104,25 @@ def test_near_copies_across_and_keep_first(spark):
         got.setdefault(c, set()).add(i)
     assert sorted(map(sorted, got.values())) == sorted(sorted(i for i, c in enumerate(want) if c == x) for x in set(want))
     assert sorted(x["doc_id"] for x in nearcopies.keep_first(docs).collect()) == sorted(set(want))
-    rows = [("k", 3, i, i, s) for i, s in ((1, b"\1\0" * 160), (2, b"\1\0" * 160), (3, b"\2\0" * 160))]
-    df = spark.createDataFrame(rows, "key string, n long, node long, comp long, sig binary")
+
+
+def test_tiles_find_every_link(spark):
+    r = random.Random(6)
+    base = [r.randrange(2**63) for _ in range(100)]
+    bags = []
+    for i in range(40):
+        bags.append(sorted(base[: 90 + i % 9] + [r.randrange(2**63) for _ in range(r.choice([2, 9, 30]))]))
+    rows = [(1, 40, i, i, np.array(b, np.uint64).tobytes()) for i, b in enumerate(bags)]
+    want = nearcopies.components(spark.createDataFrame([(i, j) for i in range(40) for j in range(i) if nearcopies.similar(np.array(bags[i], np.uint64), np.array(bags[j], np.uint64))], "a long, b long"))
+    df = spark.createDataFrame(rows, "key long, n long, node long, comp long, bag binary")
+    for block in (7, 512):
+        links = nearcopies.across(df, block=block)
+        assert links.count() < 40 * 40 / 7
+        assert sorted(nearcopies.components(links).collect()) == sorted(want.collect())
+    rows = [(5, 3, i, i, s) for i, s in ((1, b"\1\0" * 160), (2, b"\1\0" * 160), (3, b"\2\0" * 160))]
+    df = spark.createDataFrame(rows, "key long, n long, node long, comp long, sig binary")
     for block in (1, 2, 512):
-        assert [tuple(x) for x in nearcopies.across(df, block=block).collect()] == [(1, 2)]
+        assert sorted(tuple(x) for x in nearcopies.promising(df, block=block).collect()) == [(5, 1), (5, 2)]
 
 
 def test_windows_and_covered(spark):
