@@ -105,17 +105,31 @@ def encode(texts: pa.Array | Iterable[str | bytes | None]) -> list[bytes]:
     return [t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass") for t in (b"" if t is None else t for t in texts)]
 
 
-def slices(col: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
-    """Ranges of rows of about ``limit`` bytes with their texts, so that memory is bounded beyond one text."""
-    col = col.cast(pa.binary())
-    ends = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+def ranges(col: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``limit`` bytes of text, so that memory is bounded beyond one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(col.cast(pa.binary())), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
     lo = 0
     while lo < len(col):
         hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, "right")))
-        yield lo, hi, encode(col.slice(lo, hi - lo))
+        yield lo, hi
         lo = hi
 
 
+def slices(col: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+    """``ranges`` with their texts as UTF-8."""
+    for lo, hi in ranges(col, limit):
+        yield lo, hi, encode(col.slice(lo, hi - lo))
+
+
+def parts(batches: Iterable[pa.RecordBatch], column: int = 0, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut into smaller ones of about ``limit`` bytes in a column of texts."""
+    for b in batches:
+        for lo, hi in ranges(b.column(column), limit):
+            yield b.slice(lo, hi - lo)
+        del b
+        pa.default_memory_pool().release_unused()
+
+
 class Words:
     """The words of a list of texts: byte spans in one buffer, the text each is of, and 64-bit hashes."""
 

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scantopo.llm._text import id_text
+from scantopo.llm._text import id_text, parts
 
 #: Documents (about) and bytes (at most) that a language's dictionary is made of: the bounded sample of labelled rows.
 SAMPLE, DICT_BYTES, SHARE = 600, 96 << 10, 512
@@ -78,8 +78,8 @@ def judge(text: str | None, dicts: tuple[tuple[str, bytes], ...]) -> tuple[str,
     raw = normal(text or "")
     if not raw or not dicts:
         return UNKNOWN, 0.0, 0.0
-    parts = pieces(raw)
-    sizes = sorted((sum(len(c.compress(p)) for p in parts), lang) for lang, c in _compressors(dicts))
+    cut = pieces(raw)
+    sizes = sorted((sum(len(c.compress(p)) for p in cut), lang) for lang, c in _compressors(dicts))
     if len(sizes) == 1:
         return sizes[0][1], 1.0, 1.0
     margin = 1 - sizes[0][0] / sizes[1][0]
@@ -100,7 +100,7 @@ def identify(docs: DataFrame, dicts: dict[str, bytes], margin: float = MARGIN, k
     pairs = tuple(sorted(dicts.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             found = [judge(t, pairs) for t in b.column(0).to_pylist()]
             cols = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.float64())]
             cols.append(pa.array([f[0] == UNKNOWN or f[2] < margin for f in found], pa.bool_()))

@@ -10,7 +10,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from scantopo.llm._text import WORD, encode
+from scantopo.llm._text import WORD, encode, parts
 
 #: The phrases every scan must find, with their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -164,7 +164,7 @@ def scan(docs: DataFrame, notices: dict[str, str] = NOTICES) -> DataFrame:
     fields = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, 1):
             found = []
             for t in encode(b.column(1)):
                 x = scan_text(t, pairs)

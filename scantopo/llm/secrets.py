@@ -13,6 +13,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scantopo.llm._text import parts
+
 KINDS = ("assign", "access", "hex", "novel")
 #: The three patterns every scan must find.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -121,7 +123,7 @@ def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             found = [[{"kind": k, "start": x, "end": y} for k, x, y in spans_of(t or "")] for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(found, _SPAN)], names=[*names, "secret_spans"])
 
@@ -151,7 +153,7 @@ def redact(docs: DataFrame) -> DataFrame:
     at, n = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, at):
             cols, texts = list(b.columns), b.column(at).to_pylist()
             spans = [[(x, y) for _, x, y in spans_of(t or "")] for t in texts]
             new = [mask(t, s) for t, s in zip(texts, spans, strict=True)]
