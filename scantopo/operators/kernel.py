@@ -39,7 +39,7 @@ def edges(r: Runs, reach: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(upper, lower) indexes of runs on consecutive lines that touch: ``reach`` 1 with corners (8), 0 without (4)."""
     if not len(r):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    wide = int(r.hi.max()) + 3
+    wide = int(r.hi.max()) + 6  # columns from -1 are shifted by 2
     row = np.cumsum(np.r_[False, (r.page[1:] != r.page[:-1]) | (r.line[1:] != r.line[:-1])])
     start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     up = np.full(len(start), -1)
@@ -47,8 +47,8 @@ def edges(r: Runs, reach: int = 1) -> tuple[np.ndarray, np.ndarray]:
     up[1:][near] = np.arange(len(start) - 1)[near]
     above = up[row]
     own = np.flatnonzero(above >= 0)
-    first = np.searchsorted(row * wide + r.hi, above[own] * wide + np.maximum(r.lo[own] - reach, 0), "left")
-    last = np.searchsorted(row * wide + r.lo, above[own] * wide + r.hi[own] + reach, "right")
+    first = np.searchsorted(row * wide + r.hi + 2, above[own] * wide + r.lo[own] - reach + 2, "left")
+    last = np.searchsorted(row * wide + r.lo + 2, above[own] * wide + r.hi[own] + reach + 2, "right")
     n = np.maximum(0, last - first)
     upper = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
     return upper, np.repeat(own, n)
@@ -94,3 +94,68 @@ def forest_edges(r: Runs, upper: np.ndarray, lower: np.ndarray) -> np.ndarray:
         keep[order[np.unique(best[best < m])]] = True
         root = label(len(r), upper[keep], lower[keep])
     return keep
+
+
+def ground(r: Runs, heights: np.ndarray, width: int) -> Runs:
+    """The runs of ground of pages with a border of one cell: lines -1 to height, columns -1 to ``width``."""
+    rows = heights + 2
+    page = np.repeat(np.arange(len(heights)), rows)
+    line = np.arange(int(rows.sum())) - np.repeat(np.cumsum(rows) - rows, rows) - 1
+    base = np.cumsum(rows) - rows
+    at = base[r.page] + r.line + 1
+    # each line starts with a run from -1; after each run of ink there is one more
+    lo = np.r_[np.full(len(page), -1), r.hi + 1]
+    row = np.r_[np.arange(len(page)), at]
+    hi = np.r_[np.full(len(page), width), np.full(len(r), width)]
+    order = np.lexsort((lo, row))
+    row, lo, hi = row[order], lo[order], hi[order]
+    ends = np.lexsort((r.lo, at))
+    count = np.bincount(at, minlength=len(page))
+    first = np.cumsum(np.r_[0, count[:-1] + 1]) if len(page) else np.empty(0, np.int64)
+    place = np.repeat(first, count) + np.arange(len(r)) - np.repeat(np.cumsum(np.r_[0, count[:-1]]), count) if len(r) else np.empty(0, np.int64)
+    hi[place] = r.lo[ends] - 1
+    ok = lo <= hi
+    return Runs(page[row[ok]], line[row[ok]], lo[ok], hi[ok])
+
+
+def contours(r: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Boundary loops: (page, first crack, signed area, length) of each; ink is on the left of the way around.
+
+    Cracks are directed sides of cells. At a corner the way goes on along the crack that turns right most, so that cells
+    which touch in a corner are within one loop, as they are within one component. Each crack has one successor; loops
+    are the cycles of that permutation, found by doubling.
+    """
+    n = r.hi - r.lo + 1
+    which = np.repeat(np.arange(len(r)), n)
+    x = r.lo[which] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    page, y = r.page[which], r.line[which]
+    wide, tall = (int(x.max()) + 3, int(y.max()) + 3) if len(x) else (3, 3)
+    code = (page * tall + y + 1) * wide + x + 1
+    has = lambda c: code[np.minimum(np.searchsorted(code, c), max(0, len(code) - 1))] == c if len(code) else np.zeros(0, bool)
+    # directions 0 east, 1 south, 2 west, 3 north, y downwards; ink on the left of a crack
+    parts = []
+    for d, off, sx, sy in ((0, wide, 0, 1), (1, -1, 0, 0), (2, -wide, 1, 0), (3, 1, 1, 1)):
+        own = ~has(code + off)
+        parts.append((page[own], x[own] + sx, y[own] + sy, np.full(int(own.sum()), d)))
+    page, sx, sy, d = (np.concatenate(c) for c in zip(*parts, strict=True))
+    step_x, step_y = np.array([1, 0, -1, 0]), np.array([0, 1, 0, -1])
+    key = lambda p, a, b, k: ((p * (tall + 2) + b) * (wide + 2) + a) * 4 + k
+    start = key(page, sx, sy, d)
+    order = np.argsort(start)
+    page, sx, sy, d, start = page[order], sx[order], sy[order], d[order], start[order]
+    nxt = np.full(len(start), -1)
+    ex, ey = sx + step_x[d], sy + step_y[d]
+    for turn in (1, 0, 3):  # y runs downwards, so one direction on is a right turn: away from the cell, across the corner
+        want = key(page, ex, ey, (d + turn) % 4)
+        at = np.minimum(np.searchsorted(start, want), max(0, len(start) - 1))
+        ok = (nxt < 0) & (start[at] == want) if len(start) else np.zeros(0, bool)
+        nxt[ok] = at[ok]
+    least, jump = np.arange(len(start)), nxt.copy()
+    while len(least):
+        new = np.minimum(least, least[jump])
+        if np.array_equal(new, least):
+            break
+        least, jump = new, jump[jump]
+    loops, inv = np.unique(least, return_inverse=True)
+    area2 = np.bincount(inv, sx * ey - ex * sy, minlength=len(loops))
+    return page[loops], start[loops], np.round(-area2 / 2).astype(np.int64), np.bincount(inv, minlength=len(loops))

@@ -246,22 +246,20 @@ def contain(ink: DataFrame, ground: DataFrame) -> DataFrame:
     return top.join(around, ["page_id", "line"], "left").filter("lo is null or x between lo and hi").groupBy("page_id", "kind", "comp").agg(F.max("parent_kind").alias("parent_kind"), F.max("parent").alias("parent"))
 
 
-def depths(parents: DataFrame, steps: int = 64) -> DataFrame:
-    """``parents`` with depth: 0 for a region without parent; each round moves one level, until none is left."""
-    spark = parents.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    cut = (lambda d: d.checkpoint()) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else (lambda d: d.persist())
-    level = cut(parents.filter("parent is null").withColumn("depth", F.lit(0)))
-    out = level
-    for depth in range(1, steps + 1):
-        own = level.select("page_id", F.col("kind").alias("parent_kind"), F.col("comp").alias("parent"))
-        level = cut(parents.join(own, ["page_id", "parent_kind", "parent"], "left_semi").withColumn("depth", F.lit(depth)))
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-    raise ValueError(f"regions nest deeper than {steps}")
+def depths(parents: DataFrame) -> DataFrame:
+    """``parents`` with depth: 0 for a region without parent, else one more than its parent's."""
+
+    def some(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pd.MultiIndex.from_frame(pdf[["page_id", "kind", "comp"]])
+        up = own.get_indexer(pd.MultiIndex.from_frame(pdf[["page_id", "parent_kind", "parent"]]))
+        depth, at = np.zeros(len(pdf), np.int32), up.copy()
+        while (at >= 0).any():
+            depth += at >= 0
+            at = np.where(at >= 0, up[at], -1)
+        return pdf.assign(depth=depth)
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parents.schema)
+    return whole_groups(parents, ["page_id"], ["kind", "comp"], some, f"{fields}, depth int")
 
 
 def events(labelled: DataFrame) -> DataFrame:
@@ -287,3 +285,44 @@ def block_histogram(runs: DataFrame, block: int = 8) -> DataFrame:
     cut = runs.select("page_id", F.floor(F.col("line") / block).alias("by"), "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor(F.col("hi") / block))).alias("bx"))
     n = F.least(F.col("hi"), (F.col("bx") + 1) * block - 1) - F.greatest(F.col("lo"), F.col("bx") * block) + 1
     return cut.groupBy("page_id", "by", "bx").agg(F.sum(n).cast("long").alias("ink"))
+
+
+def cracks(runs: DataFrame) -> DataFrame:
+    """(page_id, side, n): sides of cells between ink and ground. Left and right are run ends; up and down are the cells
+    of a line less those they share with the line before or after."""
+    n = (F.col("hi") - F.col("lo") + 1).cast("long")
+    a = runs.groupBy("page_id").agg(F.count(F.lit(1)).alias("r"), F.sum(n).alias("s"))
+    up = runs.select("page_id", (F.col("line") + 1).alias("line"), F.col("lo").alias("a"), F.col("hi").alias("z"))
+    both = runs.join(up, ["page_id", "line"]).filter(overlaps("a", "z", "lo", "hi")).groupBy("page_id").agg(F.sum(F.least("hi", "z") - F.greatest("lo", "a") + 1).cast("long").alias("b"))
+    j = a.join(both, "page_id", "left").withColumn("b", F.coalesce("b", F.lit(0)))
+    side = lambda k, v: F.struct(F.lit(k).alias("side"), v.alias("n"))
+    return j.select("page_id", F.inline(F.array(side("left", F.col("r")), side("right", F.col("r")), side("up", F.col("s") - F.col("b")), side("down", F.col("s") - F.col("b")))))
+
+
+def contours(runs: DataFrame) -> DataFrame:
+    """(page_id, loop, area, length): boundary loops; areas are positive around ink and negative around holes."""
+    kind = runs.schema["page_id"].dataType.simpleString()
+
+    def some(pdf: pd.DataFrame) -> pd.DataFrame:
+        page, names = pd.factorize(pdf["page_id"])
+        p, loop, area, length = kernel.contours(kernel.Runs(page, *(pdf[k].to_numpy(np.int64) for k in RUN)))
+        return pd.DataFrame({"page_id": names.take(p), "loop": loop, "area": area, "length": length})
+
+    return whole_groups(runs.select("page_id", *RUN), ["page_id"], ["line", "lo"], some, f"page_id {kind}, loop long, area long, length long")
+
+
+def bitmap(runs: DataFrame, grid: int = 12, by: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """(by, w0, w1, w2): any ink in each cell of a ``grid`` over the box around it, as three words of grid / 3 rows.
+
+    A cell spans j * h // grid to (j + 1) * h // grid, but one row or column at least."""
+    box = runs.groupBy(*by).agg(F.min("lo").alias("x0"), F.min("line").alias("y0"), (F.max("hi") - F.min("lo") + 1).alias("w"), (F.max("line") - F.min("line") + 1).alias("h"))
+    cells = F.sequence(F.lit(0), F.lit(grid - 1))
+    at = lambda j, size: F.floor(j * F.col(size) / grid)
+    end = lambda j, size: F.greatest(at(j, size) + 1, F.floor((j + 1) * F.col(size) / grid))
+    r = runs.join(box, list(by)).withColumns({"y": F.col("line") - F.col("y0"), "a": F.col("lo") - F.col("x0"), "z": F.col("hi") - F.col("x0")})
+    row = F.filter(cells, lambda j: (at(j, "h") <= F.col("y")) & (F.col("y") < end(j, "h")))
+    bits = F.aggregate(cells, F.lit(0).cast("long"), lambda s, i: s + F.when((at(i, "w") <= F.col("z")) & (end(i, "w") > F.col("a")), F.pow(F.lit(2.0), i).cast("long")).otherwise(0))
+    third = grid // 3
+    g = r.select(*by, bits.alias("bits"), F.explode(row).alias("j")).groupBy(*by, "j").agg(F.bit_or("bits").alias("bits"))
+    word = lambda k: F.sum(F.when(F.floor(F.col("j") / third) == k, F.col("bits") * F.pow(F.lit(2.0), F.pmod("j", F.lit(third)) * grid).cast("long")).otherwise(0)).alias(f"w{k}")
+    return g.groupBy(*by).agg(word(0), word(1), word(2))

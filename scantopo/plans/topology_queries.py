@@ -297,3 +297,92 @@ def skew_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
         return ids, [angle, best]
 
     return R.pages(docs(spark, sf_dir), f, "angle double, score long")
+
+
+def _regions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Runs of ink labelled with corners, and of ground without on pages with a border of one cell; every page is the
+    whole rectangle of its lines, cells past the text's end being ground."""
+
+    def f(ground: bool):
+        def g(texts):
+            r = R.rasterise(texts)
+            if ground:
+                r = kernel.ground(r, np.array([-(-len(t or "") // R.WIDTH) for t in texts]), R.WIDTH)
+            a = T.analyse(r, 0 if ground else 1)
+            first = (r.line + 1) * (R.WIDTH + 2) + r.lo + 1
+            return r.page, [r.line.astype(np.int32), r.lo.astype(np.int32), r.hi.astype(np.int32), first[a["comp"]]]
+
+        return g
+
+    d = docs(spark, sf_dir)
+    return tuple(R.pages(d, f(g), "line int, lo int, hi int, comp long") for g in (False, True))
+
+
+@query("hole_regions", E8 + LABELS + """ SELECT n.page_id, CAST(coalesce(any_value(k.m), 0) - count(*) + count(DISTINCT cc.comp) AS BIGINT) AS holes
+FROM n JOIN cc USING (id) LEFT JOIN (SELECT page_id, count(*) AS m FROM e GROUP BY page_id) k USING (page_id) GROUP BY n.page_id""")
+def hole_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holes as regions of ground that aren't the outside; by Euler's identity as many as edges - runs + components."""
+    ink, ground = _regions(spark, sf_dir)
+    n = ground.groupBy("page_id").agg((F.count_distinct("comp") - 1).alias("holes"))
+    return ink.select("page_id").distinct().join(n, "page_id")
+
+
+@query("containment_parent")
+def containment_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The region around each region: an as-of lookup of the run above each region's first cell."""
+    return T.contain(*_regions(spark, sf_dir))
+
+
+@query("nesting_depth")
+def nesting_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of each kind at each depth; ground is even and ink odd, the outside 0."""
+    return T.depths(containment_parent(spark, sf_dir)).groupBy("page_id", "kind", "depth").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("nesting_parity", "SELECT CAST(0 AS BIGINT) AS odd, count(*) > 0 AS regions FROM documents")
+def nesting_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions whose kind does not fit their depth, of which there are none."""
+    d = nesting_depth(spark, sf_dir)
+    wrong = (F.col("depth") % 2 == 1) != (F.col("kind") == "ink")
+    return d.agg(F.count_if(wrong).alias("odd"), (F.count(F.lit(1)) > 0).alias("regions"))
+
+
+_SIDES = " UNION ALL ".join(f"SELECT page_id, line, x, '{s}' AS side FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.page_id = p.page_id AND q.line = p.line + {dy} AND q.x = p.x + {dx})" for s, dy, dx in (("up", -1, 0), ("down", 1, 0), ("left", 0, -1), ("right", 0, 1)))
+
+
+@query("cracks", f"WITH {CELLS}, p AS (SELECT page_id, line, x FROM px WHERE ink) SELECT page_id, side, count(*) AS n FROM ({_SIDES}) GROUP BY ALL")
+def cracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cell sides between ink and ground, by side: run ends, and runs less what touches them on the next line."""
+    return T.cracks(R.runs(docs(spark, sf_dir)))
+
+
+@query("contour_areas", f"WITH {CELLS} SELECT page_id, count(*) AS area FROM px WHERE ink GROUP BY page_id")
+def contour_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signed areas of all boundary loops of a page add up to its ink."""
+    return T.contours(R.runs(docs(spark, sf_dir))).groupBy("page_id").agg(F.sum("area").alias("area"))
+
+
+@query("contour_loops", E8 + LABELS + """ SELECT n.page_id, CAST(coalesce(any_value(k.m), 0) - count(*) + 2 * count(DISTINCT cc.comp) AS BIGINT) AS loops, count(DISTINCT cc.comp) AS outer_loops
+FROM n JOIN cc USING (id) LEFT JOIN (SELECT page_id, count(*) AS m FROM e GROUP BY page_id) k USING (page_id) GROUP BY n.page_id""")
+def contour_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One loop around each component and one in each hole."""
+    c = T.contours(R.runs(docs(spark, sf_dir)))
+    return c.groupBy("page_id").agg(F.count(F.lit(1)).alias("loops"), F.count_if(F.col("area") > 0).alias("outer_loops"))
+
+
+@query("bitmaps", f"""WITH {CELLS}, b AS (SELECT page_id, max(x) - min(x) + 1 AS w, max(line) - min(line) + 1 AS h, min(x) AS x0, min(line) AS y0 FROM px WHERE ink GROUP BY page_id),
+g AS (SELECT DISTINCT px.page_id, j.i AS j, i.i AS i FROM px JOIN b USING (page_id), range(12) j(i), range(12) i(i) WHERE ink AND px.line - y0 >= j.i * h // 12 AND px.line - y0 < greatest(j.i * h // 12 + 1, (j.i + 1) * h // 12) AND px.x - x0 >= i.i * w // 12 AND px.x - x0 < greatest(i.i * w // 12 + 1, (i.i + 1) * w // 12))
+SELECT page_id, CAST(sum(CASE WHEN j < 4 THEN CAST(1 AS BIGINT) << (j * 12 + i) ELSE 0 END) AS BIGINT) AS w0, CAST(sum(CASE WHEN j >= 4 AND j < 8 THEN CAST(1 AS BIGINT) << ((j - 4) * 12 + i) ELSE 0 END) AS BIGINT) AS w1, CAST(sum(CASE WHEN j >= 8 THEN CAST(1 AS BIGINT) << ((j - 8) * 12 + i) ELSE 0 END) AS BIGINT) AS w2 FROM g GROUP BY page_id""")
+def bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's ink as a grid of 12 by 12, a cell set where it has any; cells overlap on pages smaller than that."""
+    return T.bitmap(R.runs(docs(spark, sf_dir)))
+
+
+@query("topology_records")
+def topology_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything about each component in a row: runs, holes, moments, axis, events."""
+    lab = labelled(spark, sf_dir)
+    m = T.moments(lab, "page_id", "comp")
+    t = T.component_table(lab)
+    g = lab.groupBy("page_id", "comp").agg(*[F.count_if(c).alias(k) for k, c in (("births", F.col("up") == 0), ("closes", F.col("down") == 0), ("merges", F.col("up") >= 2), ("splits", F.col("down") >= 2))])
+    return t.join(m, ["page_id", "comp"]).join(g, ["page_id", "comp"]).withColumns(T.axis_columns() | {"chi": 1 - F.col("holes")})
