@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -28,9 +29,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once into the shared checkpoint folder and cuts its lineage there."""
+    """Computes ``df`` once into the shared checkpoint folder and cuts its lineage there.
+
+    The shuffles behind it are not needed again; they leave the executors' disks once the driver has collected what
+    refers to them, which it would do far too late by itself in a job of many steps.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def text_key(text: Column) -> list[Column]:
