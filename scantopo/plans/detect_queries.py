@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scantopo.operators import detect as D
+from scantopo.operators import formulas as FM
 from scantopo.operators import geometry as G
 from scantopo.operators import topology as T
 from scantopo.plans.catalogue import query, table
-from scantopo.plans.spatial_queries import B, boxes
-from scantopo.plans.topology_queries import RUNS, _regions, as_longs, docs
+from scantopo.plans.spatial_queries import B, GROUPS, boxes
+from scantopo.plans.topology_queries import _SIDES, CELLS, RUNS, _regions, as_longs, docs
 from scantopo.sources import documents
 from scantopo.sources import text_raster as R
 
@@ -88,3 +89,51 @@ def regions_json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("event_properties", "SELECT event_type, count(*) AS n, count(DISTINCT props) AS kinds, CAST(sum(length(props)) AS BIGINT) AS chars FROM events GROUP BY event_type")
 def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("props").alias("kinds"), F.sum(F.length("props")).alias("chars"))
+
+
+@query("rule_context", RUNS + """, q AS (SELECT page_id, id, x0, y0, x1, y1, x1 - x0 + 1 AS w FROM b WHERE x1 - x0 + 1 >= 20 * (y1 - y0 + 1)),
+s AS (SELECT page_id, id, x0, x1, w, 'above' AS side, greatest(0, y0 - w) AS a, y0 - 1 AS z FROM q UNION ALL SELECT page_id, id, x0, x1, w, 'below', y1 + 1, y1 + w FROM q),
+n AS (SELECT s.page_id, id, side, any_value(w * (z - a + 1)) AS t, sum(CASE WHEN lo IS NULL THEN 0 ELSE greatest(0, least(hi, x1) - greatest(lo, x0) + 1) END) AS n FROM s LEFT JOIN r ON r.page_id = s.page_id AND line BETWEEN a AND z AND hi >= x0 AND lo <= x1 WHERE a <= z GROUP BY ALL)
+SELECT q.page_id, q.id, round(coalesce(any_value(CASE WHEN side = 'above' THEN coalesce(n, 0)::DOUBLE / t END), 0), 9) AS above, round(coalesce(any_value(CASE WHEN side = 'below' THEN coalesce(n, 0)::DOUBLE / t END), 0), 9) AS below FROM q LEFT JOIN n USING (page_id, id) GROUP BY ALL""".replace("FROM b WHERE", "FROM (SELECT l_orderkey AS page_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_discount, l_tax) AS id, (l_partkey * 37) % 200 AS x0, (l_suppkey * 53) % 200 AS y0, (l_partkey * 37) % 200 + CAST(l_quantity AS BIGINT) AS x1, (l_suppkey * 53) % 200 + l_partkey % 40 AS y1 FROM lineitem) WHERE"))
+def rule_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ink of a text page in the bands above and below each level rule of the order of its number."""
+    b = boxes(spark, sf_dir).filter("x1 - x0 + 1 >= 20 * (y1 - y0 + 1)")
+    r = FM.rule_context(R.runs(docs(spark, sf_dir)), b)
+    return r.select("page_id", "id", F.round("above", 9).alias("above"), F.round("below", 9).alias("below"))
+
+
+@query("greedy_rows")
+def greedy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FM.greedy_rows(boxes(spark, sf_dir))
+
+
+@query("glyph_parts", B + """, q AS (SELECT *, y0 // 50 AS row FROM b), l AS (SELECT a.page_id, a.id AS a, k.id AS b FROM q a JOIN q k ON a.page_id = k.page_id AND a.row = k.row AND a.id < k.id
+WHERE least(a.x1, k.x1) - greatest(a.x0, k.x0) + 1 >= 0.5::DOUBLE * least(a.x1 - a.x0 + 1, k.x1 - k.x0 + 1) AND least(a.y1, k.y1) - greatest(a.y0, k.y0) <= 0.5::DOUBLE * least(a.y1 - a.y0, k.y1 - k.y0, 1) AND greatest(a.y0, k.y0) - least(a.y1, k.y1) <= 2.5::DOUBLE * greatest(a.y1 - a.y0, k.y1 - k.y0, 1))""" + GROUPS + " SELECT page_id, id, grp FROM cc")
+def glyph_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = boxes(spark, sf_dir).withColumn("row", F.floor(F.col("y0") / 50))
+    return FM.parts_of_glyphs(g).select("page_id", "id", "grp")
+
+
+@query("row_modes", B + """, q AS (SELECT page_id, y0 // 50 AS row, y1 - y0 + 1 AS h, x1 - x0 + 1 AS w FROM b), k AS (SELECT page_id, row FROM q GROUP BY ALL HAVING count(*) >= 2 AND quantile_cont(h, 0.5) >= 20),
+h AS (SELECT page_id, row, arg_min(h, struct_pack(a := -n, b := h)) AS h FROM (SELECT page_id, row, h, count(*) AS n FROM q GROUP BY ALL) GROUP BY ALL), w AS (SELECT page_id, row, arg_min(w, struct_pack(a := -n, b := w)) AS w FROM (SELECT page_id, row, w, count(*) AS n FROM q GROUP BY ALL) GROUP BY ALL)
+SELECT page_id, row, h::DOUBLE / w AS ratio FROM k JOIN h USING (page_id, row) JOIN w USING (page_id, row)""")
+def row_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FM.row_modes(boxes(spark, sf_dir).withColumn("row", F.floor(F.col("y0") / 50)), least=2, height=20)
+
+
+@query("leading_block", """WITH p AS (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page, o_orderstatus = 'O' AS good FROM orders),
+g AS (SELECT doc, page, sum(CASE WHEN page - lag > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY page) AS part FROM (SELECT doc, page, lag(page) OVER (PARTITION BY doc ORDER BY page) AS lag FROM p WHERE good))
+SELECT doc, min(page) AS first, max(page) AS last, count(*) AS n FROM g WHERE part = 0 GROUP BY doc""")
+def leading_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    p = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), page.alias("page"), (F.col("o_orderstatus") == "O").alias("good"))
+    return as_longs(FM.leading_block(p, "doc", "good").filter("n is not null"), "first", "last")
+
+
+@query("stroke_width", f"WITH {CELLS}, p AS (SELECT page_id, line, x FROM px WHERE ink), k AS (SELECT page_id, count(*) AS k FROM ({_SIDES}) GROUP BY ALL) SELECT page_id, round(2.0::DOUBLE * count(*) / any_value(k), 9) AS width FROM p JOIN k USING (page_id) GROUP BY page_id")
+def stroke_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twice the area over the boundary's length."""
+    r = R.runs(docs(spark, sf_dir))
+    side = T.cracks(r).groupBy("page_id").agg(F.sum("n").alias("c"))
+    area = r.groupBy("page_id").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("a"))
+    return area.join(side, "page_id").select("page_id", F.round(2.0 * F.col("a") / F.col("c"), 9).alias("width"))
