@@ -31,6 +31,8 @@ DICTIONARY = b" ".join(
     [
         b"import from return class function const static public private void string int boolean null none true false",
         b"get set is has to of for with by id key value name type index count list map array object default config settings",
+        b"user name first last item items result error message handler manager service request response session cookie",
+        b"create update delete remove add find load save read write parse format string builder factory provider context",
         b"http https www com org net example localhost html json xml yaml utf-8 base64 sha256 md5 version latest release",
         b"0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 00000000 ffffffff 11111111 12345678",
         b"username user_name password_hash access_token_url client_secret_path api_key_name token_type secret_name",
@@ -38,23 +40,25 @@ DICTIONARY = b" ".join(
 )
 CONTEXT, NEAR = 200, 60
 #: Reported: marginal compressed bytes of at least this share of what its length in its alphabet could carry.
-NOVELTY = 0.72
+NOVELTY = 1.0
 
 
 @functools.lru_cache(maxsize=1)
 def _tools() -> zstandard.ZstdCompressor:
-    return zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(DICTIONARY, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False)
+    how = zstandard.ZstdCompressionParameters.from_level(19, min_match=3, write_checksum=False, write_content_size=False, write_dict_id=False)
+    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(DICTIONARY, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
 
 
 def marginal(candidate: str, around: str) -> float:
     """Compressed bytes that the candidate adds to its surroundings, as a share of its length at 6 bits a character.
 
-    The difference of two frames with the same dictionary, less the byte of the space between.
+    The difference of two frames with the same dictionary, less the byte of the space between. Letter case is left out, as
+    identifiers change it from word to word.
     """
     z = _tools()
-    near = around.encode("utf-8", "replace")
+    near = around.lower().encode("utf-8", "replace")
     base = len(z.compress(near))
-    more = len(z.compress(near + b" " + candidate.encode()))
+    more = len(z.compress(near + b" " + candidate.lower().encode()))
     return max(0, more - base - 1) / (len(candidate) * 0.75)
 
 
