@@ -21,6 +21,8 @@ TERMS, LEAST_TEXTS, BY_CHANCE = 1024, 5, 0.05
 SKETCH = 4
 #: Beginnings of words, in bytes, that are terms beside whole words: inflected and compounded words share them.
 BEGINNINGS = (4, 5, 6)
+#: A term that a text has twice, or three times, is another term beside; its hash is the term's under these masks.
+AGAIN = {2: 0x5851F42D4C957F2D, 3: 0x14057B7EF767814F}
 NEIGHBOURS, BLOCK = 24, 64
 
 
@@ -50,10 +52,15 @@ def sketches(w: Words, n: int) -> list[pa.Array]:
 def term_counts(docs: DataFrame, keep: list[str], terms: np.ndarray | None) -> DataFrame:
     """``keep`` with terms and counts (arrays): those in the sorted ``terms``, or all, and then s0, s1, ... of the sketch."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    bits = None
+    bits = base = None
     if terms is not None:
+        base = np.unique(np.concatenate([terms, *[terms ^ m for m in AGAIN.values()]]))
         bits = np.zeros(1 << 16, bool)
-        bits[terms & 0xFFFF] = True
+        bits[base & 0xFFFF] = True
+
+    def among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(known, h)
+        return known[np.minimum(at, len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -63,13 +70,19 @@ def term_counts(docs: DataFrame, keep: list[str], terms: np.ndarray | None) -> D
                 if terms is not None:
                     ok = bits[h & 0xFFFF]
                     text, h = text[ok], h[ok]
-                    at = np.searchsorted(terms, h)
-                    ok = (at < len(terms)) & (terms[np.minimum(at, max(0, len(terms) - 1))] == h) if len(terms) else np.zeros(len(h), bool)
+                    ok = among(h, base)
                     text, h = text[ok], h[ok]
                 order = np.lexsort((h, text))
                 text, h = text[order], h[order]
                 new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.empty(0, int)
                 count, text, h = np.diff(np.r_[new, len(h)]).astype(np.int32), text[new], h[new]
+                many = [np.flatnonzero(count >= k) for k in AGAIN]
+                h = np.concatenate([h, *[h[x] ^ m for x, m in zip(many, AGAIN.values(), strict=True)]])
+                text, count = (np.concatenate([v, *[v[x] for x in many]]) for v in (text, count))
+                ok = among(h, terms) if terms is not None else slice(None)
+                text, h, count = text[ok], h[ok], count[ok]
+                order = np.lexsort((h, text))
+                text, h, count = text[order], h[order], count[order]
                 ends = np.searchsorted(text, np.arange(hi - lo + 1)).astype(np.int32)
                 cols = [pa.ListArray.from_arrays(ends, pa.array(h)), pa.ListArray.from_arrays(ends, pa.array(count))]
                 if terms is None:
