@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import math
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -39,8 +40,14 @@ DICTIONARY = b" ".join(
     ]
 )
 CONTEXT, NEAR = 200, 60
-#: Reported: marginal compressed bytes of at least this share of what its length in its alphabet could carry.
-NOVELTY = 1.0
+#: Bits a character of strings that are compressed at all; 16 random hexadecimal digits are under 3 now and then.
+LEAST_ENTROPY = 2.5
+#: Reported: marginal compressed bytes of at least this share of what a random string of the same alphabet and length
+#: costs at the same place, or RAW bytes a character, as short strings vary by whole bytes. Neither bar rises with length.
+NOVELTY, RAW = 0.9, 0.75
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: Alphabets smaller than that of the kinds of characters they have.
+_SMALL = (_DIGITS + "abcdef", _DIGITS + "ABCDEF", _UPPER + "234567", _LOWER + "234567")
 
 
 @functools.lru_cache(maxsize=1)
@@ -49,17 +56,27 @@ def _tools() -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(DICTIONARY, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
 
 
+def random_like(candidate: str) -> str:
+    """A random string, the same each time, of the candidate's alphabet and length."""
+    own = set(candidate) - set("=.")
+    kinds = [k for k in (_LOWER, _UPPER, _DIGITS) if own & set(k)]
+    whole = "".join(kinds) + "".join(sorted(own - set(_LOWER + _UPPER + _DIGITS)))
+    return "".join(random.Random(len(candidate)).choices(next((k for k in _SMALL if own <= set(k)), whole), k=len(candidate)))
+
+
 def marginal(candidate: str, around: str) -> float:
-    """Compressed bytes that the candidate adds to its surroundings, as a share of its length at 6 bits a character.
+    """Compressed bytes that the candidate adds to its surroundings, as a share of what NOVELTY and RAW call random: 1 at the bar.
 
     The difference of two frames with the same dictionary, less the byte of the space between. Letter case is left out, as
-    identifiers change it from word to word.
+    identifiers change it from word to word; so it is in the random string, which hence costs what a secret can at most.
     """
     z = _tools()
     near = around.lower().encode("utf-8", "replace")
     base = len(z.compress(near))
-    more = len(z.compress(near + b" " + candidate.lower().encode()))
-    return max(0, more - base - 1) / (len(candidate) * 0.75)
+    more = lambda c: max(0, len(z.compress(near + b" " + c.lower().encode())) - base - 1)
+    own = more(candidate)
+    plain = own / (len(candidate) * RAW)
+    return plain if plain >= 1 else max(plain, own / max(1, more(random_like(candidate))) / NOVELTY)
 
 
 def entropy(s: str) -> float:
@@ -83,7 +100,7 @@ _LONG_HEX = re.compile(rf"[0-9a-f]{{{LEAST_HEX},}}")
 _HINT = ("passw", "passphrase", "secret", "token", "credential", "private", "api", "access", "auth", "bearer", "client", "signature", "connection")
 
 
-def novel_spans(t: str, taken: list[tuple[str, int, int]], novelty: float = NOVELTY) -> list[tuple[str, int, int]]:
+def novel_spans(t: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Incompressible strings with a sensitive word up to NEAR characters before them, outside spans already taken."""
     low = t.lower()
     if not any(h in low for h in _HINT):
@@ -98,7 +115,7 @@ def novel_spans(t: str, taken: list[tuple[str, int, int]], novelty: float = NOVE
             if not (re.search(r"\d", c) and re.search(r"[A-Za-z]", c)) or any(a < y and x < b for _, x, y in taken):
                 continue
             around = t[max(0, a - CONTEXT) : a] + t[b : b + CONTEXT]
-            if entropy(c) >= 3.0 and marginal(c, around) >= novelty:
+            if entropy(c) >= LEAST_ENTROPY and marginal(c, around) >= 1:
                 out[a, b] = None
     return [("novel", a, b) for a, b in out]
 

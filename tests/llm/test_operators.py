@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import string
 from collections import Counter
 
 import brute
@@ -173,6 +174,38 @@ def test_secrets_novel_and_masks(spark):
     assert sorted(tuple(x) for x in secrets.redact(docs).collect()) == [(1, "x [SECRET] y", 12), (2, None, None), (3, "clean", 5)]
 
 
+ALPHABETS = {"base64": string.ascii_letters + string.digits + "+/", "base62": string.ascii_letters + string.digits, "base36": string.ascii_lowercase + string.digits, "hex": "0123456789ABCDEF", "base32": string.ascii_uppercase + "234567"}
+AROUND = {
+    "config": ("[db]\nhost = localhost\nprivate_key: ", "\nport = 5432\n"),
+    "code": ("import os\nfrom app import Client\n\ndef connect(user):\n    # the access key of the service\n    access_key = '", "'\n    return Client(user, access_key)\n"),
+    "prose": ("When you have signed in, you can find the credential under your profile. It looks like ", " and should not be given to anyone else, even if they ask for it."),
+}
+
+
+@pytest.mark.parametrize("alphabet", ALPHABETS)
+@pytest.mark.parametrize("around", AROUND)
+def test_random_secrets_of_any_length_are_novel(alphabet, around):
+    r = random.Random(5)
+    before, after = AROUND[around]
+    for n in (16, 24, 43, 64, 128, 256, 500):
+        found = 0
+        for _ in range(20):
+            c = "".join(r.choices(ALPHABETS[alphabet], k=n))
+            found += (*map(len, (before, before + c)),) in {s[1:] for s in secrets.spans_of(before + c + after)}
+        assert found >= (19 if n > 43 else 18 if n > 16 else 15), n
+    for n in (1024, 1624, 4096):
+        for _ in range(5):
+            assert secrets.marginal("".join(r.choices(ALPHABETS[alphabet], k=n)), before + after) >= 1, n
+
+
+def test_long_plain_strings_are_not_novel():
+    words = "user default config handler value name index count response session load parse number first last".split()
+    for n in (3, 10, 40, 200):
+        r = random.Random(n)
+        c = "_".join(r.choice(words) for _ in range(n)) + "_v2"
+        assert secrets.spans_of(f"private_key: {c}\n") == []
+
+
 def test_probe_cells_are_in_order_of_cost():
     at = np.array([0.2, 3.7, -1.45])
     got = neighbours.probe_cells(at, 27)
