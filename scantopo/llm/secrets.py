@@ -6,6 +6,7 @@ import functools
 import math
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,7 +27,13 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 #: Words that stand near secrets in configuration and code.
 SENSITIVE = re.compile(r"(?ai:passw(or)?d|passphrase|secret|token|credential|private.?key|api.?key|access.?key|auth(orization)?\b|bearer|client.?id|signature|connection.?string)")
 #: Strings that may be secrets: long, of one alphabet of encodings, with a digit and a letter.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+PART = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Such strings joined by dots, with shorter ones between, as in signed tokens.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}+(?:(?:\.[A-Za-z0-9+/_=-]++)*\.[A-Za-z0-9+/_=-]{16,})?")
+#: A next line, or one after an escaped line break, that holds nothing else.
+LINE = re.compile(r"""(?:\r?\n|(?:\\r)?\\n)[ \t]*([A-Za-z0-9+/_=-]++)(?=[ \t]*(?:\r?\n|\\|["']|\Z))""")
+#: Least width of the lines that a long encoded string is wrapped to.
+WRAP = 40
 #: What code and identifiers commonly hold; candidates made of it compress away.
 DICTIONARY = b" ".join(
     [
@@ -40,6 +47,8 @@ DICTIONARY = b" ".join(
     ]
 )
 CONTEXT, NEAR = 200, 60
+#: Lines below a sensitive word whose first NEAR characters are near it as well.
+BELOW = 2
 #: Bits a character of strings that are compressed at all; 16 random hexadecimal digits are under 3 now and then.
 LEAST_ENTROPY = 2.5
 #: Reported: marginal compressed bytes of at least this share of what a random string of the same alphabet and length
@@ -100,23 +109,87 @@ _LONG_HEX = re.compile(rf"[0-9a-f]{{{LEAST_HEX},}}")
 _HINT = ("passw", "passphrase", "secret", "token", "credential", "private", "api", "access", "auth", "bearer", "client", "signature", "connection")
 
 
+def unions(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The unions of overlapping spans, in order."""
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if merged and a < merged[-1][1]:
+            merged[-1] = merged[-1][0], max(b, merged[-1][1])
+        else:
+            merged.append((a, b))
+    return merged
+
+
+def whole(t: str, a: int) -> int:
+    """Where the candidate that starts at ``a`` ends: at its own end, and past the lines it is wrapped to.
+
+    Lines after it belong to it while they are as wide as the first of them, which is WRAP at least; so does one shorter
+    line at last.
+    """
+    b = CANDIDATE.match(t, a).end()
+    width = 0
+    while m := LINE.match(t, b):
+        n = m.end() - m.start(1)
+        if n > width if width else n < WRAP:
+            break
+        b = m.end()
+        if n < width:
+            break
+        width = n
+    return b
+
+
 def novel_spans(t: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Incompressible strings with a sensitive word up to NEAR characters before them, outside spans already taken."""
+    """Incompressible strings that start up to NEAR characters after a sensitive word, or after the start of one of the
+    BELOW lines under it, to their own ends; not those of which spans already taken leave less than a candidate's length.
+
+    A string that isn't incompressible as a whole is judged part by part, and again from sensitive words within it. Where
+    over 512 characters are left, this is done only if they are at most 7/8 of what was judged last: if more of it were
+    random, all of it would have passed. So a run of many sensitive words takes linear time.
+    """
     low = t.lower()
     if not any(h in low for h in _HINT):
         return []
-    out: dict[tuple[int, int], None] = {}
-    for s in SENSITIVE.finditer(t):
-        for m in CANDIDATE.finditer(t, s.end(), min(len(t), s.end() + NEAR + 512)):
-            a, b = m.span()
-            if a > s.end() + NEAR or (a, b) in out:
-                continue
-            c = m[0]
-            if not (re.search(r"\d", c) and re.search(r"[A-Za-z]", c)) or any(a < y and x < b for _, x, y in taken):
-                continue
-            around = t[max(0, a - CONTEXT) : a] + t[b : b + CONTEXT]
-            if entropy(c) >= LEAST_ENTROPY and marginal(c, around) >= 1:
-                out[a, b] = None
+    ends = [s.end() for s in SENSITIVE.finditer(t)]
+    lines = [m.end() for m in re.finditer("\n", t)] if ends else []
+    starts = set(ends)
+    for e in ends:
+        at = bisect_right(lines, e)
+        starts.update(lines[at : at + BELOW])
+    covered = unions([(x, y) for _, x, y in taken])
+    out: list[tuple[int, int]] = []
+
+    def novel(a: int, b: int) -> bool:
+        c = re.sub(r"\s+|\\[rn]", "", t[a:b])
+        if not (re.search(r"\d", c) and re.search(r"[A-Za-z]", c)) or entropy(c) < LEAST_ENTROPY:
+            return False
+        own = 0
+        for x, y in covered[max(0, bisect_left(covered, (a, a)) - 1) :]:
+            if x >= b:
+                break
+            own += max(0, min(b, y) - max(a, x))
+        if b - a - own < 16 or marginal(c, t[max(0, a - CONTEXT) : a] + t[b : b + CONTEXT]) < 1:
+            return False
+        out.append((a, b))
+        return True
+
+    end, found, inner = -1, False, []  # of the last whole candidate; its parts, each with the start last judged
+    for lo in sorted(starts):
+        pos = lo
+        while m := PART.search(t, pos, min(len(t), lo + NEAR + 16)):
+            a = m.start()
+            if a > lo + NEAR:
+                break
+            if a >= end:
+                end = whole(t, a)
+                found = novel(a, end)
+                inner = [] if found else [[x, y, x, (x, y) != (a, end) and novel(x, y)] for x, y in (p.span() for p in PART.finditer(t, a, end))]
+            elif not found:
+                part = inner[bisect_right(inner, a, key=lambda p: p[0]) - 1]
+                _, y, last, known = part
+                if not known and last < a < y and (y - a <= 512 or y - a <= (y - last) * 7 // 8):
+                    part[2:] = a, novel(a, y)
+            pos = end
     return [("novel", a, b) for a, b in out]
 
 
@@ -156,13 +229,7 @@ def mask(text: str | None, spans: list[tuple[int, int]], by: str = "[SECRET]") -
     if text is None or not spans:
         return text
     out, at = [], 0
-    merged: list[list[int]] = []
-    for a, b in sorted(spans):
-        if merged and a < merged[-1][1]:
-            merged[-1][1] = max(b, merged[-1][1])
-        else:
-            merged.append([a, b])
-    for a, b in merged:
+    for a, b in unions(spans):
         out += [text[at:a], by]
         at = b
     return "".join(out) + text[at:]

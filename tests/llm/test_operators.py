@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import random
 import string
+import time
 from collections import Counter
 
 import brute
@@ -206,6 +208,39 @@ def test_long_plain_strings_are_not_novel():
         assert secrets.spans_of(f"private_key: {c}\n") == []
 
 
+def masked(text: str) -> str:
+    return secrets.mask(text, [(a, b) for _, a, b in secrets.spans_of(text)])
+
+
+def test_secrets_are_masked_to_their_ends():
+    r = random.Random(6)
+    draw = lambda n: "".join(r.choices(ALPHABETS["base64"], k=n))
+    before, after = AROUND["config"]
+    for n in (600, 1624, 4096):
+        assert masked(before + draw(n) + after) == before + "[SECRET]" + after
+    header, payload = (base64.urlsafe_b64encode(x).decode().strip("=") for x in (b'{"alg":"HS256","typ":"JWT"}', b'{"sub":"1234567890","name":"John Doe","iat":1516239022}'))
+    signature = "".join(r.choices(ALPHABETS["base62"] + "-_", k=43))
+    text = masked(f"Authorization: Bearer {header}.{payload}.{signature}\nHost: localhost")
+    assert signature not in text and text.endswith("[SECRET]\nHost: localhost")
+    for between in ("\n", "\n  value = ", ":\n  name: the one that all of the servers in the second data centre use now\n  value: "):
+        assert masked("# the private key" + between + draw(44) + "\nport = 1") == "# the private key" + between + "[SECRET]\nport = 1"
+    key = draw(64 * 24 + 20)
+    for line_break in ("\n", "\r\n"):
+        pem = line_break.join(["-----BEGIN PRIVATE KEY-----", "{}", "-----END PRIVATE KEY-----"])
+        assert masked(pem.format(line_break.join(key[i : i + 64] for i in range(0, len(key), 64)))) == pem.format("[SECRET]")
+    escaped = r'"private_key": "-----BEGIN PRIVATE KEY-----\n{}\n-----END PRIVATE KEY-----\n"'
+    assert masked(escaped.format(r"\n".join(key[i : i + 64] for i in range(0, len(key), 64)))) == escaped.replace("n{}", "[SECRET]")
+    c = draw(40)
+    text = masked(f"private_key = the_default_user_config_value.{c}.split")
+    assert c not in text and text.endswith("[SECRET].split")
+
+
+def test_a_long_run_of_sensitive_words_is_judged_in_linear_time():
+    t0 = time.process_time()
+    secrets.spans_of("token_1" * 30_000)
+    assert time.process_time() - t0 < 20
+
+
 def test_probe_cells_are_in_order_of_cost():
     at = np.array([0.2, 3.7, -1.45])
     got = neighbours.probe_cells(at, 27)
