@@ -17,8 +17,9 @@ from scantopo.llm._text import U, Words, id_text, materialise, mix64, slices, sp
 EXAMPLES = 3000
 #: Terms that vectors have, at most; example texts that must hold a term; terms expected to pass by chance alone.
 TERMS, LEAST_TEXTS, BY_CHANCE = 1024, 5, 0.05
-#: Least shingle hashes by which near copies among examples are told: one of each family votes.
-SKETCH = 4
+#: Least shingle hashes by which near copies among examples are told, and the share that must agree: one of each family
+#: and class votes. Similarity is estimated to about 0.05.
+SKETCH, ALIKE = 64, 0.8
 #: Beginnings of words, in bytes, that are terms beside whole words: inflected and compounded words share them.
 BEGINNINGS = (4, 5, 6)
 #: A term that a text has twice, or three times, is another term beside; its hash is the term's under these masks.
@@ -36,21 +37,34 @@ def term_hashes(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(texts), np.concatenate(hashes).view(np.int64)
 
 
-def sketches(w: Words, n: int) -> list[pa.Array]:
+def sketches(w: Words, n: int) -> pa.Array:
     """SKETCH least hashes of the word shingles of each of ``n`` texts; of its words, if it has fewer than five."""
     at, h = w.grams(5)
     few = w.count[w.text] < 5
     text, h = np.concatenate([w.text[at], w.text[few]]), np.concatenate([h, w.hash[few]])
-    out = []
+    out = np.full((n, SKETCH), 2**63 - 1, np.int64)
     for i in range(SKETCH):
-        least = np.full(n, 2**63 - 1, np.int64)
-        np.minimum.at(least, text, (mix64(h + U(i + 1)) >> U(1)).view(np.int64))
-        out.append(pa.array(least))
+        np.minimum.at(out[:, i], text, (mix64(h + U(i + 1)) >> U(1)).view(np.int64))
+    return pa.ListArray.from_arrays(np.arange(0, n * SKETCH + 1, SKETCH, dtype=np.int32), pa.array(out.ravel()))
+
+
+def one_of_each_family(rows: list[tuple[int, int, list[int], int]]) -> list[int]:
+    """The last fields of those of (doc_id, toxic, sketch, tag) that are no near copies of one before of their class, by doc_id."""
+    out = []
+    for c in (0, 1):
+        own = sorted(r for r in rows if r[1] == c)
+        kept, n = np.empty((len(own), SKETCH), np.int64), 0
+        for _, _, sketch, tag in own:
+            s = np.array(sketch, np.int64)
+            if n and (kept[:n] == s).sum(1).max() >= ALIKE * SKETCH:
+                continue
+            kept[n], n = s, n + 1
+            out.append(tag)
     return out
 
 
 def term_counts(docs: DataFrame, keep: list[str], terms: np.ndarray | None) -> DataFrame:
-    """``keep`` with terms and counts (arrays): those in the sorted ``terms``, or all, and then s0, s1, ... of the sketch."""
+    """``keep`` with terms and counts (arrays): those in the sorted ``terms``, or all, and then the sketch."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     bits = base = None
     if terms is not None:
@@ -86,28 +100,28 @@ def term_counts(docs: DataFrame, keep: list[str], terms: np.ndarray | None) -> D
                 ends = np.searchsorted(text, np.arange(hi - lo + 1)).astype(np.int32)
                 cols = [pa.ListArray.from_arrays(ends, pa.array(h)), pa.ListArray.from_arrays(ends, pa.array(count))]
                 if terms is None:
-                    cols += sketches(w, hi - lo)
+                    cols.append(sketches(w, hi - lo))
                 yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in b.columns[1:]], *cols], names=[*keep, "terms", "counts", *more])
 
-    more = [f"s{i}" for i in range(SKETCH)] if terms is None else []
-    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(run, f"{fields}, terms array<long>, counts array<int>" + "".join(f", {m} long" for m in more))
+    more = ["sketch"] if terms is None else []
+    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(run, f"{fields}, terms array<long>, counts array<int>" + "".join(f", {m} array<long>" for m in more))
 
 
 def examples(docs: DataFrame, labels: DataFrame, n: int = EXAMPLES) -> DataFrame:
     """(doc_id, toxic, terms, counts): up to ``n`` documents of each class of ``labels`` (doc_id, toxic).
 
-    The least digests of doc_id are taken, and of texts alike in a least shingle hash one. Ids labelled twice are toxic if either says so; null
-    labels and ids are left out.
+    The least digests of doc_id are taken, and of each family of near copies one of each class: the least doc_id. Ids
+    labelled twice are toxic if either says so; null labels and ids are left out.
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     ranked = known.withColumn("h", F.xxhash64(F.lit("toxicity"), id_text(F.col("doc_id"))))
     chosen = [ranked.filter(F.col("toxic") == c).orderBy("h").limit(n).select("doc_id", "toxic") for c in (0, 1)]
     chosen = materialise(chosen[0].unionByName(chosen[1]))  # of 2 n rows, so it may be broadcast
-    rows = materialise(term_counts(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), ["doc_id", "toxic"], None))
-    for i in range(SKETCH):
-        first = rows.groupBy(f"s{i}").agg(F.min(F.struct("doc_id", "toxic")).alias("_first"))
-        rows = rows.join(first, f"s{i}").filter(F.struct("doc_id", "toxic") == F.col("_first")).drop("_first")
-    return rows.drop(*[f"s{i}" for i in range(SKETCH)])
+    rows = term_counts(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), ["doc_id", "toxic"], None)
+    rows = materialise(rows.withColumn("_tag", F.monotonically_increasing_id()))
+    tags = one_of_each_family([tuple(r) for r in rows.select("doc_id", "toxic", "sketch", "_tag").collect()])
+    kept = docs.sparkSession.createDataFrame([(t,) for t in tags], "_tag long")
+    return rows.join(F.broadcast(kept), "_tag").drop("_tag", "sketch")
 
 
 def select_terms(found: DataFrame) -> np.ndarray:

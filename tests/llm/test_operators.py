@@ -241,6 +241,17 @@ def test_a_long_run_of_sensitive_words_is_judged_in_linear_time():
     assert time.process_time() - t0 < 20
 
 
+def test_toxicity_keeps_one_example_of_each_family_and_class(spark):
+    r = random.Random(7)
+    draw = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    passage, copy = draw(40), draw(100)
+    docs = [(i, f"{passage} {draw(100)}") for i in range(40)]  # alike by 0.15
+    docs += [(i, f"{copy} {draw(3)}") for i in range(40, 50)]  # alike by 0.94
+    labels = [(i, i % 2) for i in range(50)]
+    got = toxicity.examples(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert sorted((x["doc_id"], x["toxic"]) for x in got) == [(i, i % 2) for i in range(42)]
+
+
 def test_probe_cells_are_in_order_of_cost():
     at = np.array([0.2, 3.7, -1.45])
     got = neighbours.probe_cells(at, 27)
