@@ -25,10 +25,25 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def normal(text: str) -> bytes:
-    """The distinct runs of letters of a whole text, in lower case and in order: repetition and marks tell no language."""
+    """The distinct runs of letters of a whole text, in lower case and in order, for dictionaries, which repetition only fills."""
     return " ".join(dict.fromkeys(_LETTERS.findall(text.lower()))).encode("utf-8", "replace")
 
 
+def spread(text: str) -> bytes:
+    """All runs of letters of a whole text, in lower case: the first occurrences in order, then the second ones, and so on.
+
+    So a word counts as often as it is said, as far as its occurrences come to stand in different pieces.
+    """
+    seen: dict[str, int] = {}
+    rounds: list[list[str]] = []
+    for w in _LETTERS.findall(text.lower()):
+        n = seen[w] = seen.get(w, 0) + 1
+        if n > len(rounds):
+            rounds.append([])
+        rounds[n - 1].append(w)
+    return " ".join(w for r in rounds for w in r).encode("utf-8", "replace")
+
+
 def held_out(doc_id: Column, mod: int = 3, rest: int = 1) -> Column:
     return F.pmod(F.crc32(id_text(doc_id)), F.lit(mod)) == rest
 
@@ -75,7 +90,7 @@ def judge(text: str | None, dicts: tuple[tuple[str, bytes], ...]) -> tuple[str,
     The margin is how much smaller the best size is than the second best, as a share of the second; the score rises
     from one half of certainty at no margin to 1. No dictionary, no text or no letter: unknown, 0, 0.
     """
-    raw = normal(text or "")
+    raw = spread(text or "")
     if not raw or not dicts:
         return UNKNOWN, 0.0, 0.0
     cut = pieces(raw)

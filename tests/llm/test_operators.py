@@ -294,6 +294,17 @@ def test_langid_general(spark):
     assert langid.identify(docs, {}).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_langid_weighs_words_by_how_often_they_are_said():
+    r = random.Random(8)
+    words = {x: ["".join(r.choices(letters, k=r.randrange(3, 10))) for _ in range(600)] for x, letters in (("xx", "aeioulmnrst"), ("yy", "aeioubdgkpz"))}
+    dicts = tuple((x, " ".join(w).encode()) for x, w in words.items())
+    for often, once in (("xx", "yy"), ("yy", "xx")):
+        said = r.sample(words[often], 60)
+        text = " ".join(r.choices(said, k=900) + r.sample(words[once], 150))
+        assert langid.judge(text, dicts)[0] == often
+        assert sorted(langid.spread(text).decode().split()) == sorted(text.split())
+
+
 def test_mix_keeps_columns_and_caps(spark):
     docs = spark.createDataFrame([(i, "w " * (i % 5 + 1), "ab"[i % 2], 0, 9) for i in range(100)], "doc_id long, text string, source string, mix_s int, copy int")
     m = mixing.mix(docs, mixing.word_count(docs["text"]), docs["doc_id"].cast("string"), weights=(1, 9), cap=3)
