@@ -3,68 +3,55 @@
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scantopo.llm._text import id_text, parts
 
-#: Documents (about) and bytes (at most) that a language's dictionary is made of: the bounded sample of labelled rows.
-SAMPLE, DICT_BYTES, SHARE = 600, 96 << 10, 512
+#: Documents (about, by a digest) that a language's dictionary is made of, and characters of each: the bounded sample of
+#: labelled rows, 120 KiB a language in the alphabets at hand.
+SAMPLE, SHARE = 240, 512
 #: Texts are compressed in pieces, so that a long text is judged by the dictionary and not by its own beginning.
 PIECE = 768
 LEVEL, MIN_MATCH = 3, 4
 #: Relative gap between the best and the second best size under which a language is not told.
 MARGIN = 0.002
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def normal(text: str) -> bytes:
-    """The distinct runs of letters of a whole text, in lower case and in order, for dictionaries, which repetition only fills."""
-    return " ".join(dict.fromkeys(_LETTERS.findall(text.lower()))).encode("utf-8", "replace")
-
-
-def spread(text: str) -> bytes:
-    """All runs of letters of a whole text, in lower case: the first occurrences in order, then the second ones, and so on.
-
-    So a word counts as often as it is said, as far as its occurrences come to stand in different pieces.
-    """
-    seen: dict[str, int] = {}
-    rounds: list[list[str]] = []
-    for w in _LETTERS.findall(text.lower()):
-        n = seen[w] = seen.get(w, 0) + 1
-        if n > len(rounds):
-            rounds.append([])
-        rounds[n - 1].append(w)
-    return " ".join(w for r in rounds for w in r).encode("utf-8", "replace")
+    """The runs of letters (Unicode category L) of a whole text, in lower case and in order, with single spaces between."""
+    return " ".join(_LETTERS.findall(text.lower())).encode("utf-8", "replace")
 
 
 def held_out(doc_id: Column, mod: int = 3, rest: int = 1) -> Column:
     return F.pmod(F.crc32(id_text(doc_id)), F.lit(mod)) == rest
 
 
-def dictionaries(docs: DataFrame, sample: int = SAMPLE, size: int = DICT_BYTES) -> dict[str, bytes]:
+def dictionaries(docs: DataFrame, sample: int = SAMPLE) -> dict[str, bytes]:
     """Raw-content dictionaries of the languages in ``docs`` (doc_id, text, lang), from rows with text and lang.
 
-    The sample is the rows whose digest of doc_id, as a number in [0, 1), is under ``sample`` by the rows of their
-    language: about ``sample`` rows, chosen without ranking. Of each, about SHARE bytes of its middle, so that no long
-    document fills a dictionary. The counts read no text; one short row a language goes to the executors.
+    The sample is the rows whose digest of doc_id and text, as a number in [0, 1), is under ``sample`` by the rows of
+    their language: about ``sample`` rows, chosen without ranking; rows that repeat count once. Of each, SHARE
+    characters of its middle, so that no long document fills a dictionary. One short row a language goes to the
+    executors, and the sample to the driver.
     """
     named = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rate = named.groupBy("lang").agg((F.lit(float(sample)) / F.count(F.lit(1))).alias("_rate"))
-    h = F.xxhash64(F.lit("langid"), id_text(F.col("doc_id")))
+    h = F.xxhash64(F.lit("langid"), id_text(F.col("doc_id")), "text")
     part = F.pmod(h, F.lit(1 << 30)) / F.lit(float(1 << 30))
     mid = F.greatest(F.lit(1), F.floor(F.length("text") / 2 - SHARE / 2).cast("int"))
-    rows = named.withColumn("_h", h).withColumn("_part", part).join(F.broadcast(rate), "lang").filter("_part < _rate").select("lang", "_h", F.substring("text", mid, F.lit(SHARE)).alias("t"))
+    rows = named.withColumn("_h", h).withColumn("_part", part).join(F.broadcast(rate), "lang").filter("_part < _rate").select("lang", "_h", F.substring("text", mid, F.lit(SHARE)).alias("t")).distinct()
     out: dict[str, bytes] = {}
     for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["_h"], r["t"])):
         out[r["lang"]] = out.get(r["lang"], b"") + normal(r["t"]) + b" "
-    return {k: v[-size:] for k, v in out.items()}
+    return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -88,9 +75,10 @@ def judge(text: str | None, dicts: tuple[tuple[str, bytes], ...]) -> tuple[str,
     """Language, score and margin of one text.
 
     The margin is how much smaller the best size is than the second best, as a share of the second; the score rises
-    from one half of certainty at no margin to 1. No dictionary, no text or no letter: unknown, 0, 0.
+    with it from 0 towards 1. Of equal sizes the first language by code point is told. No dictionary, no text or no
+    letter: unknown, 0, 0.
     """
-    raw = spread(text or "")
+    raw = normal(text or "")
     if not raw or not dicts:
         return UNKNOWN, 0.0, 0.0
     cut = pieces(raw)
@@ -104,14 +92,14 @@ def judge(text: str | None, dicts: tuple[tuple[str, bytes], ...]) -> tuple[str,
 def identify(docs: DataFrame, dicts: dict[str, bytes], margin: float = MARGIN, keep: list[str] | None = None) -> DataFrame:
     """All rows of ``docs``, and its columns or those in ``keep``, with lang_pred, lang_score, lang_margin and lang_rejected.
 
-    One pass over whole texts; the dictionaries, bounded by languages times DICT_BYTES, go with the code. Rejected are
-    unknown languages and margins under ``margin``. Null, empty and letterless texts are unknown. Nulls in other
-    columns, repeated rows and further columns are kept; columns of these four names are replaced; an empty table gives
-    an empty table.
+    One pass over whole texts, long ones too, piece by piece; the dictionaries, bounded by the sample of each language,
+    go with the code. Rejected are unknown languages and margins under ``margin``. Null, empty and letterless texts are
+    unknown. Nulls in other columns, repeated rows and further columns are kept, whatever their names; columns of these
+    four names are replaced; an empty table gives an empty table.
     """
     names = ["lang_pred", "lang_score", "lang_margin", "lang_rejected"]
     own = keep if keep is not None else [c for c in docs.columns if c not in names]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in own]).schema)
     pairs = tuple(sorted(dicts.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,4 +109,4 @@ def identify(docs: DataFrame, dicts: dict[str, bytes], margin: float = MARGIN, k
             cols.append(pa.array([f[0] == UNKNOWN or f[2] < margin for f in found], pa.bool_()))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *cols], names=[*own, *names])
 
-    return docs.select(F.col("text").alias("_text"), *own).mapInArrow(run, f"{fields}, lang_pred string, lang_score double, lang_margin double, lang_rejected boolean")
+    return docs.select(F.col("text").alias("_text"), *[f"`{c}`" for c in own]).mapInArrow(run, f"{fields}, lang_pred string, lang_score double, lang_margin double, lang_rejected boolean")

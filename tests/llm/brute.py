@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
+import zlib
 from collections import Counter, defaultdict
 
+import xxhash
+import zstandard
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -108,3 +113,77 @@ def licenses(text: str | None) -> tuple[int, int, int | None, int | None, str]:
     at = [(i, x) for p, x in PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
     starts = [i for i, _ in at]
     return len(w), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in at}))
+
+
+def _operand(t: list[str], i: int) -> tuple[int, set[str], bool] | None:
+    from scantopo.llm.licenses import PERMISSIVE, family
+
+    if i < len(t) and t[i] == "(":
+        found = _expression(t, i + 1)
+        return (found[0] + 1, *found[1:]) if found and found[0] < len(t) and t[found[0]] == ")" else None
+    if i == len(t) or t[i] == ")" or t[i].lower() in ("or", "and", "with"):
+        return None
+    return i + 1, {family(t[i])}, family(t[i]) in PERMISSIVE
+
+
+def _expression(t: list[str], i: int, level: int = 0) -> tuple[int, set[str], bool] | None:
+    """By recursive descent: level 0 is OR, 1 AND, 2 WITH."""
+    inner = (lambda k: _operand(t, k)) if level == 2 else (lambda k: _expression(t, k, level + 1))
+    a = inner(i)
+    while a and a[0] < len(t) and t[a[0]].lower() == ("or", "and", "with")[level]:
+        b = inner(a[0] + 1)
+        if not b:
+            return None
+        a = (b[0], a[1], a[2]) if level == 2 else (b[0], a[1] | b[1], (a[2] or b[2]) if level == 0 else (a[2] and b[2]))
+    return a
+
+
+def license_labels(text: str | None) -> tuple[str, float]:
+    """All labels, and the score."""
+    from scantopo.llm.licenses import NOTICES
+
+    w = words(text)
+    phrases = {**NOTICES, **PHRASES}
+    found = [x for p, x in phrases.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+    doubt, labels = 0.5 ** len(found), set(found)
+    if any(w[i : i + 3] == ["spdx", "license", "identifier"] for i in range(len(w))):
+        for line in re.findall(r"(?ai:spdx[^0-9A-Za-z\n\x80-\U0010ffff]+license[^0-9A-Za-z\n\x80-\U0010ffff]+identifier)[ \t]*[:=]([^\n]*)", text or ""):
+            t, at = [], 0
+            while m := re.compile(r"[ \t]*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*)").match(line, at):
+                t.append(m[1])
+                at = m.end()
+            for n in range(len(t), 0, -1):
+                e = _expression(t[:n], 0)
+                if e and e[0] == n:
+                    labels |= e[1]
+                    doubt *= 0.05
+                    break
+    return ",".join(sorted(labels)), 1 - doubt
+
+
+def languages(docs: list[tuple]) -> list[tuple[str, float]]:
+    """Predictions and margins for rows (doc_id, text, lang), learned from those that aren't held out."""
+    from scantopo.llm import langid
+
+    letters = lambda t: " ".join("".join(c if unicodedata.category(c)[0] == "L" else " " for c in t.lower()).split())
+    name = lambda i: "" if i is None else str(i)
+    known = [(i, t, x) for i, t, x in docs if t is not None and x is not None and zlib.crc32(name(i).encode()) % 3 != 1]
+    n, sample = Counter(x for _, _, x in known), defaultdict(set)
+    for i, t, x in known:
+        h = 42
+        for v in ("langid", name(i), t):
+            h = xxhash.xxh64_intdigest(v.encode(), seed=h)
+        signed = h - (1 << 64) if h >> 63 else h
+        if (signed % (1 << 30)) / (1 << 30) < langid.SAMPLE / n[x]:
+            lo = max(1, (len(t) - langid.SHARE) // 2)
+            sample[x].add((signed, t[lo - 1 : lo - 1 + langid.SHARE]))
+    how = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, min_match=langid.MIN_MATCH, write_checksum=False, write_content_size=False, write_dict_id=False)
+    tools = {x: zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict("".join(letters(t) + " " for _, t in sorted(s)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for x, s in sample.items()}
+    out = []
+    for _, t, _ in docs:
+        raw = letters(t or "").encode()
+        k = max(1, round(len(raw) / langid.PIECE))
+        step = max(1, -(-len(raw) // k))
+        size = sorted((sum(len(z.compress(raw[a : a + step])) for a in range(0, len(raw), step)), x) for x, z in tools.items())
+        out.append((size[0][1], 1 - size[0][0] / size[1][0] if len(size) > 1 else 1.0) if raw and size else ("und", 0.0))
+    return out
