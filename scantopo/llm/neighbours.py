@@ -18,6 +18,10 @@ TABLES, PROJECTIONS, WIDTH, PROBES = 4, 8, 2.0, 400
 #: Vectors that one block of the index holds, about; hotter buckets are dealt to several blocks.
 BLOCK = 12_000
 QUERY_BATCH = 64
+#: Hot blocks up to which their list is broadcast.
+BROADCAST_PARTS = 50_000
+#: Rounding of a component in a squared distance by products, as a share of the squared norms: 16 units of the last place.
+ERROR = 16 * 2.0**-52
 SEED = 20240229
 
 
@@ -89,18 +93,31 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, tables: int = TABL
     only at equal distance, before ties are cut), so nothing grows with the square of a bucket. Blocks stay in memory,
     queries stream past them. A query that finds fewer than ``k`` in its buckets is held against all blocks of one table.
 
-    Vectors that are null, zero or of null or non-finite components take no part, nor do those whose length isn't the
-    commonest (the smaller of two as common). Ties go to the smaller vec_id, null last. Rows that repeat are rows of
-    their own: only a query's own row is no candidate of it. An empty table, or one vector, gives no rows.
+    Vectors that are null, zero or of null or non-finite components take no part. Vectors of different lengths have no
+    distance: those of each length are searched among themselves. Ties go to the smaller vec_id, null last. Rows that
+    repeat are rows of their own: only a query's own row is no candidate of it. Further columns, of whatever name, are
+    left aside. An empty table, or one vector, gives no rows.
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda e: e.cast("double")).alias("vec"), queries.alias("q")).filter(valid(F.col("vec")))
     v = materialise(v.withColumn("size", F.size("vec"))).withColumn("id", F.monotonically_increasing_id())
-    sizes = sorted((-r["n"], r["size"], r["sq"]) for r in v.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.sum(F.aggregate("vec", F.lit(0.0), lambda a, e: a + e * e)).alias("sq")).collect())
-    if not sizes:
-        return v.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    total, dim, square = -sizes[0][0], sizes[0][1], sizes[0][2]
-    cell = width * float(np.sqrt(square / total))
-    v = v.filter(F.col("size") == dim)
+    square = F.sum(F.aggregate("vec", F.lit(0.0), lambda a, e: a + e * e))
+    sizes = v.groupBy("size").agg(F.count(F.lit(1)).alias("n"), square.alias("sq"), F.max(F.col("q").cast("int")).alias("q")).filter("q = 1 AND n > 1").orderBy("size").collect()
+    out = v.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
+    for r in sizes:
+        found = _nearest(v.filter(F.col("size") == r["size"]), r["size"], r["n"], width * float(np.sqrt(r["sq"] / r["n"])), k, tables, projections_, probes)
+        out = found if len(sizes) == 1 else out.unionByName(found)
+    return out
+
+
+def preselect(near: np.ndarray, k: int, slack: np.ndarray) -> np.ndarray:
+    """Indexes that may hold the ``k`` least of the exact distances, of which ``near`` differ by ``slack`` at most."""
+    if len(near) <= k or not np.isfinite(near).all():
+        return np.arange(len(near))
+    return np.flatnonzero(near - slack <= np.partition(near + slack, k - 1)[k - 1])
+
+
+def _nearest(v: DataFrame, dim: int, total: int, cell: float, k: int, tables: int, projections_: int, probes: int) -> DataFrame:
+    """``nearest`` for the ``total`` rows of ``v`` (id, vec_id, vec, q), whose vectors have ``dim`` components."""
     parts = max(1, -(-total // BLOCK))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,11 +130,11 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, tables: int = TABL
                 yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int32)), b.column(0), b.column(1), one], names=_NAMES)
 
     indexed = v.select("id", "vec").mapInArrow(index, _ROW)
-    salts = {r["part"]: -(-r["n"] // (2 * BLOCK)) for r in indexed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a block
-    many = {p: s for p, s in salts.items() if s > 1}
-    if many:
-        deal = F.element_at(F.create_map(*[F.lit(x) for kv in many.items() for x in kv]), F.col("part"))
-        indexed = indexed.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), deal), F.lit(0)).cast("int"))
+    salted = materialise(indexed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 2 * BLOCK).select("part", F.ceil(F.col("n") / (2 * BLOCK)).cast("int").alias("deal")))
+    hot = salted.limit(BROADCAST_PARTS + 1).count()
+    salted = F.broadcast(salted) if hot <= BROADCAST_PARTS else salted
+    if hot:
+        indexed = indexed.drop("salt").join(salted, "part", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("deal")), F.lit(0)).cast("int")).select(*_NAMES)
 
     def probe(everywhere: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,13 +143,13 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, tables: int = TABL
                     rows = []
                     for t in range(1 if everywhere else tables):
                         if everywhere:
-                            by = {p: None for p in salts if p // parts == 0}
+                            by = dict.fromkeys(range(parts))
                         else:
                             key = keys(probe_cells(cells(vec[None], t, cell, tables, projections_)[0], probes), dim, t, tables, projections_)
                             part, by = t * parts + (key >> 7) % parts, {}
-                            for p in set(part.tolist()) & salts.keys():
+                            for p in set(part.tolist()):
                                 by[p] = key[part == p].tolist()
-                        rows += [(p, s, 1, ident, vec.tolist(), ks) for p, ks in by.items() for s in range(salts[p])]
+                        rows += [(p, 0, 1, ident, vec.tolist(), ks) for p, ks in by.items()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
 
         return run
@@ -154,19 +171,22 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, tables: int = TABL
                 if x is None:
                     ids, x, key = (np.concatenate(c) for c in zip(*held, strict=True))
                     uniq, which = np.unique(key, return_inverse=True)
-                    norms = (x * x).sum(1)
+                    centre = x.mean(0)  # products of what is left of the centre lose the least
+                    off = x - centre
+                    norms = (off * off).sum(1)
                 q, qid, want = _dense(rows.column(4)), rows.column(3).to_numpy(), rows.column(5).to_pylist()
                 for a in range(0, len(q), QUERY_BATCH):
-                    near = norms + (q[a : a + QUERY_BATCH] ** 2).sum(1)[:, None] - 2 * q[a : a + QUERY_BATCH] @ x.T
+                    qo = q[a : a + QUERY_BATCH] - centre
+                    own = (qo * qo).sum(1)
+                    near = norms + own[:, None] - 2 * qo @ off.T
+                    shift = np.abs(centre).max() ** 2  # what the subtraction rounds off, beside the products
                     out: list[tuple] = []
                     for i, d in enumerate(near, a):
                         ok = ids != qid[i]
                         if want[i] is not None:
                             ok &= np.isin(uniq, want[i])[which]
                         at = np.flatnonzero(ok)
-                        if len(at) > k:
-                            edge = np.partition(d[at], k - 1)[k - 1]
-                            at = at[d[at] <= edge + 1e-9 * (1 + abs(edge))]
+                        at = at[preselect(d[at], k, ERROR * dim * (norms[at] + own[i - a] + shift))]
                         score = np.sqrt(((x[at] - q[i]) ** 2).sum(1))
                         if len(at) > k:
                             last = np.partition(score, k - 1)[k - 1]
@@ -178,7 +198,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, tables: int = TABL
     def found(q: DataFrame, everywhere: bool) -> DataFrame:
         side = indexed.filter(F.col("part") < parts) if everywhere else indexed
         asked = q.select("id", "vec").mapInArrow(probe(everywhere), _ROW)
-        n = max(1, min(sum(salts.values()), 4 * v.sparkSession.sparkContext.defaultParallelism))
+        if hot:
+            asked = asked.drop("salt").join(salted, "part", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("deal", F.lit(1)) - 1))).select(*_NAMES)
+        n = max(1, min(tables * parts + hot, 4 * v.sparkSession.sparkContext.defaultParallelism))
         dealt = side.unionByName(asked).repartition(n, "part", "salt").sortWithinPartitions("part", "salt", "kind")
         return dealt.mapInArrow(scan, "qid long, id long, score double").distinct()
 

@@ -189,8 +189,7 @@ def test_op8(spark, request, which):
 def test_op9(spark, folder, sf):
     for d in (folder, sf):
         vecs = column(d, "embeddings", "vec_id", "embedding")
-        size = 3 if d == folder else 64
-        ok = [(i, np.array(v, float)) for i, v in vecs if v is not None and len(v) == size and None not in list(v) and np.isfinite(np.array(v, float)).all() and np.any(np.array(v, float))]
+        ok = [(i, np.array(v, float)) for i, v in vecs if v is not None and len(v) == (3 if d == folder else 64) and None not in list(v) and np.isfinite(np.array(v, float)).all() and np.any(np.array(v, float))]
         got: dict = {}
         for q, rank, v, s in rows(spark, "op9_neighbours", d):
             got.setdefault(q, []).append((rank, v, s))

@@ -281,6 +281,26 @@ def test_neighbours_fall_back_to_all_blocks(spark):
     assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (0, 4, 4), (0, 5, 5)]
 
 
+def test_neighbours_of_each_length_far_from_the_origin(spark):
+    r = np.random.default_rng(3)
+    for off in (0.0, 1e7):
+        x = {i: (r.standard_normal(8 if i % 3 else 2) + off).tolist() for i in range(300)}
+        v = spark.createDataFrame([(i, e, 0, "x") for i, e in x.items()], "vec_id long, embedding array<double>, id int, part string")
+        got: dict = {}
+        for q, rank, i, _ in neighbours.nearest(v, v["vec_id"] % 10 == 0, k=4, probes=10**6).collect():
+            got.setdefault(q, {})[rank] = i
+        for q in range(0, 300, 10):
+            d = sorted((float(np.sqrt(((np.array(x[q]) - np.array(x[i])) ** 2).sum())), i) for i in x if i != q and len(x[i]) == len(x[q]))
+            assert [got[q][n] for n in (1, 2, 3, 4)] == [i for _, i in d[:4]]
+
+
+def test_neighbours_in_hot_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 40)
+    v = spark.createDataFrame([(i, [1.0 + i % 5 * 1e-6, 2.0]) for i in range(200)] + [(200, [50.0, 1.0])], "vec_id long, embedding array<double>")
+    got = [tuple(x)[1:3] for x in neighbours.nearest(v, v["vec_id"] == 7, k=4).collect()]
+    assert sorted(got) == [(1, 2), (2, 12), (3, 17), (4, 22)]
+
+
 def test_block_max_is_exact():
     r = np.random.default_rng(0)
     terms = np.arange(40)
