@@ -1,4 +1,8 @@
-"""Toxicity by the nearest labelled examples, TF-IDF cosine over a block-max inverted index [operator 4]."""
+"""Toxicity by the nearest labelled examples, TF-IDF cosine over a block-max inverted index [operator 4].
+
+The vocabulary of the vectors is chosen from the labelled sample: with all words in it, the words that two texts share by
+their subject outweigh the few that make one toxic, and the nearest examples tell little (README has the figures).
+"""
 
 from __future__ import annotations
 
@@ -10,13 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from scantopo.llm._text import U, Words, id_text, materialise, mix64, slices, span_hash
 
 #: Labelled documents of each class that are examples, at most: the bounded sample of labelled rows.
 EXAMPLES = 3000
-#: Terms that vectors have, at most; example texts that must hold a term; terms expected to pass by chance alone.
-TERMS, LEAST_TEXTS, BY_CHANCE = 1024, 5, 0.05
+#: Example texts that must hold a term of the vocabulary, and terms expected to pass by chance alone.
+LEAST_TEXTS, BY_CHANCE = 5, 0.05
 #: Least shingle hashes by which near copies among examples are told, and the share that must agree: one of each family
 #: and class votes. Similarity is estimated to about 0.05.
 SKETCH, ALIKE = 64, 0.8
@@ -65,7 +70,7 @@ def one_of_each_family(rows: list[tuple[int, int, list[int], int]]) -> list[int]
 
 def term_counts(docs: DataFrame, keep: list[str], terms: np.ndarray | None) -> DataFrame:
     """``keep`` with terms and counts (arrays): those in the sorted ``terms``, or all, and then the sketch."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in keep]).schema)
     bits = base = None
     if terms is not None:
         base = np.unique(np.concatenate([terms, *[terms ^ m for m in AGAIN.values()]]))
@@ -104,7 +109,7 @@ def term_counts(docs: DataFrame, keep: list[str], terms: np.ndarray | None) -> D
                 yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in b.columns[1:]], *cols], names=[*keep, "terms", "counts", *more])
 
     more = ["sketch"] if terms is None else []
-    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(run, f"{fields}, terms array<long>, counts array<int>" + "".join(f", {m} array<long>" for m in more))
+    return docs.select(F.col("text").alias("_text"), *[f"`{c}`" for c in keep]).mapInArrow(run, f"{fields}, terms array<long>, counts array<int>" + "".join(f", {m} array<long>" for m in more))
 
 
 def examples(docs: DataFrame, labels: DataFrame, n: int = EXAMPLES) -> DataFrame:
@@ -136,55 +141,71 @@ def select_terms(found: DataFrame) -> np.ndarray:
     g = 2 * (part(a, both * p / (p + n)) + part(b, both * n / (p + n)) + part(p - a, (p + n - both) * p / (p + n)) + part(n - b, (p + n - both) * n / (p + n)))
     t = materialise(t)
     least = 2 * math.log(max(2, t.count()) / BY_CHANCE)  # the ratio's tail is about exp(-g / 2)
-    best = t.withColumn("g", g).filter((both >= LEAST_TEXTS) & (F.col("g") >= least) & (a / p > b / n)).orderBy(F.desc("g"), "t").limit(TERMS)
-    return np.sort(np.array([r["t"] for r in best.select("t").collect()], np.int64))
+    best = t.withColumn("g", g).filter((both >= LEAST_TEXTS) & (F.col("g") >= least) & (a / p > b / n)).select("t")
+    return np.sort(np.array([r["t"] for r in best.collect()], np.int64))
 
 
 @dataclass
 class Index:
-    """Distinct example vectors in blocks, by term; the greatest weight of each term in each block; votes."""
+    """Distinct example vectors, as postings of each term by vector, with the greatest weight in each block of vectors."""
 
     terms: np.ndarray  # sorted hashes
     idf: np.ndarray
-    weight: np.ndarray  # terms x vectors
-    block_max: np.ndarray  # terms x blocks
+    first: np.ndarray  # of each term, in the next three: blocks that hold it
+    block: np.ndarray
+    most: np.ndarray  # greatest weight there
+    posting: np.ndarray  # and where its postings begin, with one entry more
+    vector_of: np.ndarray  # postings: vectors, in order
+    weight: np.ndarray
     votes: np.ndarray  # vectors x 2: weighed documents of class 0 and 1
-    ids: list[int]  # an example's doc_id for each vector
+    ids: list  # an example's doc_id for each vector
+    rank: np.ndarray  # the order of these
     prior: float
-    bare: float  # score of a text without terms
-    steps: tuple[np.ndarray, np.ndarray]  # calibration: raw scores and what they mean
+    bare: float = 0.0  # score of a text without terms
+    steps: tuple[np.ndarray, np.ndarray] = (np.empty(0), np.empty(0))  # calibration: raw scores and what they mean
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(self.terms, terms)
-        w = (1 + np.log(counts)) * self.idf[at]
-        return at, w / np.sqrt((w * w).sum())
+        return weighed(np.searchsorted(self.terms, terms), counts, self.idf)
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` vectors of greatest cosine above 0, exactly: blocks are scored in order of the most they can hold,
-        until none that is left can better the ``k``-th."""
-        bound = w @ self.block_max[at]
+        until none that is left can better the ``k``-th. Cosines that are equal to 12 digits go by the examples' ids."""
+        blocks = -(-len(self.ids) // BLOCK)
+        bound, entry = np.zeros(blocks), np.full((len(at), blocks), -1)
+        for i, (t, x) in enumerate(zip(at.tolist(), w.tolist(), strict=True)):
+            own = slice(self.first[t], self.first[t + 1])
+            bound[self.block[own]] += x * self.most[own]
+            entry[i, self.block[own]] = np.arange(own.start, own.stop)
         best_at, best = np.empty(0, np.int64), np.empty(0)
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or (len(best) == k and bound[block] < best[-1]):
+        for b in np.argsort(-bound, kind="stable").tolist():
+            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1] - 1e-9):
                 break
-            lo = block * BLOCK
-            s = w @ self.weight[at, lo : lo + BLOCK]
+            s = np.zeros(BLOCK)
+            for i in np.flatnonzero(entry[:, b] >= 0).tolist():
+                own = slice(self.posting[entry[i, b]], self.posting[entry[i, b] + 1])
+                s[self.vector_of[own] - b * BLOCK] += w[i] * self.weight[own]
             own = np.flatnonzero(s > 0)
-            own = own[own + lo != skip]
-            best_at, best = np.concatenate([best_at, own + lo]), np.concatenate([best, s[own]])
-            order = np.lexsort((best_at, -best))[:k]
+            own = own[own + b * BLOCK != skip]
+            best_at, best = np.concatenate([best_at, own + b * BLOCK]), np.concatenate([best, np.round(s[own], 12)])
+            order = np.lexsort((self.rank[best_at], -best))[:k]
             best_at, best = best_at[order], best[order]
         return best_at, best
 
-    def raw(self, near: np.ndarray, cosine: np.ndarray, votes: np.ndarray | None = None) -> float:
+    def raw(self, near: np.ndarray, cosine: np.ndarray) -> float:
         """Share of class 1 among the neighbours, each weighed by 1 / (distance + 0.05), with one vote for the prior."""
-        v = (self.votes[near] if votes is None else votes) * (1 / (1.05 - np.minimum(cosine, 1)))[:, None]
+        v = self.votes[near] * (1 / (1.05 - np.minimum(cosine, 1)))[:, None]
         return float((v[:, 1].sum() + self.prior) / (v.sum() + 1))
 
     def calibrated(self, raw: float) -> float:
         return float(np.interp(raw, *self.steps)) if len(self.steps[0]) else raw
 
 
+def weighed(at: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """TF-IDF of terms ``at`` in a vector of length 1."""
+    w = (1 + np.log(counts)) * idf[at]
+    return at, w / np.sqrt((w * w).sum())
+
+
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Steps of the best non-decreasing fit of y to x: pools of adjacent violators, as (mean x, mean y)."""
     pools: list[list[float]] = []
@@ -196,13 +217,12 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
-def build(rows: list[tuple[int, int, list[int], list[int]]], terms: np.ndarray, idf: np.ndarray, share: float) -> Index:
+def build(rows: list[tuple], terms: np.ndarray, idf: np.ndarray, share: float) -> Index:
     """An index of examples (doc_id, toxic, terms, counts). ``share`` is that of class 1 among all labelled rows: as the
     sample takes both classes alike, a vote is weighed so that the votes of the classes are in that proportion."""
     n1 = sum(r[1] for r in rows)
     weigh = (max(1 - share, 1e-9) / max(1, len(rows) - n1), max(share, 1e-9) / max(1, n1))
     scale = 1 / min(weigh)
-    ix = Index(terms, idf, np.zeros((len(terms), 0)), np.zeros((len(terms), 0)), np.zeros((0, 2)), [], share, share, (np.empty(0), np.empty(0)))
     distinct: dict[tuple, list] = {}
     bare = [0.0, 0.0]
     for doc, toxic, t, c in sorted(rows, key=lambda r: (r[0], r[2], r[3])):
@@ -210,36 +230,41 @@ def build(rows: list[tuple[int, int, list[int], list[int]]], terms: np.ndarray,
             distinct.setdefault((tuple(t), tuple(c)), [doc, [0.0, 0.0]])[1][toxic] += weigh[toxic] * scale
         else:
             bare[toxic] += weigh[toxic] * scale
-    ix.bare = (bare[1] + share) / (sum(bare) + 1)
     # like vectors stand together, so that the bounds of blocks are tight
-    order = sorted(distinct, key=lambda k: (sorted(ix.terms.searchsorted(k[0]).tolist(), key=lambda i: -idf[i]), k[1]))
-    pad = -(-len(order) // BLOCK) * BLOCK
-    ix.weight, ix.votes = np.zeros((len(terms), pad)), np.zeros((pad, 2))
-    ix.ids = [distinct[k][0] for k in order]
-    for j, k in enumerate(order):
-        at, w = ix.vector(np.array(k[0]), np.array(k[1]))
-        ix.weight[at, j] = w
-        ix.votes[j] = distinct[k][1]
-    ix.block_max = ix.weight.reshape(len(terms), pad // BLOCK, BLOCK).max(2)
-    x, y, z = [], [], []
-    for j, k in enumerate(order):  # each left out once
-        at = np.searchsorted(terms, np.array(k[0]))
-        near, cosine = ix.nearest(at, ix.weight[at, j], skip=j)
-        x.append(ix.raw(near, cosine))
-        z.append(ix.votes[j].sum())
-        y.append(ix.votes[j, 1] / z[-1])
-    if x:
-        ix.steps = isotonic(np.array(x), np.array(y), np.array(z))
+    order = sorted(distinct, key=lambda k: (sorted(terms.searchsorted(k[0]).tolist(), key=lambda i: -idf[i]), k[1], distinct[k][0]))
+    vectors = [weighed(terms.searchsorted(np.array(k[0])), np.array(k[1]), idf) for k in order]
+    t, v, w = (np.concatenate(x) if vectors else np.empty(0, int) for x in ([a for a, _ in vectors], [np.full(len(a), j) for j, (a, _) in enumerate(vectors)], [x for _, x in vectors]))
+    by = np.lexsort((v, t))
+    t, v, w = t[by], v[by], w[by]
+    new = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (v[1:] // BLOCK != v[:-1] // BLOCK)]) if len(t) else np.empty(0, int)
+    ids = [distinct[k][0] for k in order]
+    rank = np.empty(len(ids), np.int64)
+    rank[sorted(range(len(ids)), key=lambda j: ids[j])] = np.arange(len(ids))
+    votes = np.array([distinct[k][1] for k in order]).reshape(-1, 2)
+    most = np.maximum.reduceat(w, new) if len(new) else np.empty(0)
+    ix = Index(terms, idf, np.searchsorted(t[new], np.arange(len(terms) + 1)), v[new] // BLOCK, most, np.append(new, len(t)), v, w, votes, ids, rank, share)
+    ix.bare = (bare[1] + share) / (sum(bare) + 1)
+    if vectors:
+        near = [ix.nearest(*x, skip=j) for j, x in enumerate(vectors)]  # each left out once
+        total = votes.sum(1)
+        ix.steps = isotonic(np.array([ix.raw(*x) for x in near]), votes[:, 1] / total, total)
     return ix
 
 
-def learn(docs: DataFrame, labels: DataFrame, counts: DataFrame | None, terms: np.ndarray, found: DataFrame, n_docs: int) -> Index:
+def learn(labels: DataFrame, counts: DataFrame, terms: np.ndarray, found: DataFrame, n_docs: int) -> Index:
     """An index from examples ``found``, with document frequencies over all rows of ``counts``."""
-    freq = {r["t"]: r["n"] for r in counts.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()} if counts is not None else {}
+    freq = {r["t"]: r["n"] for r in counts.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}  # of the vocabulary
     idf = np.array([np.log((n_docs + 1) / (freq.get(int(t), 0) + 1)) + 1 for t in terms])
-    chosen = set(terms.tolist())
-    at = F.filter(F.arrays_zip("terms", "counts"), lambda z: z["terms"].isin([int(t) for t in terms])) if len(terms) else F.array().cast("array<struct<terms:long,counts:int>>")
-    rows = [(r["doc_id"], r["toxic"], [z["terms"] for z in r["z"] if z["terms"] in chosen], [z["counts"] for z in r["z"] if z["terms"] in chosen]) for r in found.select("doc_id", "toxic", at.alias("z")).collect()]
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                t, c = (np.array(b.column(x)[i].as_py(), np.int64) for x in (2, 3))
+                ok = np.isin(t, terms)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), *[pa.array([x[ok].tolist()], pa.list_(kind)) for x, kind in ((t, pa.int64()), (c, pa.int32()))]], names=b.schema.names)
+
+    found = found.select("doc_id", "toxic", "terms", "counts")
+    rows = [tuple(r) for r in found.mapInArrow(own, found.schema).collect()]
     known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").agg(F.avg(F.col("toxic").cast("double")).alias("m")).collect()[0]["m"]
     return build(rows, terms, idf, known or 0.0)
 
@@ -248,19 +273,21 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` of every row of ``docs`` (doc_id, text), with toxic_score and toxic_evidence (doc_id and cosine of up to
     five examples), learned from ``labels`` (doc_id, toxic) of which the caller leaves out what is held out.
 
-    A first pass over the examples' texts picks the terms; one pass over all texts counts these, materialised without
-    the texts; document frequencies are of all documents; each document then meets the index, of at most 2 * EXAMPLES
-    vectors of TERMS terms, and its score is the calibrated, distance-weighted vote. Texts without terms (null and empty
-    ones too) score what such examples are. With no labels, or of one class, all scores are that class's share (0
-    without any). Nulls in ``keep`` stay, rows that repeat are scored each, an empty table gives an empty table.
+    A first pass over the examples' texts picks the vocabulary; one pass over all texts, long ones whole, counts its
+    terms, materialised without the texts; document frequencies are of all documents; each document then meets the
+    index, of at most 2 * EXAMPLES vectors, and its score is the calibrated, distance-weighted vote. Texts without
+    terms (null and empty ones too) score what such examples are. With no labels, or of one class, all scores are that
+    class's share (0 without any). Nulls in ``keep`` stay, rows that repeat are scored each, an empty table gives an
+    empty table; only ``keep`` of further columns is carried, whatever their names, but for those of the result.
     """
     found = materialise(examples(docs, labels))
     terms = select_terms(found)
     counts = materialise(term_counts(docs, keep, terms))
-    index = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, counts, terms, found, counts.count()))
+    index = docs.sparkSession.sparkContext.broadcast(learn(labels, counts, terms, found, counts.count()))
     names = [f"`{c}`" for c in keep]
-    fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.select(*keep).schema, strict=True))
-    ev = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
+    fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.select(*[f"`{c}`" for c in keep]).schema, strict=True))
+    kind = docs.schema["doc_id"].dataType
+    ev = pa.list_(pa.struct([("doc_id", to_arrow_type(kind)), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix, seen = index.value, {}
@@ -279,4 +306,4 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
                 evidence.append(e)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(scores, pa.float64()), pa.array(evidence, ev)], names=[*keep, "toxic_score", "toxic_evidence"])
 
-    return counts.mapInArrow(run, f"{fields}, toxic_score double, toxic_evidence array<struct<doc_id:long,cosine:double>>")
+    return counts.mapInArrow(run, f"{fields}, toxic_score double, toxic_evidence array<struct<doc_id:{kind.simpleString()},cosine:double>>")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import xxhash
 import zstandard
 
@@ -187,3 +189,59 @@ def languages(docs: list[tuple]) -> list[tuple[str, float]]:
         size = sorted((sum(len(z.compress(raw[a : a + step])) for a in range(0, len(raw), step)), x) for x, z in tools.items())
         out.append((size[0][1], 1 - size[0][0] / size[1][0] if len(size) > 1 else 1.0) if raw and size else ("und", 0.0))
     return out
+
+
+def toxicity(texts: list[str | None], examples: list[tuple], share: float) -> list[tuple[float, list]]:
+    """Score and evidence of each text, from examples (doc_id, toxic, text): all vectors against all, without an index."""
+    from scantopo.llm.toxicity import BEGINNINGS, BY_CHANCE, LEAST_TEXTS, NEIGHBOURS, isotonic
+
+    def terms(text: str | None) -> Counter:
+        w = [x.encode() for x in words(text)]
+        n = Counter(("word", x) for x in w) + Counter((k, x[:k]) for x in w for k in BEGINNINGS if len(x) > k)
+        return Counter(n) + Counter({(t, k): c for t, c in n.items() for k in (2, 3) if c >= k})
+
+    rows = [(i, y, terms(t)) for i, y, t in examples]
+    size = Counter(y for _, y, _ in rows)
+    held = {c: Counter(t for _, y, n in rows if y == c for t in n) for c in (0, 1)}
+    every, p, n = set(held[0]) | set(held[1]), size[1], size[0]
+    part = lambda o, e: o * math.log(o / e) if o > 0 else 0.0
+    vocabulary = set()
+    for t in every if p and n else ():
+        a, b = held[1][t], held[0][t]
+        g = 2 * (part(a, (a + b) * p / (p + n)) + part(b, (a + b) * n / (p + n)) + part(p - a, (p + n - a - b) * p / (p + n)) + part(n - b, (p + n - a - b) * n / (p + n)))
+        if a + b >= LEAST_TEXTS and g >= 2 * math.log(max(2, len(every)) / BY_CHANCE) and a / p > b / n:
+            vocabulary.add(t)
+    of = [{t: c for t, c in terms(x).items() if t in vocabulary} for x in texts]
+    freq = Counter(t for x in of for t in x)
+    idf = {t: math.log((len(texts) + 1) / (freq[t] + 1)) + 1 for t in vocabulary}
+
+    def vector(x: dict) -> dict:
+        w = {t: (1 + math.log(c)) * idf[t] for t, c in x.items()}
+        z = math.sqrt(sum(v * v for v in w.values()))
+        return {t: v / z for t, v in w.items()}
+
+    weigh = [max(1 - share, 1e-9) / max(1, n), max(share, 1e-9) / max(1, p)]
+    votes: dict = {}
+    bare = [0.0, 0.0]
+    for i, y, x in sorted(rows, key=lambda r: r[0]):
+        x = {t: c for t, c in x.items() if t in vocabulary}
+        own = votes.setdefault(frozenset(x.items()), (i, [0.0, 0.0], vector(x)))[1] if x else bare
+        own[y] += weigh[y] / min(weigh)
+    known = list(votes.values())
+
+    def near(v: dict, skip: object = None) -> list:
+        s = [(-round(sum(v[t] * w.get(t, 0.0) for t in v), 12), i, y) for i, y, w in known if (i, y) != skip]
+        return sorted(x for x in s if x[0] < 0)[:NEIGHBOURS]
+
+    def raw(found: list) -> float:
+        w = [(1 / (1.05 + max(s, -1)), y) for s, _, y in found]
+        return (sum(a * y[1] for a, y in w) + share) / (sum(a * sum(y) for a, y in w) + 1)
+
+    x = np.array([raw(near(w, (i, y))) for i, y, w in known])
+    steps = isotonic(x, np.array([y[1] / sum(y) for _, y, _ in known]), np.array([sum(y) for _, y, _ in known])) if known else None
+    out = []
+    for t in of:
+        found = near(vector(t)) if t else []
+        s = float(np.interp(raw(found), *steps)) if found else (bare[1] + share) / (sum(bare) + 1)
+        out.append((min(1.0, max(0.0, s)), [(i, round(-c, 9)) for c, i, _ in found[:5]]))
+    return out

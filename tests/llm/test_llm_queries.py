@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import random
+import zlib
 
 import brute
 import duckdb
@@ -13,7 +14,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from scantopo.llm import langid, queries
+from scantopo.llm import langid, queries, toxicity
 
 LONG = " ".join(f"w{i % 997}x{i * 7 % 1013}" for i in range(60_000))
 PASSAGE = " ".join(f"common{i}" for i in range(60))
@@ -132,6 +133,15 @@ def test_oracles(spark, request, name, which):
 def test_op4(spark, folder, sf):
     got = rows(spark, "op4_toxicity", folder)
     assert len(got) == len(awkward()) and all(0 <= r[2] <= 1 and r[3] == (r[2] >= 0.5) for r in got)
+    d = "/root/testdata/sf0.01"
+    docs, known = column(d, "documents", "doc_id", "text"), {i: y for i, y in column(d, "labels", "doc_id", "toxic") if zlib.crc32(str(i).encode()) % 5}
+    labels = spark.createDataFrame(list(known.items()), "doc_id long, toxic int")
+    chosen = {r["doc_id"] for r in toxicity.examples(spark.read.parquet(f"{d}/documents.parquet"), labels).collect()}
+    want = brute.toxicity([t for _, t in docs], [(i, known[i], t) for i, t in docs if i in chosen], sum(known.values()) / len(known))
+    got = {r[0]: r for r in rows(spark, "op4_toxicity", d)}
+    assert {round(s, 6) for s, _ in want} != {round(want[0][0], 6)}
+    for (i, _), (s, e) in zip(docs, want, strict=True):
+        assert abs(got[i][2] - s) < 1e-9 and [(x["doc_id"], round(x["cosine"], 9)) for x in got[i][4]] == e
     d = "/root/testdata/sf0.1"
     found = {r[0]: r for r in rows(spark, "op4_toxicity", d)}
     held = [(found[i][2], y) for i, y in column(d, "labels", "doc_id", "toxic") if found[i][1]]

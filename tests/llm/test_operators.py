@@ -266,6 +266,13 @@ def test_toxicity_keeps_one_example_of_each_family_and_class(spark):
     assert sorted((x["doc_id"], x["toxic"]) for x in got) == [(i, i % 2) for i in range(42)]
 
 
+def test_toxicity_of_string_ids(spark):
+    docs = spark.createDataFrame([(f"d{i}", f"plain{i} words{i % 7} " + ("awful nasty" if i % 4 == 0 else "fine")) for i in range(120)], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", int(i % 4 == 0)) for i in range(100)], "doc_id string, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score(docs, labels, ["doc_id"]).collect()}
+    assert all((got[f"d{i}"]["toxic_score"] >= 0.5) == (i % 4 == 0) for i in range(120)) and all(int(e["doc_id"][1:]) % 4 == 0 for e in got["d108"]["toxic_evidence"])
+
+
 def test_probe_cells_are_in_order_of_cost():
     at = np.array([0.2, 3.7, -1.45])
     got = neighbours.probe_cells(at, 27)
@@ -307,12 +314,17 @@ def test_block_max_is_exact():
     rows = [(i, int(i % 3 == 0), sorted(r.choice(40, r.integers(1, 5), replace=False).tolist()), None) for i in range(700)]
     rows = [(i, y, t, [1] * len(t)) for i, y, t, _ in rows]
     ix = toxicity.build(rows, terms, r.random(40) + 0.5, 0.3)
+    full = np.zeros((len(ix.ids), 40))
+    for t in range(40):
+        own = slice(ix.posting[ix.first[t]], ix.posting[ix.first[t + 1]])
+        full[ix.vector_of[own], t] = ix.weight[own]
+    assert np.allclose((full * full).sum(1), 1)
     for _ in range(30):
         at, w = ix.vector(np.sort(r.choice(40, 3, replace=False)), np.ones(3))
         near, cosine = ix.nearest(at, w, 10)
-        full = w @ ix.weight[at]
-        order = np.lexsort((np.arange(len(full)), -full))[:10]
-        assert near.tolist() == order[full[order] > 0].tolist() and np.allclose(cosine, full[near])
+        want = np.round(full[:, at] @ w, 12)
+        order = np.lexsort((ix.ids, -want))[:10]
+        assert near.tolist() == order[want[order] > 0].tolist() and np.allclose(cosine, want[near])
 
 
 def test_isotonic():
