@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scantopo.llm._text import Carried
+
 #: Share of a source by its place in code-point order, repeating.
 WEIGHTS = (1, 2, 3)
 #: No source, and so no document, is taken more often than this.
 CAP = 3
 SEED = "mix-1"
+RESULTS = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
 
 
 def word_count(text: Column) -> Column:
@@ -51,14 +54,15 @@ def mix(docs: DataFrame, size: Column, order: Column, weights: tuple[int, ...] =
     The prefix sum of these, plus one offset of the source in [0, 1), is copied once for each integer it crosses, so a
     row has the floor or the ceiling of its expectation (never over ``cap``), and rows of like size are thinned evenly:
     taken words stay near the target. Ranks come from counts of (source, size, first digest byte) cells: a source that
-    holds a third of all rows, or one size that does, is spread over 256 cells, and no window sees more than one cell.
+    holds a third of all rows, or one size or id that does, is spread over 256 cells, and no window sees more than one cell.
 
     Rows with null source form the last source. Null or empty texts have size 0 and take 0 words. Rows that repeat are
-    rows of their own. An empty table gives an empty table. Columns of ``docs`` are kept as they are, but for those
-    named mix_..., which are replaced.
+    rows of their own; ``order`` should tell texts apart, so that ties are between equal rows. An empty table gives an
+    empty table. Columns of ``docs`` are kept as they are, whatever their names, but for those named like the four of
+    the result, which are replaced.
     """
-    docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
-    b = docs.withColumns({"mix_size": size, "mix_s": source_key(F.col("source")), "mix_k": F.md5(order)}).withColumn("mix_b", F.substring("mix_k", 1, 2))
+    own = Carried(docs, docs.columns, RESULTS)
+    b = docs.select(*own.take, size.alias("mix_size"), source_key(F.col("source")).alias("mix_s"), F.md5(order).alias("mix_k")).withColumn("mix_b", F.substring("mix_k", 1, 2))
     cell = b.groupBy("mix_s", "mix_size", "mix_b").agg(F.count(F.lit(1)).alias("n"))
     by_size = cell.groupBy("mix_s", "mix_size").agg(F.sum("n").alias("n"))
     earlier = lambda *p: Window.partitionBy(*p[:-1]).orderBy(p[-1]).rowsBetween(Window.unboundedPreceding, -1)
@@ -73,18 +77,25 @@ def mix(docs: DataFrame, size: Column, order: Column, weights: tuple[int, ...] =
     offset = unit(F.concat(F.lit(seed), F.col("mix_s")))
     k = (F.col("mix_before") + F.col("mix_rank")).cast("double")
     copies = F.floor(offset + each * k) - F.floor(offset + each * (k - 1))
-    return out.withColumn("mix_copies", copies.cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns], "mix_size", "mix_source_size", "mix_target", "mix_copies")
+    return out.withColumn("mix_copies", copies.cast("long")).select(*own.back, *RESULTS)
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """One row for each copy, numbered from 1 in column ``copy``; rows without a copy go."""
-    columns = [f"`{c}`" for c in mixed.columns if not c.startswith("mix_") and c != "copy"]
-    return mixed.filter("mix_copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("copy"))
+    """One row for each copy, numbered from 1 in column ``copy``, which replaces one of that name; rows without a copy
+    go, and the columns that ``mix`` added."""
+    own = Carried(mixed, mixed.columns, (*RESULTS, "copy"))
+    out = mixed.filter("mix_copies > 0").select(*own.take, F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("_copy"))
+    return out.select(*own.back, F.col("_copy").alias("copy"))
+
+
+def tie_broken(doc_id: Column, text: Column) -> Column:
+    """What rows of one size are ordered by, as a digest: the doc_id, then the text; nulls count as empty."""
+    return F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))))
 
 
 ORACLE = """
 WITH d AS (
-  SELECT doc_id, coalesce('0' || source, '1') AS s, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+  SELECT doc_id, coalesce('0' || source, '1') AS s, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS k,
          CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM {table}
 ), a AS (
   SELECT s, sum(size) AS z, CAST((row_number() OVER (ORDER BY s) - 1) % 3 + 1 AS DOUBLE) AS w FROM d GROUP BY s

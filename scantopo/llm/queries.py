@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scantopo.llm import decontaminate, langid, licenses, mixing, nearcopies, neighbours, repeats, secrets, toxicity, warc
-from scantopo.llm._text import id_text, materialise
+from scantopo.llm._text import materialise
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,8 +43,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    d = materialise(d.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size")))
-    m = mixing.mix(d, F.col("size"), id_text(F.col("doc_id")))
+    d = materialise(d.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), mixing.tie_broken(F.col("doc_id"), F.col("text")).alias("key")))
+    m = mixing.mix(d, F.col("size"), F.col("key"))
     return m.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("size")).alias("taken"))
 
 
