@@ -6,13 +6,14 @@ import base64
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scantopo.llm._text import checkpoint_dir
+from scantopo.llm._text import checkpoint_dir, materialise, spread_join
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -22,6 +23,7 @@ LEAST = 0
 #: Groups of equal payloads up to which their list is broadcast; beyond it is joined.
 BROADCAST_GROUPS = 50_000
 CAPTURES_A_FILE = 1_000
+BATCH_BYTES = 4 << 20
 _END = "\r\n"
 
 
@@ -40,6 +42,14 @@ def record_id(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
+def quoted(field: Column) -> Column:
+    """A value as text that fits a header line: percent signs, line ends and outer spaces are escaped."""
+    out = F.regexp_replace(field.cast("string"), "%", "%25")
+    for plain, code in (("\r", "%0D"), ("\n", "%0A"), ("^ | $", "%20"), ("^\t|\t$", "%09")):
+        out = F.regexp_replace(out, plain, code)
+    return out
+
+
 def _record(kind: str | Column, ident: Column, target: Column, media: str, extra: list[tuple[str, Column]], block: Column, body: Column | None = None, body_bytes: Column | None = None) -> Column:
     """A record without the two line ends that close it; headers whose value is null are left out. The block is
     ``block``, then ``body``, whose length is given so that a long text is put together once."""
@@ -49,21 +59,25 @@ def _record(kind: str | Column, ident: Column, target: Column, media: str, extra
     return F.concat(F.lit(f"WARC/1.1{_END}"), *lines, F.lit(_END), block, *([] if body is None else [body]))
 
 
-def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
+def records(pages: DataFrame, least: int = LEAST, broadcast: int = BROADCAST_GROUPS) -> DataFrame:
     """One row (warc string) for each row of ``pages``: its request, response or revisit, and metadata records, with
     the two line ends between them that close a record, and none after the last.
 
     Of equal payloads of at least ``least`` bytes, the row with the largest page_id is the response (all of them, where
     that page_id repeats; a null page_id counts as least), the others revisit it. Groups of one are never listed, so
-    the list of groups is short as a rule and then broadcast; where it isn't, the rows meet it in a join.
+    the list of groups is short as a rule and then broadcast; where it isn't, the rows meet it in a join that spreads
+    the rows of a hot group. A null html is an empty payload, a null url about:blank; very long payloads are put
+    together once; an empty table gives no rows; further columns, of whatever name, are left aside.
     """
     spark = pages.sparkSession
     target = F.regexp_replace(F.coalesce("url", F.lit("about:blank")), r"[\r\n]", "")
     p = pages.select(F.col("page_id"), target.alias("uri"), F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumns({"digest": base32_sha1(F.col("html").cast("binary")), "n": F.octet_length("html")})
-    groups = p.filter(F.col("n") >= least).groupBy("digest").agg(F.count(F.lit(1)).alias("m"), F.max("page_id").alias("first")).filter("m > 1").select("digest", "first")
-    few = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    p = p.join(F.broadcast(groups) if few else groups, "digest", "left").withColumn("cap", F.monotonically_increasing_id())
+    groups = p.filter(F.col("n") >= least).groupBy("digest").agg(F.count(F.lit(1)).alias("m"), F.max("page_id").alias("first")).filter("m > 1").select("digest", "first", F.col("m").alias("n"))
+    groups = materialise(groups)
+    few = groups.limit(broadcast + 1).count() <= broadcast
+    p = p.join(F.broadcast(groups.select("digest", "first")), "digest", "left") if few else spread_join(p, groups.select("digest", "first"), ["digest"], groups.select("digest", "n"), "left")
+    p = p.withColumn("cap", F.monotonically_increasing_id())
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("-"))
     first = F.coalesce(F.col("first").cast("string"), F.lit("-"))
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
@@ -72,7 +86,7 @@ def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=utf-8{_END}Content-Length: "), F.col("n").cast("string"), F.lit(_END * 2))
     path = F.regexp_replace(F.col("uri"), r"^[a-z]+://[^/]*", "")
     ask = F.concat(F.lit("GET "), F.when(path == "", F.lit("/")).otherwise(path), F.lit(f" HTTP/1.1{_END}Host: "), F.regexp_extract("uri", r"^[a-z]+://([^/]*)", 1), F.lit(_END * 2))
-    about = F.concat(F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit(_END)), F.lit("")), F.lit("via: table"), F.lit(_END))
+    about = F.concat(F.coalesce(F.concat(F.lit("page-id: "), quoted(F.col("page_id")), F.lit(_END)), F.lit("")), F.lit("via: table"), F.lit(_END))
     revisit = lambda c: F.when(again, c)
     uri = F.col("uri")
     warc = F.concat_ws(
@@ -101,31 +115,57 @@ def write(pages: DataFrame, path: str, least: int = LEAST) -> str:
     return path
 
 
-def parse(raw: bytes) -> Iterator[tuple[dict[str, list[str]], bytes]]:
-    """Headers (lower-case names) and blocks of the records of an archive, by their lengths alone."""
-    at = 0
-    while at < len(raw):
-        head = raw.index(b"\r\n\r\n", at)
-        lines = raw[at:head].decode("utf-8", "replace").split("\r\n")
+def parse(raw: bytes | Iterable[bytes]) -> Iterator[tuple[dict[str, list[str]], bytes]]:
+    """Headers (lower-case names) and blocks of the records of an archive, by their lengths alone.
+
+    The archive may come in pieces; no more of it is held than a record and a piece.
+    """
+    source = iter([raw] if isinstance(raw, bytes) else raw)
+    held = bytearray()
+    while True:
+        head, seen = held.find(b"\r\n\r\n"), 0
+        while head < 0:
+            seen = max(0, len(held) - 3)
+            if (piece := next(source, None)) is None:
+                if held:
+                    raise ValueError(f"the archive ends within a record: {bytes(held[:40])!r}")
+                return
+            held += piece
+            head = held.find(b"\r\n\r\n", seen)
+        lines = held[:head].decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}: {lines[0][:40]!r}")
+            raise ValueError(f"no record: {lines[0][:40]!r}")
         fields: dict[str, list[str]] = {}
         for line in lines[1:]:
             k, _, v = line.partition(":")
             fields.setdefault(k.strip().lower(), []).append(v.strip())
-        n = int(fields["content-length"][0])
-        yield fields, raw[head + 4 : head + 4 + n]
-        at = head + 4 + n + 4
-
-
-def inflate(raw: bytes) -> bytes:
-    """The members of a gzip file, one or many."""
-    out = []
-    while raw:
+        end = head + 4 + int(fields["content-length"][0])
+        while len(held) < end + 4 and (piece := next(source, None)) is not None:
+            held += piece
+        if len(held) < end:
+            raise ValueError(f"the archive ends within a record: {lines[0][:40]!r}")
+        block = bytes(held[head + 4 : end])
+        del held[: end + 4]
+        yield fields, block
+
+
+def inflate(raw: bytes, piece: int = 1 << 18) -> Iterator[bytes]:
+    """The members of a gzip file, one or many, in pieces of up to ``piece`` bytes."""
+    view, at = memoryview(raw), 0
+    while at < len(raw):
         d = zlib.decompressobj(31)
-        out.append(d.decompress(raw) + d.flush())
-        raw = d.unused_data
-    return b"".join(out)
+        while not d.eof and at < len(raw):
+            fed = bytes(view[at : at + piece])
+            at += len(fed)
+            while fed and not d.eof:
+                if out := d.decompress(fed, piece):
+                    yield out
+                fed = d.unconsumed_tail
+        if not d.eof and (out := d.flush()):  # what was held back as the input ended
+            yield out
+        if not d.eof:
+            raise ValueError("the gzip file is cut off")
+        at -= len(d.unused_data)
 
 
 SCHEMA = (
@@ -138,15 +178,22 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The records of the archives under ``path``; payload is null where ``payloads`` is false.
 
     payload_bytes and payload_digest of a response are measured on its payload; those of a revisit, which stores none,
-    are what its headers say.
+    are what its headers say. A file is held as it is stored, and one of its records at a time; records go on in
+    batches of about BATCH_BYTES.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for raw in b.column(0):
-                out = [_row(f, block, payloads) for f, block in parse(inflate(raw.as_py()))]
-                for i in range(0, len(out), 500):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 500], strict=True), _TYPES, strict=True)], names=_NAMES)
+                out, size = [], 0
+                for fields, block in parse(inflate(raw.as_py())):
+                    out.append(_row(fields, block, payloads))
+                    size += len(block) if payloads else 500
+                    if size >= BATCH_BYTES:
+                        yield _batch(out)
+                        out, size = [], 0
+                if out:
+                    yield _batch(out)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
     return files.select("content").mapInArrow(run, SCHEMA)
@@ -156,6 +203,10 @@ _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 _TYPES = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in SCHEMA.split(", ")]
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
+
+
 def _row(f: dict[str, list[str]], block: bytes, payloads: bool) -> tuple:
     get = lambda k: f.get(k, [None])[0]
     kind, n, digest, page, payload = get("warc-type"), None, None, None, None
@@ -168,7 +219,7 @@ def _row(f: dict[str, list[str]], block: bytes, payloads: bool) -> tuple:
             said = [x.split(b":")[1] for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
             n, digest, payload = int(said[0]) if said else None, named, None
     elif kind == "metadata":
-        page = next((x.partition(":")[2].strip() for x in block.decode("utf-8", "replace").split("\r\n") if x.startswith("page-id:")), None)
+        page = next((unquote(x.partition(":")[2].strip(" ")) for x in block.decode("utf-8", "replace").split("\r\n") if x.startswith("page-id:")), None)
     return kind, get("warc-record-id"), get("warc-concurrent-to"), get("warc-refers-to"), get("warc-target-uri"), named, n, digest, page, payload if payloads else None
 
 
