@@ -9,14 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scantopo.llm._text import Words, encode, materialise, slices
+from scantopo.llm._text import Carried, Words, encode, materialise, slices
 
 #: Words of a window and of the shingles by which windows are found.
 WINDOW, SHINGLE = 13, 5
 #: A document with at least one word in RATIO hit is contaminated.
 RATIO = 20
-#: Bits of the filters sent to the executors, whatever the size of the benchmark.
-FILTER_BITS = 1 << 22
+#: Bits of the filters sent to the executors: at least, at most (32 MB, a filter for 30 million shingles), and for each
+#: shingle. Beyond that more shingles pass that the join then drops.
+FILTER_BITS, MOST_BITS, BITS_EACH = 1 << 22, 1 << 28, 8
 
 
 def windows(bench: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
@@ -59,6 +60,11 @@ def bit_filter(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
+def filter_bits(n: int) -> int:
+    """Bits of a filter for ``n`` hashes: a power of two."""
+    return min(MOST_BITS, max(FILTER_BITS, 1 << (BITS_EACH * n - 1).bit_length() if n else 0))
+
+
 def _passing(w: Words, n: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at, h = w.grams(n)
     h = h.view(np.int64)
@@ -82,11 +88,9 @@ def rarity(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def occurrences(docs: DataFrame, keep: list[Column], bits: np.ndarray, sizes: list[int], window: int = WINDOW) -> DataFrame:
+def occurrences(docs: DataFrame, keep: Carried, bits: np.ndarray, sizes: list[int], window: int = WINDOW) -> DataFrame:
     """``keep`` with n_words and occ: where a shingle passes the filter, with the words that a window over it may have."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
-    names = docs.select(*keep).columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     occ = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32()), ("lo", pa.int32()), ("words", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,9 +106,9 @@ def occurrences(docs: DataFrame, keep: list[Column], bits: np.ndarray, sizes: li
                         first, end = int(w.first[i]), int(w.first[i + 1])
                         a, z = max(first, at - window + s), min(end, at + window)
                         found[lo + i].append({"h": h, "pos": at - first, "lo": a - first, "words": b" ".join(w.words_of(a, z)).decode("utf-8", "replace")})
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(counts), pa.array(found, occ)], names=[*names, "n_words", "occ"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(counts), pa.array(found, occ)], names=[*keep.inner, "n_words", "occ"])
 
-    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(run, f"{fields}, n_words long, occ array<struct<h:long,pos:int,lo:int,words:string>>")
+    return docs.select(F.col("text").alias("_text"), *keep.take).mapInArrow(run, f"{keep.fields}n_words long, occ array<struct<h:long,pos:int,lo:int,words:string>>")
 
 
 def covered(spans: Column) -> Column:
@@ -128,24 +132,26 @@ def find(docs: DataFrame, bench: DataFrame, keep: list[str], window: int = WINDO
     shingle; a pair stays if the window lies within the document by position and length and its words are the same.
     No text is shuffled, and a row's hits are grouped by a row number, so that copies don't meet.
 
-    Null and empty texts have no words and aren't contaminated; nulls in ``keep`` stay; rows that repeat are judged
-    each; an empty benchmark hits nothing; an empty ``docs`` gives an empty table.
+    Null and empty texts have no words and aren't contaminated; very long ones are read whole; nulls in ``keep`` stay,
+    but its columns named like one of the result's are replaced; rows that repeat are judged each; an empty benchmark
+    hits nothing; an empty ``docs`` gives an empty table.
     """
+    own = Carried(docs, keep, ("n_words", "n_hit", "items", "contaminated"))
     wins = materialise(windows(bench, window, shingle))
     each = wins.select("*", F.explode("shingles").alias("s")).select("item_id", "words", "len", "s.h", "s.off", "s.n")
     sizes = sorted(r["n"] for r in each.select("n").distinct().collect())  # of 1 to ``shingle`` words
     if sizes:
-        counts = rarity(docs, bit_filter(each), sizes)
+        counts = rarity(docs, bit_filter(each, filter_bits(each.count())), sizes)
         best = F.min_by(F.struct("h", "off"), F.struct("c", "h", "off"))
         index = each.join(counts.withColumnRenamed("n", "c"), "h").groupBy("item_id", "words", "len").agg(best.alias("b"), F.count_distinct("off").alias("m"), F.max(F.col("len") - F.col("n") + 1).alias("all"))
         index = materialise(index.filter("m = all").select("item_id", "words", "len", "b.h", "b.off"))
-        bits = bit_filter(index)
+        bits = bit_filter(index, filter_bits(index.count()))
     else:
         bits = np.zeros(FILTER_BITS, bool)
-    rows = materialise(occurrences(docs, [F.col(f"`{c}`") for c in keep], bits, sizes, window)).withColumn("_row", F.monotonically_increasing_id())
+    rows = materialise(occurrences(docs, own, bits, sizes, window)).withColumn("_row", F.monotonically_increasing_id())
     none = F.lit(0).cast("long")
     if not sizes:
-        return rows.select(*[F.col(f"`{c}`") for c in keep], "n_words", none.alias("n_hit"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"))
+        return rows.select(*own.back, "n_words", none.alias("n_hit"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"))
     occ = rows.select("_row", "n_words", F.explode("occ").alias("o")).select("_row", "n_words", "o.*")
     start = F.col("pos") - F.col("off")
     pairs = occ.join(index.withColumnRenamed("words", "w"), "h").filter((start >= 0) & (start + F.col("len") <= F.col("n_words")))
@@ -154,7 +160,7 @@ def find(docs: DataFrame, bench: DataFrame, keep: list[str], window: int = WINDO
     hits = hits.select("_row", covered(F.col("spans")).alias("n_hit"), F.array_sort("items").alias("items"))
     n = F.coalesce("n_hit", none)
     return rows.drop("occ").join(hits, "_row", "left").select(
-        *[F.col(f"`{c}`") for c in keep], "n_words", n.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n > 0) & (ratio * n >= F.col("n_words"))).alias("contaminated")
+        *own.back, "n_words", n.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n > 0) & (ratio * n >= F.col("n_words"))).alias("contaminated")
     )
 
 
