@@ -18,9 +18,12 @@ BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named, as in tests."""
+    """The shared folder the cluster names. Where none is named, a temporary one in local mode, as in tests; an error
+    elsewhere, as executors wouldn't share it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = getattr(spark, "_scantopo_dir", None) or tempfile.mkdtemp(prefix="scantopo-")
         spark._scantopo_dir = named
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -41,6 +44,54 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Rows of one key that a task may read; hottest keys whose rows are spread, at most.
+HOT_ROWS, HOT_KEYS = 2_000, 50_000
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that begins with ``name`` and isn't among ``taken``, in whatever letter case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+class Carried:
+    """Columns that go through an operator under names of its own, ``_c0``, ``_c1``, ..., and come out under theirs.
+
+    Those named like one of ``results`` are left out, as the result's column replaces them.
+    """
+
+    def __init__(self, docs: DataFrame, keep: list[str], results: tuple[str, ...] = ()):
+        low = {r.lower() for r in results}
+        own = [c for c in keep if c.lower() not in low]
+        self.inner = [f"_c{i}" for i in range(len(own))]
+        self.take = [F.col(f"`{c}`").alias(i) for c, i in zip(own, self.inner, strict=True)]
+        self.back = [F.col(i).alias(c) for c, i in zip(own, self.inner, strict=True)]
+        self.fields = "".join(f"{i} {f.dataType.simpleString()}, " for i, f in zip(self.inner, docs.select(*self.take).schema, strict=True))
+
+    def __getstate__(self) -> dict:
+        return {"inner": self.inner}  # what functions on the executors need
+
+
+def spread_join(rows: DataFrame, other: DataFrame, on: list[str], counts: DataFrame, how: str = "inner", hot: int = HOT_ROWS) -> DataFrame:
+    """``rows`` joined with ``other``, which has a row a key at most, without a task that reads all rows of a hot key.
+
+    ``counts`` (the key, n) names the rows of at least those keys of ``rows`` that have more than ``hot``. The rows of
+    the HOT_KEYS most frequent ones are dealt to as many tasks as they need, and their row of ``other`` goes to each; a
+    key beyond those has at most one in HOT_KEYS of all rows. ``rows`` must come in the same order when read again.
+    """
+    most = counts.filter(F.col("n") > hot).orderBy(F.desc("n")).limit(HOT_KEYS)
+    most = materialise(most.select(*on, F.ceil(F.col("n") / hot).cast("int").alias("_deal")))
+    if most.isEmpty():
+        return rows.join(other, on, how)
+    most = F.broadcast(most)
+    n = F.coalesce("_deal", F.lit(1))
+    dealt = rows.withColumn("_turn", F.monotonically_increasing_id()).join(most, on, "left").withColumn("_salt", F.pmod("_turn", n).cast("int")).drop("_deal", "_turn")
+    each = other.join(most, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_deal")
+    return dealt.join(each, [*on, "_salt"], how).drop("_salt")
+
+
 def text_key(text: Column) -> list[Column]:
     """128 bits of identity of a text, as two longs ``k1`` and ``k2``; null counts as empty."""
     t = F.coalesce(text, F.lit(""))

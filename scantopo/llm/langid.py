@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scantopo.llm._text import id_text, parts
+from scantopo.llm._text import Carried, id_text, parts
 
 #: Documents (about, by a digest) that a language's dictionary is made of, and characters of each: the bounded sample of
 #: labelled rows, 120 KiB a language in the alphabets at hand.
@@ -98,8 +98,7 @@ def identify(docs: DataFrame, dicts: dict[str, bytes], margin: float = MARGIN, k
     four names are replaced; an empty table gives an empty table.
     """
     names = ["lang_pred", "lang_score", "lang_margin", "lang_rejected"]
-    own = keep if keep is not None else [c for c in docs.columns if c not in names]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in own]).schema)
+    own = Carried(docs, docs.columns if keep is None else keep, tuple(names))
     pairs = tuple(sorted(dicts.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,6 +106,7 @@ def identify(docs: DataFrame, dicts: dict[str, bytes], margin: float = MARGIN, k
             found = [judge(t, pairs) for t in b.column(0).to_pylist()]
             cols = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.float64())]
             cols.append(pa.array([f[0] == UNKNOWN or f[2] < margin for f in found], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *cols], names=[*own, *names])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *cols], names=[*own.inner, *names])
 
-    return docs.select(F.col("text").alias("_text"), *[f"`{c}`" for c in own]).mapInArrow(run, f"{fields}, lang_pred string, lang_score double, lang_margin double, lang_rejected boolean")
+    told = docs.select(F.col("text").alias("_text"), *own.take).mapInArrow(run, f"{own.fields}lang_pred string, lang_score double, lang_margin double, lang_rejected boolean")
+    return told.select(*own.back, *names)

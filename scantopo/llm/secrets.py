@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scantopo.llm._text import parts
+from scantopo.llm._text import Carried, parts
 
 KINDS = ("assign", "access", "hex", "novel")
 #: The three patterns every scan must find.
@@ -210,18 +210,18 @@ def scan(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """All rows of ``docs``, and its columns or those in ``keep``, with secret_spans: kind, start and end in code
     points, by start and kind.
 
-    One pass over whole texts, without a shuffle. Null and empty texts have no spans; rows that repeat give equal rows;
-    an empty table gives an empty table; a column secret_spans of the input is replaced.
+    One pass over whole texts, long ones too, without a shuffle. Null and empty texts have no spans; rows that repeat
+    give equal rows; nulls in other columns stay; an empty table gives an empty table; a column secret_spans of the
+    input is replaced, other columns are kept whatever their names.
     """
-    names = keep if keep is not None else [c for c in docs.columns if c != "secret_spans"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
+    own = Carried(docs, docs.columns if keep is None else keep, ("secret_spans",))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
             found = [[{"kind": k, "start": x, "end": y} for k, x, y in spans_of(t or "")] for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(found, _SPAN)], names=[*names, "secret_spans"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(found, _SPAN)], names=[*own.inner, "secret_spans"])
 
-    return docs.select(F.col("text").alias("_text"), *names).mapInArrow(run, f"{fields}, secret_spans {SCHEMA.split(' ', 1)[1]}")
+    return docs.select(F.col("text").alias("_text"), *own.take).mapInArrow(run, f"{own.fields}secret_spans {SCHEMA.split(' ', 1)[1]}").select(*own.back, "secret_spans")
 
 
 def mask(text: str | None, spans: list[tuple[int, int]], by: str = "[SECRET]") -> str | None:
@@ -236,8 +236,11 @@ def mask(text: str | None, spans: list[tuple[int, int]], by: str = "[SECRET]") -
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every secret in ``text`` masked, and n_chars, where there is one, of the text as it is then."""
-    names = docs.columns
+    """``docs`` with every secret in ``text`` masked, and n_chars, where there is one, of the text as it is then.
+
+    All rows and columns are kept, in one pass; null texts stay null; an empty table gives an empty table.
+    """
+    names, own = docs.columns, Carried(docs, docs.columns)
     at, n = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,4 +254,5 @@ def redact(docs: DataFrame) -> DataFrame:
                 cols[n] = pa.array([len(t) if s else o for t, s, o in zip(new, spans, old, strict=True)], b.schema.types[n])
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    inner = docs.select(*own.take)
+    return inner.mapInArrow(run, inner.schema).select(*own.back)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from scantopo.llm._text import U, Words, id_text, materialise, mix64, slices, span_hash
+from scantopo.llm._text import Carried, U, Words, id_text, materialise, mix64, slices, span_hash
 
 #: Labelled documents of each class that are examples, at most: the bounded sample of labelled rows.
 EXAMPLES = 3000
@@ -68,9 +68,8 @@ def one_of_each_family(rows: list[tuple[int, int, list[int], int]]) -> list[int]
     return out
 
 
-def term_counts(docs: DataFrame, keep: list[str], terms: np.ndarray | None) -> DataFrame:
+def term_counts(docs: DataFrame, keep: Carried, terms: np.ndarray | None) -> DataFrame:
     """``keep`` with terms and counts (arrays): those in the sorted ``terms``, or all, and then the sketch."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in keep]).schema)
     bits = base = None
     if terms is not None:
         base = np.unique(np.concatenate([terms, *[terms ^ m for m in AGAIN.values()]]))
@@ -106,10 +105,10 @@ def term_counts(docs: DataFrame, keep: list[str], terms: np.ndarray | None) -> D
                 cols = [pa.ListArray.from_arrays(ends, pa.array(h)), pa.ListArray.from_arrays(ends, pa.array(count))]
                 if terms is None:
                     cols.append(sketches(w, hi - lo))
-                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in b.columns[1:]], *cols], names=[*keep, "terms", "counts", *more])
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in b.columns[1:]], *cols], names=[*keep.inner, "terms", "counts", *more])
 
     more = ["sketch"] if terms is None else []
-    return docs.select(F.col("text").alias("_text"), *[f"`{c}`" for c in keep]).mapInArrow(run, f"{fields}, terms array<long>, counts array<int>" + "".join(f", {m} array<long>" for m in more))
+    return docs.select(F.col("text").alias("_text"), *keep.take).mapInArrow(run, f"{keep.fields}terms array<long>, counts array<int>" + "".join(f", {m} array<long>" for m in more))
 
 
 def examples(docs: DataFrame, labels: DataFrame, n: int = EXAMPLES) -> DataFrame:
@@ -122,7 +121,9 @@ def examples(docs: DataFrame, labels: DataFrame, n: int = EXAMPLES) -> DataFrame
     ranked = known.withColumn("h", F.xxhash64(F.lit("toxicity"), id_text(F.col("doc_id"))))
     chosen = [ranked.filter(F.col("toxic") == c).orderBy("h").limit(n).select("doc_id", "toxic") for c in (0, 1)]
     chosen = materialise(chosen[0].unionByName(chosen[1]))  # of 2 n rows, so it may be broadcast
-    rows = term_counts(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), ["doc_id", "toxic"], None)
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    own = Carried(picked, ["doc_id", "toxic"])
+    rows = term_counts(picked, own, None).select(*own.back, "terms", "counts", "sketch")
     rows = materialise(rows.withColumn("_tag", F.monotonically_increasing_id()))
     tags = one_of_each_family([tuple(r) for r in rows.select("doc_id", "toxic", "sketch", "_tag").collect()])
     kept = docs.sparkSession.createDataFrame([(t,) for t in tags], "_tag long")
@@ -280,12 +281,11 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
     class's share (0 without any). Nulls in ``keep`` stay, rows that repeat are scored each, an empty table gives an
     empty table; only ``keep`` of further columns is carried, whatever their names, but for those of the result.
     """
+    own = Carried(docs, keep, ("toxic_score", "toxic_evidence"))
     found = materialise(examples(docs, labels))
     terms = select_terms(found)
-    counts = materialise(term_counts(docs, keep, terms))
+    counts = materialise(term_counts(docs, own, terms))
     index = docs.sparkSession.sparkContext.broadcast(learn(labels, counts, terms, found, counts.count()))
-    names = [f"`{c}`" for c in keep]
-    fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.select(*[f"`{c}`" for c in keep]).schema, strict=True))
     kind = docs.schema["doc_id"].dataType
     ev = pa.list_(pa.struct([("doc_id", to_arrow_type(kind)), ("cosine", pa.float64())]))
 
@@ -293,7 +293,7 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
         ix, seen = index.value, {}
         for b in batches:
             scores, evidence = [], []
-            for t, c in zip(b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist(), strict=True):
+            for t, c in zip(b.column(len(own.inner)).to_pylist(), b.column(len(own.inner) + 1).to_pylist(), strict=True):
                 key = (tuple(t), tuple(c))
                 if key not in seen:
                     if len(seen) > 50_000:
@@ -304,6 +304,7 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
                 s, e = seen[key]
                 scores.append(min(1.0, max(0.0, s)))
                 evidence.append(e)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(scores, pa.float64()), pa.array(evidence, ev)], names=[*keep, "toxic_score", "toxic_evidence"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(own.inner)], pa.array(scores, pa.float64()), pa.array(evidence, ev)], names=[*own.inner, "toxic_score", "toxic_evidence"])
 
-    return counts.mapInArrow(run, f"{fields}, toxic_score double, toxic_evidence array<struct<doc_id:{kind.simpleString()},cosine:double>>")
+    told = counts.mapInArrow(run, f"{own.fields}toxic_score double, toxic_evidence array<struct<doc_id:{kind.simpleString()},cosine:double>>")
+    return told.select(*own.back, "toxic_score", "toxic_evidence")
