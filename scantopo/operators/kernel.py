@@ -118,6 +118,93 @@ def ground(r: Runs, heights: np.ndarray, width: int) -> Runs:
     return Runs(page[row[ok]], line[row[ok]], lo[ok], hi[ok])
 
 
+def arcs(r: Runs, upper: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chains of regular runs as arcs: the first run of the arc of each run, and the edges between arcs (above, below).
+
+    A run goes on with the arc above it if each is the other's only neighbour on that side and neither has two on any
+    side; so chains are paths, and their first runs are found by doubling. Turning the page upside down swaps the two
+    ends of each edge and leaves the arcs as they are.
+    """
+    n = len(r)
+    up, down = np.bincount(lower, minlength=n), np.bincount(upper, minlength=n)
+    junction = (up >= 2) | (down >= 2)
+    goes = ~junction[upper] & ~junction[lower]  # then each has one neighbour on that side, the other
+    first = np.arange(n)
+    first[lower[goes]] = upper[goes]
+    while True:
+        above = first[first]
+        if np.array_equal(above, first):
+            break
+        first = above
+    return first, first[upper[~goes]], first[lower[~goes]]
+
+
+def holder(inner: Runs, outer: Runs, which: np.ndarray) -> np.ndarray:
+    """For each of the runs ``which`` of ``inner``, the run of ``outer`` that holds the cell above its first; -1 without."""
+    if not len(outer) or not len(which):
+        return np.full(len(which), -1)
+    tall, wide = (int(max(inner_.max(), outer_.max())) + 4 for inner_, outer_ in ((inner.line, outer.line), (inner.hi, outer.hi)))
+    key = lambda page, line, x: (page * tall + line + 2) * wide + x + 2
+    page, line, x = inner.page[which], inner.line[which] - 1, inner.lo[which]
+    at = np.searchsorted(key(outer.page, outer.line, outer.lo), key(page, line, x), "right") - 1
+    own = np.maximum(at, 0)
+    ok = (at >= 0) & (outer.page[own] == page) & (outer.line[own] == line) & (outer.hi[own] >= x)
+    return np.where(ok, at, -1)
+
+
+def nested(ink: Runs, heights: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """For each region of ink (8 neighbours) and ground (4, with a border of one cell) of whole pages: page, whether it is
+    ink, name, name of the region around it (-1 outside) and depth. A region's name is the place of its first cell on
+    the page with its border."""
+    both = []
+    for r, reach in ((ink, 1), (ground(ink, heights, width), 0)):
+        comp = label(len(r), *edges(r, reach))
+        both.append((r, comp, (r.line + 1) * (width + 2) + r.lo + 1, np.flatnonzero(comp == np.arange(len(r)))))
+    cols: list[list[np.ndarray]] = [[], [], [], [], []]
+    for k, (r, _, name, top) in enumerate(both):
+        other, comp, other_name, other_top = both[1 - k]
+        at = holder(r, other, top)
+        root = comp[np.maximum(at, 0)] if len(other) else np.zeros(len(top), np.int64)
+        around = np.where(at >= 0, other_name[root], -1) if len(other) else at
+        place = np.searchsorted(other_top, root) + (0 if k else len(top))  # ink stands first
+        for c, v in zip(cols, (r.page[top], np.full(len(top), not k), name[top], around, np.where(at >= 0, place, -1)), strict=True):
+            c.append(v)
+    page, is_ink, name, around, up = map(np.concatenate, cols)
+    depth, at = np.zeros(len(up), np.int64), up
+    while (at >= 0).any():
+        depth += at >= 0
+        at = np.where(at >= 0, up[np.maximum(at, 0)], -1)
+    return page, is_ink, name, around, depth
+
+
+def bitmap(r: Runs, grid: int = 12) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Pages, and any ink in each cell of a ``grid`` over the box around each page's ink, as three words of grid / 3 rows.
+
+    A cell spans j * h // grid to (j + 1) * h // grid, but one row or column at least.
+    """
+    page, of = np.unique(r.page, return_inverse=True)
+    span = []
+    for low, high in ((r.line, r.line), (r.lo, r.hi)):
+        a, z = np.full(len(page), np.iinfo(np.int64).max), np.full(len(page), -1)
+        np.minimum.at(a, of, low)
+        np.maximum.at(z, of, high)
+        span.append((a, z - a + 1))
+    (y0, h), (x0, w) = span
+    y, a, z, wide, tall = r.line - y0[of], r.lo - x0[of], r.hi - x0[of], w[of], h[of]
+    ends = lambda j, size: (j * size // grid, np.maximum(j * size // grid + 1, (j + 1) * size // grid))
+    bits = np.zeros(len(r), np.int64)
+    for i in range(grid):
+        first, end = ends(i, wide)
+        bits |= np.where((first <= z) & (end > a), 1 << i, 0)
+    words = [np.zeros(len(page), np.int64) for _ in range(3)]
+    third = grid // 3
+    for j in range(grid):
+        first, end = ends(j, tall)
+        own = (first <= y) & (y < end)
+        np.bitwise_or.at(words[j // third], of[own], bits[own] << (j % third * grid))
+    return page, words
+
+
 def contours(r: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Boundary loops: (page, first crack, signed area, length) of each; ink is on the left of the way around.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ def runs_sql(line: str = "line", x: str = "x", ink: str = "ink", name: str = "r"
 RUNS = f"WITH RECURSIVE {CELLS}, {runs_sql()}"
 #: Runs with an id, and edges of touching runs on consecutive lines.
 EDGES = RUNS + """, n AS (SELECT *, page_id * 1000000 + line * 64 + lo AS id FROM r),
-e AS (SELECT u.page_id, u.id AS a, v.id AS b, v.line AS line, u.lo AS up_lo, v.lo AS lo FROM n u JOIN n v ON u.page_id = v.page_id AND v.line = u.line + 1 AND u.hi >= v.lo - {reach} AND u.lo <= v.hi + {reach})"""
+e AS (SELECT u.page_id, u.id AS a, v.id AS b, v.line AS line, u.lo AS up_lo, v.lo AS lo FROM (SELECT *, line + 1 AS below FROM n) u JOIN n v ON u.page_id = v.page_id AND u.below = v.line WHERE u.hi >= v.lo - {reach} AND u.lo <= v.hi + {reach})"""
 LABELS = """, two AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 cc(id, comp) USING KEY (id) AS (SELECT id, id FROM n UNION
   SELECT two.b, min(cc.comp) FROM cc JOIN two ON two.a = cc.id JOIN recurring.cc AS old ON old.id = two.b WHERE cc.comp < old.comp GROUP BY two.b)"""
@@ -81,8 +82,14 @@ def stroke_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edge_query(reach: int):
+    def g(texts):
+        r = R.rasterise(texts)
+        up, down = kernel.edges(r, reach)
+        return r.page[down], [r.line[down], r.lo[up], r.lo[down]]
+
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return as_longs(T.adjacency(R.runs(docs(spark, sf_dir)), reach), "line", "up_lo", "lo")
+        """In the pass over whole pages; ``T.adjacency`` is the join for runs from elsewhere."""
+        return R.pages(docs(spark, sf_dir), g, "line long, up_lo long, lo long")
 
     return f
 
@@ -113,9 +120,78 @@ def _degree_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("reeb_signature", E8 + """, g AS (SELECT n.page_id, coalesce(x.c, 0) AS up, coalesce(y.c, 0) AS down FROM n LEFT JOIN (SELECT b, count(*) AS c FROM e GROUP BY b) x ON x.b = n.id LEFT JOIN (SELECT a, count(*) AS c FROM e GROUP BY a) y ON y.a = n.id)
 SELECT page_id, count(*) FILTER (up = 0) AS births, count(*) FILTER (down = 0) AS closes, count(*) FILTER (up >= 2) AS merges, count(*) FILTER (down >= 2) AS splits FROM g GROUP BY page_id""")
 def reeb_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From tables: degrees are grouped counts of the edge join."""
-    r = R.runs(docs(spark, sf_dir))
-    return T.signature(T.degrees(r, T.adjacency(r)))
+    return _degree_counts(spark, sf_dir)
+
+
+#: Edges along which a run goes on with the arc above it, and the first run of each arc.
+ARCS = E8 + """, d AS (SELECT n.*, coalesce(x.c, 0) AS up, coalesce(y.c, 0) AS down FROM n LEFT JOIN (SELECT b, count(*) AS c FROM e GROUP BY b) x ON x.b = n.id LEFT JOIN (SELECT a, count(*) AS c FROM e GROUP BY a) y ON y.a = n.id),
+k AS (SELECT e.a, e.b FROM e JOIN d u ON u.id = e.a JOIN d v ON v.id = e.b WHERE u.up < 2 AND u.down < 2 AND v.up < 2 AND v.down < 2),
+two AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+cc(id, arc) USING KEY (id) AS (SELECT id, id FROM n UNION
+  SELECT two.b, min(cc.arc) FROM cc JOIN two ON two.a = cc.id JOIN recurring.cc AS old ON old.id = two.b WHERE cc.arc < old.arc GROUP BY two.b),
+w AS (SELECT x.arc AS a, y.arc AS b FROM (SELECT e.a, e.b FROM e ANTI JOIN k ON k.a = e.a AND k.b = e.b) j JOIN cc x ON x.id = j.a JOIN cc y ON y.id = j.b),
+arcs AS (SELECT n.page_id, CAST(cc.arc % 1000000 AS BIGINT) AS arc, count(*) AS n_runs, CAST(min(line) AS BIGINT) AS first_line, CAST(max(line) AS BIGINT) AS last_line, coalesce(any_value(x.c), 0) AS up, coalesce(any_value(y.c), 0) AS down
+  FROM n JOIN cc USING (id) LEFT JOIN (SELECT b, count(*) AS c FROM w GROUP BY b) x ON x.b = cc.arc LEFT JOIN (SELECT a, count(*) AS c FROM w GROUP BY a) y ON y.a = cc.arc GROUP BY n.page_id, cc.arc)"""
+
+
+def _arcs(spark: SparkSession, sf_dir: str, reverse: bool = False) -> DataFrame:
+    """One row an arc: runs, lines, and the arcs above and below; ``reverse`` reads the page from its foot."""
+
+    def f(texts):
+        r = R.rasterise(texts)
+        first, above, below = kernel.arcs(r, *kernel.edges(r))
+        names, of = np.unique(first, return_inverse=True)
+        last = np.zeros(len(names), np.int64)
+        np.maximum.at(last, of, r.line)
+        ends = [np.bincount(np.searchsorted(names, x), minlength=len(names)) for x in (below, above)]
+        up, down = ends[::-1] if reverse else ends
+        return r.page[names], [r.line[names] * R.WIDTH + r.lo[names], np.bincount(of, minlength=len(names)), r.line[names], last, up, down]
+
+    return R.pages(docs(spark, sf_dir), f, "arc long, n_runs long, first_line long, last_line long, up long, down long")
+
+
+@query("reeb_arcs", ARCS + " SELECT * FROM arcs")
+def reeb_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contracted graph: chains of regular runs as one arc, junctions as arcs of their own."""
+    return _arcs(spark, sf_dir)
+
+
+@query("reeb_arcs_reversed", ARCS + " SELECT page_id, arc, n_runs, first_line, last_line, down AS up, up AS down FROM arcs")
+def reeb_arcs_reversed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same graph from foot to head: no second scan, only the ends of its edges change places."""
+    return _arcs(spark, sf_dir, reverse=True)
+
+
+@query("contraction_ratio", ARCS + " SELECT page_id, count(*) AS arcs, CAST(sum(n_runs) AS BIGINT) AS runs, round(count(*)::DOUBLE / sum(n_runs), 9) AS ratio FROM arcs GROUP BY page_id")
+def contraction_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arcs by runs of each page."""
+    a = _arcs(spark, sf_dir).groupBy("page_id").agg(F.count(F.lit(1)).alias("arcs"), F.sum("n_runs").alias("runs"))
+    return a.withColumn("ratio", F.round(F.col("arcs") / F.col("runs"), 9))
+
+
+_COLUMN_RUNS = runs_sql("x", "line", name="rc") + """, nc AS (SELECT *, page_id * 10000000 + line * 100000 + lo AS id FROM rc),
+ec AS (SELECT u.id AS a, v.id AS b FROM (SELECT *, line + 1 AS below FROM nc) u JOIN nc v ON u.page_id = v.page_id AND u.below = v.line WHERE u.hi >= v.lo - 1 AND u.lo <= v.hi + 1)"""
+
+
+@query("serif_excess", E8 + ", " + _COLUMN_RUNS + """, s AS (SELECT page_id, count(*) FILTER (NOT EXISTS (SELECT 1 FROM e WHERE e.b = n.id)) + count(*) FILTER (NOT EXISTS (SELECT 1 FROM e WHERE e.a = n.id)) AS t FROM n GROUP BY page_id),
+k AS (SELECT page_id, count(*) FILTER (NOT EXISTS (SELECT 1 FROM ec WHERE ec.b = nc.id)) + count(*) FILTER (NOT EXISTS (SELECT 1 FROM ec WHERE ec.a = nc.id)) AS t FROM nc GROUP BY page_id)
+SELECT page_id, CAST(s.t AS BIGINT) AS row_ends, CAST(k.t AS BIGINT) AS column_ends, CAST(s.t + k.t - 2 * s.t AS BIGINT) AS excess FROM s JOIN k USING (page_id)""")
+def serif_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stroke ends along both axes, less twice the ends of the contracted graph of the rows."""
+
+    def f(texts):
+        ends = []
+        for axis in ("row", "col"):
+            r = R.rasterise(texts, axis)
+            up, down = kernel.edges(r)
+            n = len(r)
+            free = (np.bincount(down, minlength=n) == 0).astype(np.int64) + (np.bincount(up, minlength=n) == 0)
+            ends.append(np.bincount(r.page, free, minlength=len(texts)).astype(np.int64))
+        pages = np.unique(R.rasterise(texts).page)
+        row, col = (x[pages] for x in ends)
+        return pages, [row, col, row + col - 2 * row]
+
+    return R.pages(docs(spark, sf_dir), f, "row_ends long, column_ends long, excess long")
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,12 +343,18 @@ def region_include(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_longs(T.within(R.runs(docs(spark, sf_dir)), _rects(spark, sf_dir)), "line", "lo", "hi")
 
 
-@query("mask_equality", "SELECT count(*) AS pages, CAST(0 AS BIGINT) AS different FROM documents WHERE length(text) > 0")
+_SUMS = "SELECT page_id, sum({n}) AS a, sum({x}) AS sx, sum({y}) AS sy, sum({xx}) AS sxx, sum({yy}) AS syy, sum({xy}) AS sxy FROM {t} GROUP BY page_id"
+_N, _S, _Q = "(hi - lo + 1)", "((lo + hi) * (hi - lo + 1) // 2)", "(hi * (hi + 1) * (2 * hi + 1) // 6 - (lo - 1) * lo * (2 * lo - 1) // 6)"
+
+
+@query("mask_equality", f"""WITH {CELLS}, {runs_sql()}, {runs_sql('x', 'line', name='k')}, u AS ({_SUMS.format(t='r', n=_N, x=_S, y='line * ' + _N, xx=_Q, yy='line * line * ' + _N, xy='line * ' + _S)}), v AS ({_SUMS.format(t='k', n=_N, x='line * ' + _N, y=_S, xx='line * line * ' + _N, yy=_Q, xy='line * ' + _S)})
+SELECT (SELECT count(*) FROM documents WHERE length(text) > 0) AS pages, (SELECT count(*) FROM u) AS inked, CAST((SELECT count(*) FROM u FULL JOIN v USING (page_id) WHERE (u.a, u.sx, u.sy, u.sxx, u.syy, u.sxy) IS DISTINCT FROM (v.a, v.sx, v.sy, v.sxx, v.syy, v.sxy)) AS BIGINT) AS different""")
 def mask_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row and column runs cover the same cells: area and all second sums are equal page by page."""
-    r, k = moments_page(spark, sf_dir), moments_page_columns(spark, sf_dir)
-    odd = r.exceptAll(k).unionAll(k.exceptAll(r)).agg(F.count(F.lit(1)).alias("different"))
-    return docs(spark, sf_dir).filter(F.length("text") > 0).agg(F.count(F.lit(1)).alias("pages")).crossJoin(odd)
+    """Row and column runs cover the same cells: area and all sums up to the second order are equal page by page."""
+    sums = ["area", "sx", "sy", "sxx", "syy", "sxy"]
+    by = [T.moments(R.runs(docs(spark, sf_dir), axis=a), "page_id", axis=a).select("page_id", F.struct(*sums).alias(a)) for a in ("row", "col")]
+    both = by[0].join(by[1], "page_id", "full").agg(F.count("row").alias("inked"), F.count_if(~F.col("row").eqNullSafe(F.col("col"))).alias("different"))
+    return docs(spark, sf_dir).filter(F.length("text") > 0).agg(F.count(F.lit(1)).alias("pages")).crossJoin(both)
 
 
 @query("skew_profile", f"""WITH {CELLS}, a AS (SELECT unnest(range(-16, 17)) * 0.25::DOUBLE AS deg), b AS (SELECT page_id, deg, CAST(floor((line - x * tan(radians(deg))) / 4) AS BIGINT) AS bin, count(*) AS n FROM px, a WHERE ink GROUP BY ALL),
@@ -307,7 +389,7 @@ def _regions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         def g(texts):
             r = R.rasterise(texts)
             if ground:
-                r = kernel.ground(r, np.array([-(-len(t or "") // R.WIDTH) for t in texts]), R.WIDTH)
+                r = kernel.ground(r, R.heights(texts), R.WIDTH)
             a = T.analyse(r, 0 if ground else 1)
             first = (r.line + 1) * (R.WIDTH + 2) + r.lo + 1
             return r.page, [r.line.astype(np.int32), r.lo.astype(np.int32), r.hi.astype(np.int32), first[a["comp"]]]
@@ -327,24 +409,52 @@ def hole_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ink.select("page_id").distinct().join(n, "page_id")
 
 
-@query("containment_parent")
+#: Regions of ink (8 neighbours) and of ground (4, with a border of one cell), and the cell above the first of each.
+NEST = f"""WITH RECURSIVE {CELLS}, {runs_sql()},
+h AS (SELECT doc_id AS page_id, (length(text) + 63) // 64 AS h FROM documents WHERE text IS NOT NULL),
+q AS (SELECT page_id, line, lo, hi FROM r UNION ALL SELECT page_id, unnest(range(-1, h + 1)), -2, -2 FROM h),
+gr AS (SELECT page_id, line, hi + 1 AS lo, coalesce(lead(lo) OVER (PARTITION BY page_id, line ORDER BY lo) - 1, 64) AS hi FROM q),
+n AS (SELECT *, page_id * 10000000 + (line + 1) * 66 + lo + 1 AS id FROM (SELECT 'ink' AS kind, page_id, line, lo, hi, 1 AS reach FROM r UNION ALL SELECT 'ground', page_id, line, lo, hi, 0 FROM gr WHERE lo <= hi)),
+e AS (SELECT u.kind, u.id AS a, v.id AS b FROM (SELECT *, line + 1 AS below FROM n) u JOIN n v ON u.kind = v.kind AND u.page_id = v.page_id AND u.below = v.line WHERE u.hi >= v.lo - v.reach AND u.lo <= v.hi + v.reach),
+two AS (SELECT kind, a, b FROM e UNION ALL SELECT kind, b, a FROM e),
+cc(kind, id, comp) USING KEY (kind, id) AS (SELECT kind, id, CASE WHEN kind = 'ground' AND (lo = -1 OR hi = 64) THEN page_id * 10000000 ELSE id END FROM n UNION  -- the border is one region
+  SELECT two.kind, two.b, min(cc.comp) FROM cc JOIN two ON two.a = cc.id AND two.kind = cc.kind JOIN recurring.cc AS old ON old.id = two.b AND old.kind = two.kind WHERE cc.comp < old.comp GROUP BY two.kind, two.b),
+t AS (SELECT n.page_id, n.kind, n.id, n.line - 1 AS line, n.lo AS x FROM n JOIN cc ON cc.kind = n.kind AND cc.id = n.id WHERE cc.comp = n.id),
+p AS (SELECT t.page_id, t.kind, t.id, o.kind AS parent_kind, cc.comp AS parent FROM t LEFT JOIN n o ON o.page_id = t.page_id AND o.line = t.line AND o.lo <= t.x AND o.hi >= t.x AND o.kind <> t.kind LEFT JOIN cc ON cc.kind = o.kind AND cc.id = o.id)"""
+DEPTH = NEST + """, y(kind, id, page_id, depth) AS (SELECT kind, id, page_id, 0 FROM p WHERE parent IS NULL UNION ALL SELECT p.kind, p.id, p.page_id, y.depth + 1 FROM y JOIN p ON p.parent_kind = y.kind AND p.parent = y.id)"""
+
+
+@query("containment_parent", NEST + " SELECT page_id, kind, CAST(id % 10000000 AS BIGINT) AS comp, parent_kind, CAST(parent % 10000000 AS BIGINT) AS parent FROM p")
 def containment_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The region around each region: an as-of lookup of the run above each region's first cell."""
-    return T.contain(*_regions(spark, sf_dir))
+    """The region around each region: an as-of lookup of the run above each region's first cell, within the page pass.
+    ``T.contain`` is the join for regions from elsewhere."""
+
+    def f(texts):
+        page, ink, name, up_name, _ = kernel.nested(R.rasterise(texts), R.heights(texts), R.WIDTH)
+        kinds = np.array(["ground", "ink"])
+        return page, [pa.array(kinds[ink.astype(int)]), pa.array(kinds[1 - ink.astype(int)], mask=up_name < 0), name, pa.array(up_name, mask=up_name < 0)]
+
+    return R.pages(docs(spark, sf_dir), f, "kind string, parent_kind string, comp long, parent long")
 
 
-@query("nesting_depth")
+@query("nesting_depth", DEPTH + " SELECT page_id, kind, depth, count(*) AS n FROM y GROUP BY ALL")
 def nesting_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of each kind at each depth; ground is even and ink odd, the outside 0."""
-    return T.depths(containment_parent(spark, sf_dir)).groupBy("page_id", "kind", "depth").agg(F.count(F.lit(1)).alias("n"))
 
+    def f(texts):
+        page, ink, _, _, depth = kernel.nested(R.rasterise(texts), R.heights(texts), R.WIDTH)
+        key, n = np.unique(np.stack([page, ink, depth]), axis=1, return_counts=True)
+        return key[0], [pa.array(np.array(["ground", "ink"])[key[1]]), key[2].astype(np.int32), n]
+
+    return R.pages(docs(spark, sf_dir), f, "kind string, depth int, n long")
 
-@query("nesting_parity", "SELECT CAST(0 AS BIGINT) AS odd, count(*) > 0 AS regions FROM documents")
+
+@query("nesting_parity", DEPTH + " SELECT CAST(count(*) FILTER ((depth % 2 = 1) <> (kind = 'ink')) AS BIGINT) AS odd, count(*) AS regions, CAST(max(depth) AS INTEGER) AS deepest FROM y")
 def nesting_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions whose kind does not fit their depth, of which there are none."""
+    """Regions whose kind does not fit their depth, of which there should be none, beside how many there are."""
     d = nesting_depth(spark, sf_dir)
     wrong = (F.col("depth") % 2 == 1) != (F.col("kind") == "ink")
-    return d.agg(F.count_if(wrong).alias("odd"), (F.count(F.lit(1)) > 0).alias("regions"))
+    return d.agg(F.coalesce(F.sum(F.when(wrong, F.col("n"))), F.lit(0)).alias("odd"), F.sum("n").alias("regions"), F.max("depth").alias("deepest"))
 
 
 _SIDES = " UNION ALL ".join(f"SELECT page_id, line, x, '{s}' AS side FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.page_id = p.page_id AND q.line = p.line + {dy} AND q.x = p.x + {dx})" for s, dy, dx in (("up", -1, 0), ("down", 1, 0), ("left", 0, -1), ("right", 0, 1)))
@@ -374,8 +484,10 @@ def contour_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
 g AS (SELECT DISTINCT px.page_id, j.i AS j, i.i AS i FROM px JOIN b USING (page_id), range(12) j(i), range(12) i(i) WHERE ink AND px.line - y0 >= j.i * h // 12 AND px.line - y0 < greatest(j.i * h // 12 + 1, (j.i + 1) * h // 12) AND px.x - x0 >= i.i * w // 12 AND px.x - x0 < greatest(i.i * w // 12 + 1, (i.i + 1) * w // 12))
 SELECT page_id, CAST(sum(CASE WHEN j < 4 THEN CAST(1 AS BIGINT) << (j * 12 + i) ELSE 0 END) AS BIGINT) AS w0, CAST(sum(CASE WHEN j >= 4 AND j < 8 THEN CAST(1 AS BIGINT) << ((j - 4) * 12 + i) ELSE 0 END) AS BIGINT) AS w1, CAST(sum(CASE WHEN j >= 8 THEN CAST(1 AS BIGINT) << ((j - 8) * 12 + i) ELSE 0 END) AS BIGINT) AS w2 FROM g GROUP BY page_id""")
 def bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page's ink as a grid of 12 by 12, a cell set where it has any; cells overlap on pages smaller than that."""
-    return T.bitmap(R.runs(docs(spark, sf_dir)))
+    """Each page's ink as a grid of 12 by 12, a cell set where it has any; cells overlap on pages smaller than that.
+    ``T.bitmap`` is the plan for runs from elsewhere, or of components."""
+
+    return R.pages(docs(spark, sf_dir), lambda texts: kernel.bitmap(R.rasterise(texts)), "w0 long, w1 long, w2 long")
 
 
 @query("topology_records")

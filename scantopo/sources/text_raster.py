@@ -38,6 +38,11 @@ def rasterise(texts: list[str | None], axis: str = "row", polarity: str = "ink",
     return from_mask(mask[order], page[order], x[order], line[order])
 
 
+def heights(texts: list[str | None], width: int = WIDTH) -> np.ndarray:
+    """Lines of each page."""
+    return np.fromiter((-(-len(t or "") // width) for t in texts), np.int64, len(texts))
+
+
 def groups(col: pa.Array, limit: int = BATCH) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``limit`` characters."""
     lo = size = 0
@@ -61,7 +66,7 @@ def pages(docs: DataFrame, kernel, fields: str, id_col: str = "doc_id") -> DataF
             for lo, hi in groups(b.column(1)):
                 which, columns = kernel(b.column(1).slice(lo, hi - lo).to_pylist())
                 ids = b.column(0).slice(lo, hi - lo).take(pa.array(which))
-                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, columns)], names=["page_id", *[f.split()[0] for f in fields.split(", ")]])
+                yield pa.RecordBatch.from_arrays([ids, *[c if isinstance(c, pa.Array) else pa.array(c) for c in columns]], names=["page_id", *[f.split()[0] for f in fields.split(", ")]])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     return docs.select(F.col(id_col), "text").mapInArrow(run, f"page_id {kind}, {fields}")
