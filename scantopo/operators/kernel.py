@@ -205,6 +205,23 @@ def bitmap(r: Runs, grid: int = 12) -> tuple[np.ndarray, list[np.ndarray]]:
     return page, words
 
 
+def components(r: Runs, reach: int = 1) -> dict[str, np.ndarray]:
+    """One entry a component, in order of first runs: first (index of that run), box, runs, edges, and sums over cells."""
+    up, down = edges(r, reach)
+    first, of = np.unique(label(len(r), up, down), return_inverse=True)
+    m = len(first)
+    n, lo, hi, line = r.hi - r.lo + 1, r.lo, r.hi, r.line
+    squares = lambda k: k * (k + 1) * (2 * k + 1) // 6
+    sx, sxx = (lo + hi) * n // 2, squares(hi) - squares(lo - 1)
+    total = lambda w: np.round(np.bincount(of, w, minlength=m)).astype(np.int64)
+    out = {"first": first, "n_runs": np.bincount(of, minlength=m), "n_edges": np.bincount(of[down], minlength=m)}
+    out |= {"area": total(n), "sx": total(sx), "sy": total(line * n), "sxx": total(sxx), "syy": total(line * line * n), "sxy": total(line * sx)}
+    for name, f, v in (("x0", np.minimum, lo), ("y0", np.minimum, line), ("x1", np.maximum, hi), ("y1", np.maximum, line)):
+        out[name] = v[first].copy()
+        f.at(out[name], of, v)
+    return out
+
+
 def contours(r: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Boundary loops: (page, first crack, signed area, length) of each; ink is on the left of the way around.
 
