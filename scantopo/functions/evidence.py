@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 def general(value: Column, digits: int = 3) -> Column:
     """A number in ``digits`` significant digits, without closing zeros; with an exponent under -4 or of ``digits`` and more."""
     v = value.cast("double")
+    whole = F.abs(v) / F.pow(F.lit(10.0), F.regexp_extract(F.format_string("%.17e", v), "e([+-][0-9]+)$", 1).cast("int") - (digits - 1))
+    even = (whole - F.floor(whole) == 0.5) & (F.floor(whole) % 2 == 0)  # a tie goes to the even digit
+    v = F.when(even, v * (1 - 1e-12)).otherwise(v)
     text = F.format_string(f"%.{digits - 1}e", v)
     power = F.regexp_extract(text, "e([+-][0-9]+)$", 1).cast("int")
     bare = lambda s: F.regexp_replace(F.regexp_replace(s, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")

@@ -127,6 +127,17 @@ def rewrite_all(symbols: DataFrame, relations: DataFrame) -> DataFrame:
     return symbols.groupBy("expr_id").cogroup(relations.groupBy("expr_id")).applyInPandas(one, f"expr_id {kind}, tree string")
 
 
+def confluent(symbols: dict[int, tuple], relations: dict[tuple[int, int], str], trials: int = 24, seed: int = 0) -> bool:
+    """Whether ``rewrite`` makes the same forest in whatever order its matches are taken: ``trials`` random orders."""
+    r = np.random.default_rng(seed)
+    want = rewrite(symbols, relations)
+    for _ in range(trials):
+        turn = {i: float(x) for i, x in zip(symbols, r.random(len(symbols)), strict=True)}
+        if rewrite(symbols, relations, order=lambda m, turn=turn: turn[m[1]]) != want:
+            return False
+    return True
+
+
 def dotted_leader(sizes: list[float], places: list[float], feet: list[float], least: int = 20) -> bool:
     """Whether blobs are a dotted line: ``least`` of about one size and height, most gaps alike."""
     if len(sizes) < least:

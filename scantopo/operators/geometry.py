@@ -131,23 +131,31 @@ def resample(runs: DataFrame, m: Affine, width: int, height: int, source: tuple[
     kind = runs.schema["page_id"].dataType.simpleString()
     back = inverse(m)
 
+    v, u = np.mgrid[0:height, 0:width] + 0.5
+    x, y = back[0] * u + back[2] * v + back[4] - 0.5, back[1] * u + back[3] * v + back[5] - 0.5
+    i, j = np.floor(x).astype(int), np.floor(y).astype(int)
+    ok = (i >= 0) & (i < source[0] - 1) & (j >= 0) & (j < source[1] - 1)
+    i, j, f, g = i[ok], j[ok], (x - i)[ok], (y - j)[ok]
+
     def some(pdf: pd.DataFrame) -> pd.DataFrame:
+        page, names = pd.factorize(pdf["page_id"])
         out = []
-        for page, g in pdf.groupby("page_id", sort=False):
-            img = np.zeros((source[1], source[0]))
-            for y, a, z in zip(g["line"], g["lo"], g["hi"], strict=True):
-                img[y, a : z + 1] = 1
-            v, u = np.mgrid[0:height, 0:width] + 0.5
-            x, y = back[0] * u + back[2] * v + back[4] - 0.5, back[1] * u + back[3] * v + back[5] - 0.5
-            i, j = np.floor(x).astype(int), np.floor(y).astype(int)
-            ok = (i >= 0) & (i < source[0] - 1) & (j >= 0) & (j < source[1] - 1)
-            i, j, f, h = i[ok], j[ok], (x - i)[ok], (y - j)[ok]
-            mask = np.zeros((height, width), bool)
-            mask[ok] = (1 - h) * ((1 - f) * img[j, i] + f * img[j, i + 1]) + h * ((1 - f) * img[j + 1, i] + f * img[j + 1, i + 1]) >= threshold
-            edge = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-            a, z = np.argwhere(edge == 1), np.argwhere(edge == -1)
-            out.append(pd.DataFrame({"page_id": page, "line": a[:, 0], "lo": a[:, 1], "hi": z[:, 1] - 1}))
-        return pd.concat(out) if out else pdf[["page_id", "line", "lo", "hi"]]
+        few = max(1, (1 << 23) // (source[0] * source[1]))  # pages at a time, so that their images fit in memory
+        for a in range(0, len(names), few):
+            own = (page >= a) & (page < a + few)
+            at, line, lo, hi = page[own] - a, *(pdf[k].to_numpy(np.int64)[own] for k in ("line", "lo", "hi"))
+            edge = np.zeros((min(few, len(names) - a), source[1], source[0] + 1), np.int32)
+            np.add.at(edge, (at, line, lo), 1)
+            np.add.at(edge, (at, line, hi + 1), -1)
+            img = np.cumsum(edge, axis=2)[:, :, :-1] > 0
+            part = lambda dy, dx: img[:, j + dy, i + dx]
+            mask = np.zeros((len(img), height, width + 2), np.int8)
+            inner = mask[:, :, 1:-1]
+            inner[:, ok] = (1 - g) * ((1 - f) * part(0, 0) + f * part(0, 1)) + g * ((1 - f) * part(1, 0) + f * part(1, 1)) >= threshold
+            step = np.diff(mask, axis=2)
+            first, last = np.argwhere(step == 1), np.argwhere(step == -1)
+            out.append(pd.DataFrame({"page_id": names.take(first[:, 0] + a), "line": first[:, 1], "lo": first[:, 2], "hi": last[:, 2] - 1}))
+        return pd.concat(out)
 
     return whole_groups(runs.select("page_id", "line", "lo", "hi"), ["page_id"], ["line", "lo"], some, f"page_id {kind}, line int, lo int, hi int")
 

@@ -25,4 +25,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from scantopo.plans import corpus_queries, detect_queries, layout_queries, record_queries, spatial_queries, topology_queries  # noqa: E402, F401
+from scantopo.plans import corpus_queries, detect_queries, layout_queries, record_queries, source_queries, spatial_queries, topology_queries  # noqa: E402, F401
