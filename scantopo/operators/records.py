@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scantopo.functions.intervals import gap
 from scantopo.operators.formulas import parts_of_glyphs
 from scantopo.operators.spatial import group_by_links, is_rule, pairs
+from scantopo.operators.stats import at_index
 from scantopo.operators.topology import axis_columns
 
 #: The dimensions of each domain that features are sorted into; two domains have none yet.
@@ -173,11 +174,6 @@ def split_by(rows: DataFrame, group: str, label: str, share: int = 4, least: int
 
 
 def percentiles_by_index(rows: DataFrame, by: str, value: str, shares: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
-    """(by, n, p10, p50, p90): the sorted value at floor(share * n), the last at most. Distinct values are counted first, so
-    a window sees each once."""
-    c = rows.groupBy(by, value).agg(F.count(F.lit(1)).alias("k"))
-    upto = F.sum("k").over(Window.partitionBy(by).orderBy(value))
-    n = F.sum("k").over(Window.partitionBy(by))
-    c = c.withColumns({"_to": upto, "n": n})
+    """(by, n, p10, p50, p90): the sorted value at floor(share * n), the last at most."""
     at = lambda s: F.least(F.floor(F.col("n") * s), F.col("n") - 1)
-    return c.groupBy(by).agg(F.first("n").alias("n"), *[F.min(F.when(F.col("_to") > at(s), F.col(value))).alias(f"p{round(100 * s)}") for s in shares])
+    return at_index(rows, [by], value, **{f"p{round(100 * s)}": at(s) for s in shares})

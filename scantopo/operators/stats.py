@@ -11,9 +11,10 @@ def equal_frequency(df: DataFrame, by: list[str], value: str, bins: int = 16) ->
     percentiles i / bins lie strictly below it."""
     q = F.array(*[F.lit(i / bins) for i in range(1, bins)])
     a = df.groupBy(*by).agg(F.count_distinct(value).alias("_n"), F.percentile(value, q).alias("_q"))
-    d = df.select(*by, value).distinct()
-    d = d.withColumn("_r", F.dense_rank().over(Window.partitionBy(*by).orderBy(value)) - 1) if by else d.withColumn("_r", F.dense_rank().over(Window.orderBy(value)) - 1)
-    j = (df.join(a, by) if by else df.crossJoin(F.broadcast(a))).join(d, [*by, value])
+    with_a = lambda x: x.join(a, by) if by else x.crossJoin(F.broadcast(a))
+    few = with_a(df).filter(F.col("_n") <= bins).select(*by, value).distinct()  # at most ``bins`` values of a group are ranked
+    d = few.withColumn("_r", F.dense_rank().over(Window.partitionBy(*by).orderBy(value)) - 1)
+    j = with_a(df).join(d, [*by, value], "left")
     below = F.size(F.filter("_q", lambda e: e < F.col(value)))
     return j.withColumn("bin", F.when(F.col("_n") <= bins, F.col("_r")).otherwise(below)).drop("_n", "_q", "_r")
 
@@ -35,12 +36,22 @@ def information(df: DataFrame, by: list[str], label: str, *bins: str) -> DataFra
     return j.select(*by, share(F.greatest(F.lit(0.0), F.col("hx") + F.col("hy") - F.col("hxy"))).alias("mi"), share(F.col("hx")).alias("ceiling"))
 
 
+def at_index(df: DataFrame, by: list[str], value: str, **index: Column) -> DataFrame:
+    """(by, n, and a column for each of ``index``): the sorted value at that place, from 0, an expression on the column n of
+    their number. Distinct values are counted first, so a window sees each once and no group is collected."""
+    c = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_k"))
+    c = c.withColumns({"_to": F.sum("_k").over(Window.partitionBy(*by).orderBy(value)), "n": F.sum("_k").over(Window.partitionBy(*by))})
+    return c.groupBy(*by).agg(F.first("n").alias("n"), *[F.min(F.when(F.col("_to") > at, F.col(value))).alias(name) for name, at in index.items()])
+
+
 def convexity(df: DataFrame, value: str, label: str, low: float = 0.1, high: float = 0.9, least: int = 2) -> DataFrame:
     """(label, purity): of all samples between a class's order statistics at floor((n - 1) p), the share that are its own."""
-    at = lambda p: F.element_at("v", (F.floor((F.size("v") - 1) * p) + 1).cast("int"))
-    bound = df.groupBy(label).agg(F.array_sort(F.collect_list(value)).alias("v")).filter(F.size("v") >= least).select(F.col(label).alias("class"), at(low).alias("lo"), at(high).alias("hi"))
-    hit = df.join(F.broadcast(bound), (F.col(value) >= F.col("lo")) & (F.col(value) <= F.col("hi")))  # a row a class
-    return hit.groupBy("class").agg((F.count_if(F.col(label) == F.col("class")) / F.count(F.lit(1))).alias("purity"))
+    at = lambda p: F.floor((F.col("n") - 1) * p)
+    bound = at_index(df, [label], value, lo=at(low), hi=at(high)).filter(F.col("n") >= least).select(F.col(label).alias("class"), "lo", "hi")
+    counts = df.groupBy(label, value).agg(F.count(F.lit(1)).alias("_k"))  # equal samples meet the classes once
+    hit = counts.join(bound, (F.col(value) >= F.col("lo")) & (F.col(value) <= F.col("hi")))  # Spark broadcasts the classes if they are few
+    own = F.sum(F.when(F.col(label) == F.col("class"), F.col("_k")).otherwise(0))
+    return hit.groupBy("class").agg((own / F.sum("_k")).alias("purity"))
 
 
 def flag(distance: Column, delta: Column, stable: Column, noise: float = 7, noise_delta: float = 2) -> Column:
@@ -49,10 +60,8 @@ def flag(distance: Column, delta: Column, stable: Column, noise: float = 7, nois
 
 
 def order_statistic(df: DataFrame, by: list[str], value: str, index: Column) -> DataFrame:
-    """The sorted value at ``index`` (from 0, on the column n of their number) of each group."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    r = F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1
-    return df.select(*by, value).withColumns({"n": n, "r": r}).filter(F.col("r") == F.greatest(F.lit(0), index)).select(*by, value)
+    """The sorted value at ``index`` (from 0, on the column n of their number; 0 at least) of each group."""
+    return at_index(df, by, value, _v=F.greatest(F.lit(0), index)).select(*by, F.col("_v").alias(value))
 
 
 def quarantine(df: DataFrame, doc: str, overlap: str, limit: float) -> DataFrame:

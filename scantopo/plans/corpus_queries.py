@@ -45,11 +45,14 @@ def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_longs(M.confusion(ranked(spark, sf_dir, 1).withColumnRenamed("label", "pred")), "truth", "pred")
 
 
-@query("bitmap_hamming", f"WITH {V} SELECT CAST(t.label AS BIGINT) AS label, CAST(min(bit_count(CAST(t.a AS BIGINT)) + bit_count(CAST(t.b AS BIGINT))) AS BIGINT) AS least, CAST(max(bit_count(CAST(t.a AS BIGINT)) + bit_count(CAST(t.b AS BIGINT))) AS BIGINT) AS most, count(*) AS n FROM t GROUP BY t.label")
+@query("bitmap_hamming", f"""WITH {V}, f AS (SELECT arg_min(a, vec_id) AS ta, arg_min(b, vec_id) AS tb, label AS template FROM v GROUP BY label)
+SELECT CAST(template AS BIGINT) AS template, CAST(min(d) AS BIGINT) AS least, CAST(max(d) AS BIGINT) AS most, CAST(sum(d) AS BIGINT) AS total, count(*) AS n FROM (SELECT template, bit_count(xor(CAST(a AS BIGINT), CAST(ta AS BIGINT))) + bit_count(xor(CAST(b AS BIGINT), CAST(tb AS BIGINT))) AS d FROM v, f) GROUP BY template""")
 def bitmap_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, t = signs(spark, sf_dir)
-    n = M.hamming(F.col("tw"), F.transform("tw", lambda x: x * 0))
-    return as_longs(t.groupBy("label").agg(F.min(n).alias("least"), F.max(n).alias("most"), F.count(F.lit(1)).alias("n")), "label", "least", "most")
+    """The distances of all bitmaps to a template of each label, its first."""
+    w = table(spark, sf_dir, "embeddings").select("vec_id", "label", M.sign_words(F.col("embedding")).alias("w"))
+    t = w.groupBy(F.col("label").alias("template")).agg(F.min_by("w", "vec_id").alias("t"))
+    d = M.to_all(w, t).select("template", M.hamming(F.col("w"), F.col("t")).alias("d")).groupBy("template")
+    return as_longs(d.agg(F.min("d").alias("least"), F.max("d").alias("most"), F.sum("d").alias("total"), F.count(F.lit(1)).alias("n")), "template", "least", "most", "total")
 
 
 @query("agrees_semijoin", f"WITH {V} SELECT query_id, CAST(label AS BIGINT) AS label FROM k WHERE rank <= 3 AND EXISTS (SELECT 1 FROM t JOIN q ON q.vec_id = query_id WHERE t.label = k.label AND abs(bit_count(CAST(t.a AS BIGINT)) - bit_count(CAST(q.a AS BIGINT))) <= 1)")
