@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scantopo.llm._text import BYTE_BASE, U, encode, materialise, mix64, powers, prefix, slices, span_hash, text_key
+from scantopo.llm._text import BYTE_BASE, Carried, U, encode, materialise, mix64, powers, prefix, slices, span_hash, spread_join, text_key
 
 LENGTH, GRAM = 200, 32
 #: Longer texts are read in overlapping pieces of this many suffixes, so that memory is bounded.
@@ -141,13 +141,11 @@ def repeated(raw: bytes, start: np.ndarray, n: np.ndarray, key: np.ndarray, leng
 _FLAG = "gram long, context long, k1 long, k2 long"
 
 
-def find(keyed: DataFrame, carry: list[str], length: int = LENGTH, hot: int = HOT_CONTEXTS) -> DataFrame:
+def find(keyed: DataFrame, length: int = LENGTH, hot: int = HOT_CONTEXTS) -> DataFrame:
     """(k1, k2, whole array<long>, part array<struct<context, lo, hi>>): for each text with repeats, by its key, the
     contexts all of whose suffixes occur twice, and the suffixes [lo, hi) of others that do.
 
-    ``keyed`` has text, the columns ``carry``, k1 and k2. The columns to carry are not used; but as they go along where
-    texts are shuffled by key, Spark sees that whoever joins the result to the same rows needs the same shuffle, and
-    makes it once.
+    ``keyed`` has text, k1 and k2. A text that stands in many rows is shown once, and what it shows is of all of them.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,19 +157,20 @@ def find(keyed: DataFrame, carry: list[str], length: int = LENGTH, hot: int = HO
                     yield pa.RecordBatch.from_arrays([pa.array(s.gram), pa.array(s.context), pa.array(k1[first + s.text]), pa.array(k2[first + s.text])], names=["gram", "context", "k1", "k2"])
 
     rows = keyed.select("text", "k1", "k2").mapInArrow(scan, _FLAG)
-    twice = materialise(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"))
-    met = materialise(rows.join(twice, "gram"))
-    by_context = met.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2")).alias("rep"))
-    several = by_context.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1")
-    state = materialise(by_context.join(several, "gram", "left"))
+    twice = materialise(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    met = materialise(spread_join(rows, twice.select("gram"), ["gram"], twice))
+    by_context = materialise(met.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2")).alias("rep")))
+    several = materialise(by_context.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1"))
+    state = materialise(spread_join(by_context, several, ["gram"], several.withColumnRenamed("contexts", "n"), "left"))
     text_of = met.select("gram", "context", "k1", "k2").distinct()
-    whole = text_of.join(state.filter("n > 1").select("gram", "context"), ["gram", "context"]).groupBy("k1", "k2").agg(F.collect_set("context").alias("whole"))
+    both = state.filter("n > 1").select("gram", "context", "n")
+    whole = spread_join(materialise(text_of), both.drop("n"), ["gram", "context"], both).groupBy("k1", "k2").agg(F.collect_set("context").alias("whole"))
     asked = state.filter("contexts > 1").select("rep.k1", "rep.k2", F.struct("context", "contexts", (F.col("n") == 1).alias("single")).alias("w")).groupBy("k1", "k2").agg(F.collect_list("w").alias("want"))
     schema = "gram long, context long, k1 long, k2 long, contexts long, single boolean, off int, n int, raw binary"
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k1, k2, wants = (b.column(b.num_columns - 3 + i).to_pylist() for i in range(3))
+            k1, k2, wants = (b.column(1 + i).to_pylist() for i in range(3))
             for base, _, texts in slices(b.column(0), PIECE):
                 for parts in pieces(texts, length):
                     s, out, seen = segments(parts, length), [], set()
@@ -186,7 +185,7 @@ def find(keyed: DataFrame, carry: list[str], length: int = LENGTH, hot: int = HO
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["gram", "context", "k1", "k2", "contexts", "single", "off", "n", "raw"])
 
     # copies of a text show the same; a context counts once
-    shown = keyed.join(asked, ["k1", "k2"]).select("text", *[f"`{c}`" for c in carry], "k1", "k2", "want").mapInArrow(show, schema)
+    shown = _joined(keyed, materialise(asked)).select("text", "k1", "k2", "want").mapInArrow(show, schema)
     found = "gram long, context long, k1 long, k2 long, lo int, hi int"
 
     def ranges(keys: list[tuple], start: np.ndarray, n: np.ndarray, hit: np.ndarray) -> pa.RecordBatch:
@@ -232,6 +231,11 @@ def find(keyed: DataFrame, carry: list[str], length: int = LENGTH, hot: int = HO
     return whole.join(part, ["k1", "k2"], "full")
 
 
+def _joined(keyed: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
+    """``keyed`` joined by the text's key with ``other``; the rows of a text with very many copies are spread."""
+    return spread_join(keyed, other, ["k1", "k2"], keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")), how)
+
+
 def _one_by_one(shown: DataFrame, length: int, ranges, found: str) -> DataFrame:
     """Grams of very many contexts: their windows spread by a 128-bit digest of their own bytes, are counted with partial
     sums, and those of more than one context come back by a join whose large keys Spark splits."""
@@ -257,13 +261,12 @@ def remove(docs: DataFrame, keep: list[str], length: int = LENGTH, hot: int = HO
     Every byte under a string of ``length`` bytes that starts anywhere else too, in another row or the same, is removed;
     strings overlap freely and are judged on the input. Rows of one text share their finding, which is joined by the
     text's 128-bit key, so equal rows remove each other wholly if they are long enough. Null is empty; empty and short
-    texts lose nothing; nulls in ``keep`` stay; an empty table gives an empty table.
+    texts lose nothing; very long ones are read piece by piece; nulls in ``keep`` stay, but its columns named n_bytes,
+    spans or kept are replaced; an empty table gives an empty table.
     """
-    names = [f"`{c}`" for c in keep]
-    fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.select(*keep).schema, strict=True))
-    carry = [f"_keep{i}" for i in range(len(keep))]
-    rows = docs.select("text", *[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)], *text_key(F.col("text")))
-    hits = find(rows, carry, length, hot)
+    own = Carried(docs, keep, ("n_bytes", "spans", "kept"))
+    rows = docs.select("text", *own.take, *text_key(F.col("text")))
+    hits = find(rows.select("text", "k1", "k2"), length, hot)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,11 +276,11 @@ def remove(docs: DataFrame, keep: list[str], length: int = LENGTH, hot: int = HO
                 found = [_merge(e) for e in _edges(texts, whole, part, length)]
                 kept = [_without(t, e) for t, e in zip(texts, found, strict=True)]
                 spans = [[{"start": x, "end": y} for x, y in e] for e in found]
-                own = [c.slice(lo, hi - lo) for c in b.columns[1 : 1 + len(keep)]]
-                yield pa.RecordBatch.from_arrays([*own, pa.array([len(t) for t in texts], pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=[*keep, "n_bytes", "spans", "kept"])
+                carried = [c.slice(lo, hi - lo) for c in b.columns[1 : 1 + len(own.inner)]]
+                yield pa.RecordBatch.from_arrays([*carried, pa.array([len(t) for t in texts], pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=[*own.inner, "n_bytes", "spans", "kept"])
 
-    joined = rows.join(hits, ["k1", "k2"], "left").select("text", *carry, "whole", "part")
-    return joined.mapInArrow(cut, f"{fields}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    joined = _joined(rows, materialise(hits), "left").select("text", *own.inner, "whole", "part")
+    return joined.mapInArrow(cut, f"{own.fields}n_bytes long, spans array<struct<start:long,end:long>>, kept binary").select(*own.back, "n_bytes", "spans", "kept")
 
 
 def _edges(texts: list[bytes], whole: list, part: list, length: int) -> list[list[tuple[int, int]]]:
