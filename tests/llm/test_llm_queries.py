@@ -112,8 +112,8 @@ def test_op3(spark, folder):
     assert by[5][0] == len("WARC/1.1\r\n\r\n\r\n\r\né".encode()) and by[6][0] == len(LONG)
 
 
-@pytest.mark.parametrize("name", ["op2_decontaminate", "op3_warc", "op5_mixing"])
-@pytest.mark.parametrize("which", ["folder", "sf"])
+# on the very long text of the folder the SQL of op2 would copy its list of words for each of them; test_op2 has it
+@pytest.mark.parametrize(("name", "which"), [("op2_decontaminate", "sf"), ("op3_warc", "folder"), ("op3_warc", "sf"), ("op5_mixing", "folder"), ("op5_mixing", "sf")])
 def test_oracles(spark, request, name, which):
     d = request.getfixturevalue(which)
     con = duckdb.connect()
@@ -124,10 +124,7 @@ def test_oracles(spark, request, name, which):
     df = queries.QUERIES[name](spark, d)
     assert sorted(names) == sorted(df.columns)
     got = [tuple(r) for r in df.select(*names).collect()]
-    want = q.fetchall()
-    if (name, which) == ("op3_warc", "folder"):  # the oracle's first page among equals ignores null ids too
-        want = [w if w[0] is not None else next(g for g in got if g[0] is None) for w in want]
-    same(got, want)
+    same(got, q.fetchall())
 
 
 def test_op4(spark, folder, sf):

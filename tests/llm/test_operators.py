@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import random
 import string
 import time
@@ -13,9 +14,10 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from scantopo.llm import decontaminate, langid, licenses, mixing, nearcopies, neighbours, repeats, secrets, toxicity, warc
-from scantopo.llm._text import Words, encode
+from scantopo.llm._text import Words, encode, spread_join
 
 
 @given(st.lists(st.text(alphabet="aB1 é\n.Ω", max_size=30), max_size=6))
@@ -106,7 +108,70 @@ def test_near_copies_across_and_keep_first(spark):
     for i, c in rows:
         got.setdefault(c, set()).add(i)
     assert sorted(map(sorted, got.values())) == sorted(sorted(i for i, c in enumerate(want) if c == x) for x in set(want))
-    assert sorted(x["doc_id"] for x in nearcopies.keep_first(docs).collect()) == sorted(set(want))
+    again = {x["doc_id"]: x["near_class"] for x in nearcopies.classes(docs.select("doc_id", "text"), ["doc_id"], large=4).collect()}
+    assert {(i, again[want[i]]) for i in again} == set(again.items())
+    clash = docs.withColumns({c: F.lit(f"{c} of the input") for c in ("_k1", "_k2", "_by", "_turn", "_salt", "k1", "n", "by", "_c0", "Near Class.x")})
+    kept = nearcopies.keep_first(clash)
+    assert kept.columns == clash.columns and sorted(x["doc_id"] for x in kept.collect()) == sorted(set(want))
+    assert all(x[c] == f"{c} of the input" for x in kept.collect() for c in ("_k1", "_k2", "_by", "k1", "n", "by", "_c0"))
+
+
+def test_paired_buckets(spark):
+    rows = [(k, node, node // 2) for k in (1, 2, 3) for node in range(8)] + [(9, 1, 0), (9, 3, 1), (8, 5, 2), (7, 0, 0), (7, 1, 0)]
+    got = nearcopies.paired(spark.createDataFrame(rows, "key long, node long, comp long")).collect()
+    by: dict = {}
+    for r in got:
+        by.setdefault(r["key"], set()).add(r["node"])
+    assert sorted(map(sorted, by.values())) == [list(range(8)), [1, 3]] and all(r["n"] == len(by[r["key"]]) for r in got)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join(spark, tmp_path, how):
+    rows = [(i, i % 9 if i % 3 else 0) for i in range(300)] + [(300, None)]
+    spark.createDataFrame(rows, "id int, k int").repartition(3).write.parquet(str(tmp_path / "r"))
+    big = spark.read.parquet(str(tmp_path / "r"))
+    small = spark.createDataFrame([(k, f"v{k}") for k in range(0, 9, 2)], "k int, v string")
+    got = spread_join(big, small, ["k"], big.groupBy("k").agg(F.count(F.lit(1)).alias("n")), how, hot=20)
+    assert sorted(map(tuple, got.select("id", "k", "v").collect()), key=str) == sorted(map(tuple, big.join(small, "k", how).select("id", "k", "v").collect()), key=str)
+
+
+def test_names_of_the_input_are_kept(spark):
+    names = ("_text", "_c0", "_row", "k1", "occ", "terms", "gram", "hits", "_id", "odd name.x")
+    docs = spark.createDataFrame([(1, "some words of the text", "a", "en"), (2, None, None, None), (2, "", "a", "en")], "doc_id long, text string, source string, lang string").withColumns({n: F.lit(n) for n in names})
+    bench = spark.createDataFrame([("i", "some words")], "item_id string, text string").withColumn("h", F.lit(1))
+    labels = spark.createDataFrame([(1, 1, "x")], "doc_id long, toxic int, terms string")
+    for out, more in (
+        (decontaminate.find(docs.withColumn("n_words", F.lit("x")), bench, [*docs.columns, "n_words"]), ["n_words", "n_hit", "items", "contaminated"]),
+        (repeats.remove(docs, docs.columns), ["n_bytes", "spans", "kept"]),
+        (toxicity.score(docs, labels, docs.columns), ["toxic_score", "toxic_evidence"]),
+        (langid.identify(docs, {"en": b"some words"}), ["lang_pred", "lang_score", "lang_margin", "lang_rejected"]),
+        (secrets.scan(docs), ["secret_spans"]),
+        (secrets.redact(docs), []),
+        (mixing.mix(docs, mixing.word_count(F.col("text")), F.col("text")), list(mixing.RESULTS)),
+        (mixing.emit(mixing.mix(docs, F.lit(1), F.col("text"))), ["copy"]),
+        (nearcopies.classes(docs.drop("k1"), [c for c in docs.columns if c != "k1"]), ["k1", "k2", "near_class"]),
+    ):
+        assert sorted(out.columns) == sorted([c for c in docs.columns if c not in more] + more)
+        for r in out.collect():
+            assert all(r[n] == n for n in names if n not in more)
+
+
+def test_archives_in_pieces():
+    def record(kind, block):
+        return b"WARC/1.1\r\nWARC-Type: " + kind + b"\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+    blocks = [b"", b"WARC/1.1\r\n\r\n", bytes(10**6), b"\r\n" * 999, "é".encode()]
+    raw = b"".join(record(b"response", b) for b in blocks)
+    for packed in (gzip.compress(raw), b"".join(gzip.compress(record(b"response", b)) for b in blocks)):
+        for piece in (7, 1 << 10, 1 << 18):
+            if piece == 7 and len(packed) > 5000:
+                continue
+            assert b"".join(warc.inflate(packed, piece)) == raw
+            assert [b for _, b in warc.parse(warc.inflate(packed, piece))] == blocks
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.inflate(gzip.compress(raw)[:-20]))
+    with pytest.raises(ValueError, match="within a record"):
+        list(warc.parse(raw[:-9]))
 
 
 def test_tiles_find_every_link(spark):
@@ -146,6 +211,11 @@ def test_warc_files(spark, tmp_path):
     assert all(r["request"]["record_id"] == r["transaction"] for r in whole)
     small = warc.resolve(warc.assemble(warc.read(spark, warc.write(pages, str(tmp_path / "v"), least=10)))).collect()
     assert {r["page_id"]: r["response"]["type"] for r in small} == {1: "response", 2: "response", 3: "response"}
+    named = spark.createDataFrame([(" a%\r\n b\t", "u", "<p>x</p>"), (" a%\r\n b", "u", "<p>x</p>"), ("", "u", "")], "page_id string, url string, html string")
+    records = warc.records(named, broadcast=0)
+    assert records.count() == 3
+    found = warc.resolve(warc.assemble(warc.read(spark, warc.write(named, str(tmp_path / "s")))), "string").collect()
+    assert {(r["page_id"], r["response"]["type"], r["refers_to"]) for r in found} == {(" a%\r\n b\t", "response", None), (" a%\r\n b", "revisit", " a%\r\n b\t"), ("", "response", None)}
 
 
 @pytest.mark.parametrize(

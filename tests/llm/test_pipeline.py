@@ -4,10 +4,56 @@ from __future__ import annotations
 
 import brute
 import corpus_pipeline
+import pytest
+from pyspark.sql import functions as F
+from test_llm_queries import awkward
+
+
+def docs_of(spark, sf, which):
+    if which == "sf":
+        return spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r["doc_id"], r["text"], "en", r["source"]) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
+    rows += [(1000 + i, t, x, s) for i, (_, t, x, s) in enumerate(awkward())]
+    rows += [(None, "a null id with words of its own", "en", None), (None, "a null id with words of its own", "en", None), (9000, "abc " * 50_000, "en", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit(c) for c in CLASHING}).repartition(3)
+    return docs.checkpoint() if docs.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else docs.persist()
+
+
+#: Names that operators use within.
+CLASHING = ("_k1", "_k2", "_by", "_c0", "_text", "copy", "mix_copies", "lang_pred", "secret_spans", "n_words", "near_class", "k1", "_salt")
+
+
+@pytest.mark.parametrize("which", ["odd", "empty"])
+def test_stages_on_odd_rows(spark, sf, which):
+    docs = docs_of(spark, sf, "odd")
+    if which == "empty":
+        docs = docs.limit(0).persist()
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf).persist()
+        assert out.columns == docs.columns if i < 4 else sorted(out.columns) == sorted(docs.columns), name
+        old, new = docs.collect(), out.collect()
+        assert all(r[c] == c for r in new for c in CLASHING if c != "copy" or i < 4)
+        if which == "empty":
+            assert not new
+        elif name == "language_id":
+            assert sum((r["doc_id"] or 1000) < 1000 for r in new) >= 55 and not {r["doc_id"] for r in new} & {1000, 1001, 1002}
+            out = docs.filter("length(text) > 0")  # the rest of the stages see the odd ones too
+            new = out.collect()
+        elif name == "near_copies":
+            classes = brute.near_classes([r["text"] for r in old])
+            assert len(new) == len(set(classes))
+        elif name == "decontaminate":
+            items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+            assert len(new) == sum(not x[4] for x in brute.decontaminate([r["text"] for r in old], items))
+        elif name == "secrets":
+            assert len(new) == len(old) and not any(brute.secrets(r["text"]) for r in new)
+        else:
+            assert {r["copy"] for r in new} <= {1, 2, 3} and {r["doc_id"] for r in new} <= {r["doc_id"] for r in old}
+        docs = out
 
 
 def test_stages(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs_of(spark, sf, "sf")
     seen = [docs]
     for _, stage in corpus_pipeline.STAGES:
         seen.append(stage(spark, seen[-1], sf).persist())
