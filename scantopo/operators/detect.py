@@ -70,3 +70,17 @@ def compare(left: DataFrame, right: DataFrame, features: list[str], halves: Data
     if halves is None:
         return j.withColumn("scale_stable", F.lit(None).cast("boolean"))
     return j.join(halves.select(*key, F.col("distance").alias("_half")), key, "left").withColumn("scale_stable", F.col("_half") == F.col("distance")).drop("_half")
+
+
+def three_way(readings: dict[str, DataFrame], features: list[str]) -> DataFrame:
+    """(page_id, row, a distance for each two readings, missing): three readings of each row by the sums of absolute
+    differences of ``features``, null where one of the two has no such row, and the names of those that haven't."""
+    key, names = ["page_id", "row"], list(readings)
+    out = None
+    for n, d in readings.items():
+        own = d.select(*key, F.struct(*[F.col(f).alias(f) for f in features]).alias(n))
+        out = own if out is None else out.join(own, key, "full")
+    far = lambda a, b: sum((F.abs(F.col(a)[f] - F.col(b)[f]) for f in features), F.lit(0))
+    pairs_ = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    missing = F.array_compact(F.array(*[F.when(F.col(n).isNull(), F.lit(n)) for n in names]))
+    return out.select(*key, *[far(a, b).alias(f"{a}_{b}") for a, b in pairs_], missing.alias("missing"))

@@ -215,10 +215,11 @@ def char_substitutions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("word_alignment")
 def word_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document of a language against the next one: aligned blocks of words and one-letter differences."""
+    """Each document of a language against the next one, the last against none: aligned blocks of words and one-letter
+    differences."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     nxt = F.lead("text").over(Window.partitionBy("lang").orderBy("doc_id"))
-    return X.align(d.withColumn("other", nxt).filter("other is not null"), "doc_id", "text", "other")
+    return X.align(d.withColumn("other", F.coalesce(nxt, F.lit(""))), "doc_id", "text", "other")
 
 
 @query("page_number", r"SELECT url, coalesce(CAST(nullif(regexp_extract(url, '/[a-z]*0*([0-9]+)(#.*)?$', 1), '') AS BIGINT), -1) AS number FROM pages")

@@ -62,12 +62,31 @@ def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table_cells(region_boxes(spark, sf_dir), 1)
 
 
-@query("compare_readings", """WITH a AS (SELECT l_orderkey AS page_id, l_linenumber AS row, count(*) AS n, sum(CAST(l_quantity AS BIGINT)) AS q FROM lineitem WHERE l_linestatus = 'F' GROUP BY ALL), b AS (SELECT l_orderkey AS page_id, l_linenumber AS row, count(*) AS n, sum(CAST(l_quantity AS BIGINT)) AS q FROM lineitem WHERE l_linestatus <> 'F' GROUP BY ALL)
-SELECT page_id, row, CAST(abs(coalesce(a.n, 0) - coalesce(b.n, 0)) + abs(coalesce(a.q, 0) - coalesce(b.q, 0)) AS BIGINT) AS distance, CAST(abs(coalesce(a.n, 0) - coalesce(b.n, 0)) AS BIGINT) AS comp_delta FROM a FULL JOIN b USING (page_id, row)""")
+_READ = "SELECT l_orderkey AS page_id, l_linenumber AS row, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q FROM lineitem WHERE {} GROUP BY ALL"
+
+
+def _readings(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
+    t = table(spark, sf_dir, "lineitem").filter(where)
+    return t.groupBy(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("row")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("q"))
+
+
+@query("compare_readings", f"""WITH a AS ({_READ.format("l_linestatus = 'F'")}), b AS ({_READ.format("l_linestatus <> 'F'")})
+SELECT page_id, row, CAST(abs(coalesce(a.n, 0) - coalesce(b.n, 0)) + abs(coalesce(a.q, 0) - coalesce(b.q, 0)) AS BIGINT) AS distance, CAST(abs(coalesce(a.n, 0) - coalesce(b.n, 0)) AS BIGINT) AS comp_delta,
+abs(coalesce(a.n, 0) - coalesce(b.n, 0)) + abs(coalesce(a.q, 0) // 25 * 25 - coalesce(b.q, 0) // 25 * 25) = abs(coalesce(a.n, 0) - coalesce(b.n, 0)) + abs(coalesce(a.q, 0) - coalesce(b.q, 0)) AS scale_stable FROM a FULL JOIN b USING (page_id, row)""")
 def compare_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("row"), F.col("l_quantity").cast("long").alias("q"), "l_linestatus")
-    side = lambda c: t.filter(c).groupBy("page_id", "row").agg(F.count(F.lit(1)).alias("n"), F.sum("q").alias("q"))
-    return D.compare(side("l_linestatus = 'F'"), side("l_linestatus <> 'F'"), ["n", "q"]).drop("scale_stable")
+    """Two readings of each row, and whether they differ as much once read coarsely."""
+    a, b = (_readings(spark, sf_dir, w) for w in ("l_linestatus = 'F'", "l_linestatus <> 'F'"))
+    coarse = [d.withColumn("q", F.call_function("div", F.col("q"), F.lit(25)) * 25) for d in (a, b)]
+    return D.compare(a, b, ["n", "q"], D.compare(*coarse, ["n", "q"]))
+
+
+@query("three_way", f"""WITH a AS ({_READ.format("l_returnflag = 'A'")}), n AS ({_READ.format("l_returnflag = 'N'")}), r AS ({_READ.format("l_returnflag = 'R'")}),
+j AS (SELECT page_id, row, a.n AS an, a.q AS aq, n.n AS nn, n.q AS nq, r.n AS rn, r.q AS rq FROM a FULL JOIN n USING (page_id, row) FULL JOIN r USING (page_id, row))
+SELECT page_id, row, abs(an - nn) + abs(aq - nq) AS a_n, abs(an - rn) + abs(aq - rq) AS a_r, abs(nn - rn) + abs(nq - rq) AS n_r, concat_ws(',', CASE WHEN an IS NULL THEN 'a' END, CASE WHEN nn IS NULL THEN 'n' END, CASE WHEN rn IS NULL THEN 'r' END) AS missing FROM j""")
+def three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three readings of each row against one another, and which are missing."""
+    t = D.three_way({k.lower(): _readings(spark, sf_dir, f"l_returnflag = '{k}'") for k in "ANR"}, ["n", "q"])
+    return t.withColumn("missing", F.array_join("missing", ","))
 
 
 @query("lines_json_sink")
@@ -123,11 +142,11 @@ def row_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("leading_block", """WITH p AS (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page, o_orderstatus = 'O' AS good FROM orders),
 g AS (SELECT doc, page, sum(CASE WHEN page - lag > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY page) AS part FROM (SELECT doc, page, lag(page) OVER (PARTITION BY doc ORDER BY page) AS lag FROM p WHERE good))
-SELECT doc, min(page) AS first, max(page) AS last, count(*) AS n FROM g WHERE part = 0 GROUP BY doc""")
+SELECT doc, first, last, n FROM (SELECT DISTINCT doc FROM p) LEFT JOIN (SELECT doc, min(page) AS first, max(page) AS last, count(*) AS n FROM g WHERE part = 0 GROUP BY doc) USING (doc)""")
 def leading_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     p = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), page.alias("page"), (F.col("o_orderstatus") == "O").alias("good"))
-    return as_longs(FM.leading_block(p, "doc", "good").filter("n is not null"), "first", "last")
+    return as_longs(FM.leading_block(p, "doc", "good"), "first", "last")
 
 
 @query("stroke_width", f"WITH {CELLS}, p AS (SELECT page_id, line, x FROM px WHERE ink), k AS (SELECT page_id, count(*) AS k FROM ({_SIDES}) GROUP BY ALL) SELECT page_id, round(2.0::DOUBLE * count(*) / any_value(k), 9) AS width FROM p JOIN k USING (page_id) GROUP BY page_id")

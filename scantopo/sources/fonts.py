@@ -69,7 +69,9 @@ def load(raw: bytes, name: str = "") -> Font:
     clear, dark = segments(raw)
     private = decrypt(dark, EEXEC_KEY, 4)
     own = re.search(rb"/FontName\s*/(\S+)", clear)
-    skip = int(m[1]) if (m := re.search(rb"/lenIV\s+(\d+)", private)) else 4
+    skip = int(m[1]) if (m := re.search(rb"/lenIV\s+([+-]?\d+)", private)) else 4
+    if skip < 0:
+        raise ValueError(f"lenIV {skip} is negative")
     encoding = {int(c): g.decode("latin-1") for c, g in re.findall(rb"dup\s+(\d+)\s*/(\S+)\s+put", clear)}
     subrs, glyphs = {}, {}
     # a string is a length, the font's own word for reading it, a space and as many bytes

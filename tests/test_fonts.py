@@ -58,6 +58,17 @@ def test_load_and_outline(how):
     assert [fonts.first_operator(f, g) for g in ("A", "bad", "none")] == ["hsbw", "cmd", "truncated"]
 
 
+def test_negative_skip():
+    with pytest.raises(ValueError, match="lenIV -1"):
+        fonts.load(_with_skip(b"-1"))
+
+
+def _with_skip(text: bytes) -> bytes:
+    raw = font_bytes()
+    clear, dark = raw.split(b"eexec\n", 1)
+    return clear + b"eexec\n" + fonts.encrypt(fonts.decrypt(dark, fonts.EEXEC_KEY, 4).replace(b"/lenIV 4", b"/lenIV " + text), fonts.EEXEC_KEY)
+
+
 def test_glyphs(spark):
     df = spark.createDataFrame([("x", font_bytes()), ("y", b"junk")], "path string, content binary")
     got = {(r["path"], r["glyph"]): (r["n_paths"], r["error"] is None) for r in fonts.glyphs(df).collect()}
