@@ -64,6 +64,20 @@ def agrees_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_longs(M.agree(c, q.select("query_id", "qw", F.lit(True).alias("has_signature")), t, near), "label")
 
 
+@query("verifier_verdicts", f"""WITH {V}, o AS (SELECT query_id, truth = label AS ok, EXISTS (SELECT 1 FROM t JOIN q ON q.vec_id = query_id WHERE t.label = k.label AND abs(bit_count(CAST(t.a AS BIGINT)) - bit_count(CAST(q.a AS BIGINT))) <= 1) AS agreed FROM k WHERE rank = 1)
+SELECT CASE WHEN ok AND agreed THEN 'correct' WHEN agreed THEN 'silently wrong' WHEN ok THEN 'abstained' ELSE 'detected' END AS verdict, count(*) AS n FROM o GROUP BY ALL""")
+def verifier_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first label of each query, told right or wrong, against a verifier by other features."""
+    q, t = signs(spark, sf_dir)
+    c = ranked(spark, sf_dir, 1).select("query_id", "label", "truth")
+    first = lambda w: F.bit_count(F.element_at(w, 1))
+    kept = M.agree(c, q.select("query_id", "qw", F.lit(True).alias("has_signature")), t, F.abs(first(F.col("t.tw")) - first(F.col("c.qw"))) <= 1)
+    o = c.join(kept.select("query_id", F.lit(True).alias("agreed")), "query_id", "left")
+    right = F.col("truth") == F.col("label")
+    verdict = F.when(right & F.col("agreed"), "correct").when(F.col("agreed"), "silently wrong").when(right, "abstained").otherwise("detected")
+    return o.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("loo_nn", """WITH a AS (SELECT avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS s FROM customer), z AS (SELECT c_custkey AS id, c_nationkey AS n, c_mktsegment AS g, (c_acctbal - m) / s AS z FROM customer, a),
 p AS (SELECT x.id, y.id AS near, (x.z - y.z) ** 2 AS d2 FROM z x JOIN z y ON x.g = y.g AND x.n <> y.n) SELECT id, arg_min(near, struct_pack(d := d2, i := near)) AS near, round(min(d2), 9) AS d2 FROM p GROUP BY id""")
 def loo_nn(spark: SparkSession, sf_dir: str) -> DataFrame:

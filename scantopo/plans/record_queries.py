@@ -222,3 +222,38 @@ def equivalences(spark: SparkSession, sf_dir: str) -> DataFrame:
     banded = T.band_components(r, 4).groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.count_distinct("comp").alias("m"))
     apart = whole.join(banded, "page_id", "full").agg(F.count_if(~F.col("n").eqNullSafe(F.col("m"))).alias("bands"), F.sum("n").alias("components"), F.sum("m").alias("banded"))
     return odd.crossJoin(apart).select("pages", "components", "banded", "area_rows", "area_columns", "moments", "bands")
+
+
+@query("topology_gate", E8 + LABELS + """ SELECT n.page_id, count(DISTINCT cc.comp) AS components, CAST(coalesce(any_value(k.m), 0) - count(*) + count(DISTINCT cc.comp) AS BIGINT) AS holes, true AS kept
+FROM n JOIN cc USING (id) LEFT JOIN (SELECT page_id, count(*) AS m FROM e GROUP BY page_id) k USING (page_id) GROUP BY n.page_id""")
+def topology_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components and holes of each page, and whether it has as many once it is turned on its side: what a change of place
+    must not change."""
+
+    def f(axis):
+        def g(texts):
+            r = R.rasterise(texts, axis)
+            c = kernel.components(r)
+            page, of = np.unique(r.page[c["first"]], return_inverse=True)
+            return page, [np.bincount(of, minlength=len(page)), np.bincount(of, c["n_edges"] - c["n_runs"] + 1, minlength=len(page)).astype(np.int64)]
+
+        return g
+
+    d = docs(spark, sf_dir)
+    row, col = (R.pages(d, f(a), "components long, holes long") for a in ("row", "col"))
+    turned = col.select("page_id", F.struct("components", "holes").alias("t"))
+    return row.join(turned, "page_id").select("page_id", "components", "holes", F.struct("components", "holes").eqNullSafe(F.col("t")).alias("kept"))
+
+
+@query("rotation_survival")
+def rotation_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of crops of all pages that keep their holes, and their components, when turned by a small angle."""
+    line = F.col("line")
+    r = R.runs(docs(spark, sf_dir)).select((F.col("page_id") * _KEY + F.floor(line / CROP)).alias("page_id"), (line % CROP).cast("int").alias("line"), "lo", "hi")
+    source, out = _topology(r), None
+    for deg in (0.0, 0.5, 3.0, -3.0):
+        c, s = float(np.cos(np.radians(deg))), float(np.sin(np.radians(deg)))
+        turned = _topology(G.transport(r, (c, s, -s, c, 8.0, 8.0), R.WIDTH + 16, CROP + 16)).select("page_id", F.col("components").alias("c"), F.col("holes").alias("h"))
+        j = source.join(turned, "page_id", "left").agg(F.lit(deg).alias("degrees"), F.avg(F.col("holes").eqNullSafe(F.col("h")).cast("double")).alias("holes_kept"), F.avg(F.col("components").eqNullSafe(F.col("c")).cast("double")).alias("components_kept"))
+        out = j if out is None else out.unionByName(j)
+    return out
