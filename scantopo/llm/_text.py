@@ -74,12 +74,13 @@ class Carried:
         return {"inner": self.inner}  # what functions on the executors need
 
 
-def spread_join(rows: DataFrame, other: DataFrame, on: list[str], counts: DataFrame, how: str = "inner", hot: int = HOT_ROWS) -> DataFrame:
+def spread_join(rows: DataFrame, other: DataFrame, on: list[str], counts: DataFrame, how: str = "inner", hot: int = HOT_ROWS, turn: Column | None = None) -> DataFrame:
     """``rows`` joined with ``other``, which has a row a key at most, without a task that reads all rows of a hot key.
 
     ``counts`` (the key, n) names the rows of at least those keys of ``rows`` that have more than ``hot``. The rows of
     the HOT_KEYS most frequent ones are dealt to as many tasks as they need, and their row of ``other`` goes to each; a
-    key beyond those has at most one in HOT_KEYS of all rows. ``rows`` must come in the same order when read again.
+    key beyond those has at most one in HOT_KEYS of all rows. Rows are dealt by ``turn``, a number, or by their order, which
+    must then be the same when they are read again.
     """
     most = counts.filter(F.col("n") > hot).orderBy(F.desc("n")).limit(HOT_KEYS)
     most = materialise(most.select(*on, F.ceil(F.col("n") / hot).cast("int").alias("_deal")))
@@ -87,7 +88,7 @@ def spread_join(rows: DataFrame, other: DataFrame, on: list[str], counts: DataFr
         return rows.join(other, on, how)
     most = F.broadcast(most)
     n = F.coalesce("_deal", F.lit(1))
-    dealt = rows.withColumn("_turn", F.monotonically_increasing_id()).join(most, on, "left").withColumn("_salt", F.pmod("_turn", n).cast("int")).drop("_deal", "_turn")
+    dealt = rows.withColumn("_turn", F.monotonically_increasing_id() if turn is None else turn).join(most, on, "left").withColumn("_salt", F.pmod("_turn", n).cast("int")).drop("_deal", "_turn")
     each = other.join(most, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_deal")
     return dealt.join(each, [*on, "_salt"], how).drop("_salt")
 

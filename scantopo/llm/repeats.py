@@ -23,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scantopo.llm._text import BYTE_BASE, Carried, U, encode, materialise, mix64, powers, prefix, slices, span_hash, spread_join, text_key
+from scantopo.llm._text import BYTE_BASE, HOT_ROWS, Carried, U, encode, materialise, mix64, powers, prefix, slices, span_hash, spread_join, text_key
 
 LENGTH, GRAM = 200, 32
 #: Longer texts are read in overlapping pieces of this many suffixes, so that memory is bounded.
 PIECE = 1 << 19
-#: Different contexts of one gram up to which one task sorts them; windows of more are counted one by one.
-HOT_CONTEXTS = 20_000
+#: Different contexts of one gram up to which one task sorts them; of more, each window goes by a wide digit of its own,
+#: the digest of its bytes, so that no task reads them all.
+HOT_CONTEXTS = 2_000
 SORT_BYTES = 4 << 20
 
 
@@ -141,11 +142,13 @@ def repeated(raw: bytes, start: np.ndarray, n: np.ndarray, key: np.ndarray, leng
 _FLAG = "gram long, context long, k1 long, k2 long"
 
 
-def find(keyed: DataFrame, length: int = LENGTH, hot: int = HOT_CONTEXTS) -> DataFrame:
+def find(keyed: DataFrame, carry: list[str], copies: DataFrame, length: int = LENGTH, hot: int = HOT_CONTEXTS) -> DataFrame:
     """(k1, k2, whole array<long>, part array<struct<context, lo, hi>>): for each text with repeats, by its key, the
     contexts all of whose suffixes occur twice, and the suffixes [lo, hi) of others that do.
 
-    ``keyed`` has text, k1 and k2. A text that stands in many rows is shown once, and what it shows is of all of them.
+    ``keyed`` has text, the columns ``carry``, k1 and k2; ``copies`` (k1, k2, n) are the texts of very many rows. The
+    columns to carry are not used; but as they go along where texts are shuffled by key, Spark sees that whoever joins the
+    result to the same rows needs the same shuffle, and makes it once.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +173,7 @@ def find(keyed: DataFrame, length: int = LENGTH, hot: int = HOT_CONTEXTS) -> Dat
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k1, k2, wants = (b.column(1 + i).to_pylist() for i in range(3))
+            k1, k2, wants = (b.column(b.num_columns - 3 + i).to_pylist() for i in range(3))
             for base, _, texts in slices(b.column(0), PIECE):
                 for parts in pieces(texts, length):
                     s, out, seen = segments(parts, length), [], set()
@@ -185,7 +188,7 @@ def find(keyed: DataFrame, length: int = LENGTH, hot: int = HOT_CONTEXTS) -> Dat
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["gram", "context", "k1", "k2", "contexts", "single", "off", "n", "raw"])
 
     # copies of a text show the same; a context counts once
-    shown = _joined(keyed, materialise(asked)).select("text", "k1", "k2", "want").mapInArrow(show, schema)
+    shown = spread_join(keyed, materialise(asked), ["k1", "k2"], copies).select("text", *carry, "k1", "k2", "want").mapInArrow(show, schema)
     found = "gram long, context long, k1 long, k2 long, lo int, hi int"
 
     def ranges(keys: list[tuple], start: np.ndarray, n: np.ndarray, hit: np.ndarray) -> pa.RecordBatch:
@@ -223,22 +226,19 @@ def find(keyed: DataFrame, length: int = LENGTH, hot: int = HOT_CONTEXTS) -> Dat
         if held:
             yield flush(held)
 
+    many = not state.filter(F.col("contexts") > hot).isEmpty()
+    shown = materialise(shown) if many else shown  # read twice then
     cool = shown.filter(F.col("contexts") <= hot).drop("contexts")
     parts = cool.repartition("gram").sortWithinPartitions("gram", "context").mapInArrow(sort, found)
-    if not state.filter(F.col("contexts") > hot).isEmpty():
+    if many:
         parts = parts.unionByName(_one_by_one(shown.filter(F.col("contexts") > hot), length, ranges, found))
     part = parts.groupBy("k1", "k2").agg(F.collect_set(F.struct("context", "lo", "hi")).alias("part"))
     return whole.join(part, ["k1", "k2"], "full")
 
 
-def _joined(keyed: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
-    """``keyed`` joined by the text's key with ``other``; the rows of a text with very many copies are spread."""
-    return spread_join(keyed, other, ["k1", "k2"], keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")), how)
-
-
 def _one_by_one(shown: DataFrame, length: int, ranges, found: str) -> DataFrame:
     """Grams of very many contexts: their windows spread by a 128-bit digest of their own bytes, are counted with partial
-    sums, and those of more than one context come back by a join whose large keys Spark splits."""
+    sums, and those that are met twice come back by a join that spreads hot ones."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -251,8 +251,8 @@ def _one_by_one(shown: DataFrame, length: int, ranges, found: str) -> DataFrame:
 
     rows = shown.dropDuplicates(["gram", "context"]).mapInArrow(spread, "w1 long, w2 long, gram long, context long, k1 long, k2 long, lo int, single boolean")
     # a window at two places of one context counts too
-    twice = rows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    return rows.filter("single").join(twice, ["w1", "w2"]).select("gram", "context", "k1", "k2", "lo", (F.col("lo") + 1).alias("hi"))
+    twice = materialise(rows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    return spread_join(rows.filter("single"), twice, ["w1", "w2"], twice, turn=F.xxhash64("gram", "context", "lo")).select("gram", "context", "k1", "k2", "lo", (F.col("lo") + 1).alias("hi"))
 
 
 def remove(docs: DataFrame, keep: list[str], length: int = LENGTH, hot: int = HOT_CONTEXTS) -> DataFrame:
@@ -266,7 +266,8 @@ def remove(docs: DataFrame, keep: list[str], length: int = LENGTH, hot: int = HO
     """
     own = Carried(docs, keep, ("n_bytes", "spans", "kept"))
     rows = docs.select("text", *own.take, *text_key(F.col("text")))
-    hits = find(rows.select("text", "k1", "k2"), length, hot)
+    copies = materialise(rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_ROWS))
+    hits = find(rows, own.inner, copies, length, hot)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +280,7 @@ def remove(docs: DataFrame, keep: list[str], length: int = LENGTH, hot: int = HO
                 carried = [c.slice(lo, hi - lo) for c in b.columns[1 : 1 + len(own.inner)]]
                 yield pa.RecordBatch.from_arrays([*carried, pa.array([len(t) for t in texts], pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=[*own.inner, "n_bytes", "spans", "kept"])
 
-    joined = _joined(rows, materialise(hits), "left").select("text", *own.inner, "whole", "part")
+    joined = spread_join(rows, materialise(hits), ["k1", "k2"], copies, "left").select("text", *own.inner, "whole", "part")
     return joined.mapInArrow(cut, f"{own.fields}n_bytes long, spans array<struct<start:long,end:long>>, kept binary").select(*own.back, "n_bytes", "spans", "kept")
 
 
