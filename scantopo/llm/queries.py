@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scantopo.llm import decontaminate, langid, licenses, mixing, nearcopies, neighbours, repeats, secrets, toxicity, warc
-from scantopo.llm._text import materialise
+from scantopo.llm._text import materialise, spread_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,8 +58,8 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_nearcopies(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = materialise(nearcopies.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]))
-    sizes = c.groupBy("near_class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return c.join(sizes, "near_class").select("doc_id", "class_id", "class_size")
+    sizes = materialise(c.groupBy("near_class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")))
+    return spread_join(c, sizes, ["near_class"], sizes.select("near_class", F.col("class_size").alias("n"))).select("doc_id", "class_id", "class_size")
 
 
 def _spans(spans: Column) -> Column:
