@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def general(value: Column, digits: int = 3) -> Column:
-    """A number in ``digits`` significant digits, without closing zeros; with an exponent under -4 or of ``digits`` and more."""
-    v = value.cast("double")
-    whole = F.abs(v) / F.pow(F.lit(10.0), F.regexp_extract(F.format_string("%.17e", v), "e([+-][0-9]+)$", 1).cast("int") - (digits - 1))
-    even = (whole - F.floor(whole) == 0.5) & (F.floor(whole) % 2 == 0)  # a tie goes to the even digit
-    v = F.when(even, v * (1 - 1e-12)).otherwise(v)
-    text = F.format_string(f"%.{digits - 1}e", v)
-    power = F.regexp_extract(text, "e([+-][0-9]+)$", 1).cast("int")
-    bare = lambda s: F.regexp_replace(F.regexp_replace(s, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    plain = F.coalesce(*[F.when(power == p, F.format_string(f"%.{digits - 1 - p}f", v)) for p in range(-4, digits)])
-    return F.when(v == 0, "0").when(power.between(-4, digits - 1), bare(plain)).otherwise(F.concat(bare(F.regexp_extract(text, "^(.*)e", 1)), F.lit("e"), F.regexp_extract(text, "e(.*)$", 1)))
+    """A number in ``digits`` significant digits, without closing zeros; with an exponent under -4 or of ``digits`` and more.
+
+    Rounded from the exact binary value, a tie to the even digit, as C does: Java's formatter rounds the shortest decimal
+    digits, which may stand on the other side of a half."""
+
+    def write(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else format(v, f".{digits}g") for v in values.to_pylist()], pa.string())
+
+    return F.arrow_udf(write, "string")(value.cast("double"))
 
 
 def fact(name: str, value: Column, test: str, threshold: Column, whole: bool = False) -> Column:

@@ -18,6 +18,12 @@ def test_numbers_as_text(spark):
     assert got == [f"{v:.3g}" for v in values]
 
 
+def test_numbers_as_text_next_to_a_half(spark):
+    values = [k * 10.0**e for k in (1.785, 2.675, 8.375, 1.005, 98.95, 0.4325, 55.05, 7.985, 9.995) for e in range(-9, 9)] + [-0.0, float("inf"), float("nan"), 1e-320, None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(evidence.general(F.col("v"))).collect()]
+    assert got == [None if v is None else f"{v:.3g}" for v in values]
+
+
 def test_because(spark):
     d = spark.createDataFrame([(0.061, 14), (0.5, None)], "fill double, holes int")
     f = evidence.because((F.lit(True), evidence.fact("fill", F.col("fill"), "<", F.lit(0.35))), (F.col("holes").isNotNull(), evidence.fact("holes", F.col("holes"), ">=", F.lit(2), whole=True)))
