@@ -21,8 +21,8 @@ BANDS, ROWS = 32, 5
 AGREE = 0.64
 #: Members of a bucket compared in one block; larger buckets are compared block by block.
 BLOCK = 512
-#: Members of a bucket up to which all are compared; of larger ones those that share a second bucket. At similarity 0.8 a
-#: pair shares just one band once in 20,000 pairs.
+#: Members of a bucket beyond which blocks of signatures grow with the root of its size, so that a row isn't copied into
+#: too many tiles. All members are compared in any case.
 LARGE = 8_192
 
 
@@ -192,13 +192,21 @@ def verify(pairs: DataFrame, has: DataFrame, least: Fraction = SIMILAR) -> DataF
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def tiles(rows: DataFrame, block: int, *payload: str) -> DataFrame:
+def tiles(rows: DataFrame, block: int, *payload: str, large: int | None = None) -> DataFrame:
     """(key, i, j, mine, node, comp, payload): the rows of each bucket (key, n) dealt to pairs of its blocks, so that
-    every two rows meet in a tile, and a large bucket is many tasks' work."""
-    cut = F.ceil(F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("node"), cut).cast("int")
-    each = F.transform(F.sequence(F.lit(0), cut - 1), lambda i: F.struct(F.least(i, mine).alias("i"), F.greatest(i, mine).alias("j")))
-    dealt = rows.select("key", "node", "comp", *payload, mine.alias("mine"), F.explode(each).alias("t")).select("key", "t.i", "t.j", "mine", "node", "comp", *payload)
+    every two rows meet in a tile, and a large bucket is many tasks' work.
+
+    Where rows have ``main`` and ``rest`` (see ``mains``), rows of the main component don't meet each other. Blocks of
+    buckets of more than ``large`` rows are larger by the root of n / large."""
+    wide = F.lit(float(block)) if large is None else block * F.sqrt(F.greatest(F.col("n") / large, F.lit(1.0)))
+    main, rest = (F.col("main"), F.col("rest")) if "rest" in rows.columns else (F.lit(False), F.col("n"))
+    cut, more = F.greatest(F.ceil(rest / wide), F.lit(1)).cast("int"), F.greatest(F.ceil((F.col("n") - rest) / wide), F.lit(0)).cast("int")
+    turn = F.xxhash64("node")
+    rows = rows.select("key", "node", "comp", *payload, main.alias("main"), cut.alias("cut"), more.alias("more"))
+    rows = rows.withColumn("mine", F.when(F.col("main"), F.col("cut") + F.pmod(turn, F.greatest("more", F.lit(1)))).otherwise(F.pmod(turn, F.col("cut"))).cast("int"))
+    last = F.col("cut") - 1 + F.when(F.col("main"), 0).otherwise(F.col("more"))
+    each = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.least(i, F.col("mine")).alias("i"), F.greatest(i, F.col("mine")).alias("j")))
+    dealt = rows.select("key", "node", "comp", *payload, "mine", F.explode(each).alias("t")).select("key", "t.i", "t.j", "mine", "node", "comp", *payload)
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
@@ -221,7 +229,7 @@ def _tile(rows: list[tuple]) -> tuple:
     return key[0], np.flatnonzero(mine == i[0]), np.flatnonzero(mine == j[0]), np.array(node, np.int64), np.array(comp, np.int64), load
 
 
-def promising(rows: DataFrame, agree: float = AGREE, block: int = BLOCK) -> DataFrame:
+def promising(rows: DataFrame, agree: float = AGREE, block: int = BLOCK, large: int = LARGE) -> DataFrame:
     """(key, node) of members of (key, n, node, comp, sig) whose signature agrees enough with one of another component
     in their bucket."""
 
@@ -235,7 +243,7 @@ def promising(rows: DataFrame, agree: float = AGREE, block: int = BLOCK) -> Data
                 hit[x] |= len(y) > 0
             yield pa.RecordBatch.from_arrays([pa.array(np.full(hit.sum(), key, np.int64)), pa.array(node[hit])], names=["key", "node"])
 
-    return tiles(rows, block, "sig").mapInArrow(run, "key long, node long").distinct()
+    return tiles(rows, block, "sig", large=large).mapInArrow(run, "key long, node long").distinct()
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -290,7 +298,8 @@ def across(rows: DataFrame, least: Fraction = SIMILAR, block: int = BLOCK) -> Da
 
 def paired(hot: DataFrame) -> DataFrame:
     """Buckets (key, n, node, comp) for each two of the buckets ``hot`` (key, node, comp) that a node is in, where
-    members of different components meet; one of those with the same members."""
+    members of different components meet; one of those with the same members. ``classes`` doesn't split by it, as pairs
+    that share one bucket alone would not meet."""
     keys = hot.groupBy("node", "comp").agg(F.sort_array(F.collect_set("key")).alias("ks")).filter("size(ks) > 1")
     two = F.expr("flatten(transform(sequence(0, size(ks) - 2), i -> transform(slice(ks, i + 2, size(ks)), k -> xxhash64(ks[i], k))))")
     rows = materialise(keys.select("node", "comp", F.explode(two).alias("key")))
@@ -304,6 +313,15 @@ def several(rows: DataFrame, by_key) -> DataFrame:
     return spread_join(rows.select("key", "node", "comp"), torn, ["key"], torn).select("key", "n", "node", "comp")
 
 
+def mains(rows: DataFrame) -> DataFrame:
+    """The rows (key, n, node, comp) of buckets with ``main``, whether a row is of the component with most rows in its
+    bucket, and ``rest``, how many rows are of others."""
+    size = materialise(rows.groupBy("key", "n", "comp").agg(F.count(F.lit(1)).alias("m")))
+    most = materialise(size.groupBy("key", "n").agg(F.max(F.struct("m", F.col("comp").alias("top"))).alias("x")).select("key", "n", "x.top", (F.col("n") - F.col("x.m")).alias("rest")))
+    told = spread_join(rows.drop("n"), most, ["key"], most.select("key", "n"))
+    return told.select("key", "n", "node", "comp", (F.col("comp") == F.col("top")).alias("main"), "rest")
+
+
 def classes(docs: DataFrame, keep: list[str], large: int = LARGE) -> DataFrame:
     """``keep`` of every row of ``docs`` (text), with k1, k2 (the text's key) and near_class, a number that rows share
     just if their texts are linked by chains of pairs of similarity SIMILAR or more.
@@ -311,10 +329,9 @@ def classes(docs: DataFrame, keep: list[str], large: int = LARGE) -> DataFrame:
     Rows of one multiset are one node. Buckets of nodes that share a band are first spanned by a star: each member
     against the least node. Verified pairs make components. Buckets that then still hold several components are compared
     in full across these, block by block: first by signatures, to find the members with a likely partner, then those
-    exactly, by matrix products of their bags. Such buckets of more than ``large`` members are split first: those of its
-    members are compared that share another such bucket, or one that isn't as large. So no bucket's pairs are listed and
-    none is cut off, and a link is missed only where all bands, all but one large one, or far too many components differ
-    by chance.
+    exactly, by matrix products of their bags. Buckets of any size are compared so, without the pairs within the largest
+    component; ``large`` only says from where on blocks grow. So no bucket's pairs are listed and none is cut off, and a
+    link is missed only where all bands or far too many components differ by chance.
 
     Texts without words are linked to equal texts alone. Null counts as empty; very long texts are read whole. Nulls in
     ``keep`` stay, but its columns named k1, k2 or near_class are replaced; rows that repeat are of one class; an empty
@@ -333,14 +350,8 @@ def classes(docs: DataFrame, keep: list[str], large: int = LARGE) -> DataFrame:
     links = materialise(verify(star, has))
     comp = components(links)
     where = materialise(members.select("key", "n", "node").join(comp, "node", "left").select("key", "n", "node", F.coalesce("comp", "node").alias("comp")))
-    small = where.filter(F.col("n") <= large)
-    left = several(small, small.groupBy("key"))
-    hot = where.filter(F.col("n") > large)
-    if not hot.isEmpty():
-        torn = materialise(hot.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("n")).filter("x <> y").select("key", "n"))
-        left = left.unionByName(paired(spread_join(hot.drop("n"), torn, ["key"], torn)))
-    left = materialise(left)
-    some = materialise(promising(left.join(nodes.select("node", "sig"), "node").select("key", "n", "node", "comp", "sig")))
+    left = materialise(mains(materialise(several(where, where.groupBy("key")))))
+    some = materialise(promising(left.join(nodes.select("node", "sig"), "node").select("key", "n", "node", "comp", "main", "rest", "sig"), large=large))
     if not some.isEmpty():
         n = materialise(some.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
         likely = materialise(left.drop("n").join(some, ["key", "node"]))

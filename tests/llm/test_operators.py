@@ -193,6 +193,34 @@ def test_tiles_find_every_link(spark):
         assert sorted(tuple(x) for x in nearcopies.promising(df, block=block).collect()) == [(5, 1), (5, 2)]
 
 
+def lone_bucket(spark):
+    """Three texts that are all in one bucket; the last two, which are similar, share no other one."""
+    w = [f"w{x}" for x in "99022 91150 86057 28879 75216 29627 28682 61188 74257 79089 91314 59740 19258 10189 76614 17038 40174 90313 90884 53583 40819 47607 78481 95366 52769 74048 26239 74669 82725 11628 74180 75269 68803 83114 57200 64725 9999 95430 80979 79546 44782 33289 77685 53892 98495 31974 52243 45055 59274".split()]
+    b, c, a = (" ".join({"w79546": "n418832"}.get(x, x) if k == 1 else {"w90313": "n757258", "w74669": "n240269", "w9999": "n186641"}.get(x, x) if k == 2 else x for x in w) for k in range(3))
+    return spark.createDataFrame([(0, a), (1, b), (2, c)], "doc_id long, text string").coalesce(1)
+
+
+@pytest.mark.parametrize("large", [1, 2, nearcopies.LARGE])
+def test_near_copies_that_share_one_large_bucket(spark, large):
+    got = {r["doc_id"]: r["near_class"] for r in nearcopies.classes(lone_bucket(spark), ["doc_id"], large).collect()}
+    assert got[1] == got[2] != got[0]
+
+
+def test_first_of_copies_that_share_one_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies.classes, "__defaults__", (2,))
+    assert sorted(r["doc_id"] for r in nearcopies.keep_first(lone_bucket(spark)).collect()) == [0, 1]
+
+
+@pytest.mark.parametrize(("block", "large"), [(2, 4), (3, 100), (512, 1)])
+def test_tiles_bring_components_together(spark, block, large):
+    rows = [(k, n, node, node if node % 3 == k else -1) for k, n in ((0, 30), (1, 7)) for node in range(n)]
+    buckets = nearcopies.mains(spark.createDataFrame(rows, "key long, n long, node long, comp long"))
+    met: set = set()
+    for r in nearcopies.tiles(buckets, block, large=large).groupBy("key", "i", "j").agg(F.collect_list(F.struct("node", "comp", "mine")).alias("x")).collect():
+        met |= {(r["key"], p["node"], q["node"]) for p in r["x"] for q in r["x"] if p["mine"] == r["i"] and q["mine"] == r["j"]}
+    assert all((k, p, q) in met or (k, q, p) in met for k, _, p, c in rows for h, _, q, d in rows if k == h and c != d)
+
+
 def test_windows_and_covered(spark):
     bench = spark.createDataFrame([("a", " ".join(f"w{i}" for i in range(15))), ("b", "one"), ("c", ""), (None, "x y")], "item_id string, text string")
     got = sorted((r["item_id"], r["len"], len(r["shingles"])) for r in decontaminate.windows(bench).collect())
