@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +50,50 @@ def table_cells(regions: DataFrame, tol: float = 0.0) -> DataFrame:
     return cell_grid(cells, tol).join(best, "page_id").select("page_id", "table", "id", "row", "col", "row_span", "col_span")
 
 
+def _holes(r: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, ...]:
+    """``holes_of`` for regions of ``n`` pages as arrays: the median height of ink of each page, the ground regions that
+    stand in ink, their places among the regions, and holes and cells of every region."""
+    h = r["y1"] - r["y0"] + 1
+    ink = np.flatnonzero(r["ink"])
+    order = ink[np.lexsort((h[ink], r["page"][ink]))]
+    count = np.bincount(r["page"][ink], minlength=n)
+    med = np.zeros(n, np.int64)
+    own = np.flatnonzero(count)
+    med[own] = h[order[(np.cumsum(count) - count + count // 2)[own]]]
+    hole = np.flatnonzero(~r["ink"] & (r["parent"] >= 0))
+    by = np.lexsort((r["id"][ink], r["page"][ink]))
+    wide = int(r["id"].max(initial=0)) + 1
+    at = ink[by[np.searchsorted((r["page"] * wide + r["id"])[ink[by]], (r["page"] * wide + r["parent"])[hole])]]
+    big = (r["x1"] - r["x0"] + 1 >= med[r["page"]]) & (h >= med[r["page"]])
+    return med, hole, at, np.bincount(at, minlength=len(h)), np.bincount(at, big[hole], minlength=len(h)).astype(np.int64)
+
+
+def objects_of(r: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``page_objects`` for regions of ``n`` whole pages as ``kernel.regions`` gives them: the places of objects among
+    the regions, by page and rank, with type, holes and rank."""
+    med, _, _, holes, cells = _holes(r, n)
+    w, h = r["x1"] - r["x0"] + 1, r["y1"] - r["y0"] + 1
+    fill = r["area"] / (w * h)
+    large = np.maximum(w, h) >= SCALE * med[r["page"]]
+    rule = r["ink"] & (fill > 0.8) & (np.maximum(w, h) >= 20 * np.maximum(1, np.minimum(w, h)))
+    table = r["ink"] & ~rule & large & (cells >= 2)
+    hollow = np.flatnonzero(r["ink"] & ~rule & ~table & large & (fill < HOLLOW) & (holes > 0))
+    ink = np.flatnonzero(r["ink"])
+    ink = ink[np.lexsort((r["y0"][ink], r["page"][ink]))]
+    tall = int(r["y1"].max(initial=0)) + 2
+    key = (r["page"] * tall + r["y0"])[ink]
+    lo, hi = np.searchsorted(key, (r["page"] * tall + r["y0"])[hollow]), np.searchsorted(key, (r["page"] * tall + r["y1"])[hollow], "right")
+    x0, x1, y1 = (r[k][ink] for k in ("x0", "x1", "y1"))
+    diagram = np.zeros(len(w), bool)
+    for a, z, i in zip(lo.tolist(), hi.tolist(), hollow.tolist(), strict=True):
+        within = (x0[a:z] >= r["x0"][i]) & (x1[a:z] <= r["x1"][i]) & (y1[a:z] <= r["y1"][i])
+        diagram[i] = within.sum() > 1  # itself is one of them
+    at = np.flatnonzero(rule | table | diagram)
+    at = at[np.lexsort((r["id"][at], -(w * h)[at], r["page"][at]))]
+    rank = np.arange(len(at)) - np.searchsorted(r["page"][at], r["page"][at]) + 1
+    return at, np.where(rule[at], "rule", np.where(table[at], "table", "diagram")), holes[at], rank
+
+
 def drop_thin_columns(cells: DataFrame, share: float = 0.02) -> DataFrame:
     """Cells (page_id, id, row, col, x0, x1) of columns whose median span is at least ``share`` of the table's width and
     isn't within that of a wider one; columns are numbered anew."""

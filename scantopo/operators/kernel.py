@@ -177,6 +177,13 @@ def nested(ink: Runs, heights: np.ndarray, width: int) -> tuple[np.ndarray, ...]
     return page, is_ink, name, around, depth
 
 
+def regions(ink: Runs, heights: np.ndarray, width: int) -> dict[str, np.ndarray]:
+    """The regions of ``nested``, ink first, with the sums and boxes of ``components``."""
+    page, is_ink, name, around, _ = nested(ink, heights, width)
+    both = [components(ink, 1), components(ground(ink, heights, width), 0)]
+    return {"page": page, "ink": is_ink, "id": name, "parent": around} | {k: np.concatenate([c[k] for c in both]) for k in ("area", "x0", "y0", "x1", "y1")}
+
+
 def bitmap(r: Runs, grid: int = 12) -> tuple[np.ndarray, list[np.ndarray]]:
     """Pages, and any ink in each cell of a ``grid`` over the box around each page's ink, as three words of grid / 3 rows.
 

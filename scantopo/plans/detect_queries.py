@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scantopo.operators import detect as D
 from scantopo.operators import formulas as FM
 from scantopo.operators import geometry as G
+from scantopo.operators import kernel
 from scantopo.operators import topology as T
 from scantopo.plans.catalogue import query, table
 from scantopo.plans.spatial_queries import B, GROUPS, boxes
@@ -54,7 +57,15 @@ def region_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("page_objects")
 def page_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.page_objects(region_boxes(spark, sf_dir))
+    """Objects of each page, found within the page pass; ``D.page_objects`` is for regions from elsewhere."""
+
+    def f(texts):
+        r = kernel.regions(R.rasterise(texts), R.heights(texts), R.WIDTH)
+        at, kind, holes, rank = D.objects_of(r, len(texts))
+        box = [r[k][at].astype(np.int32) for k in ("x0", "y0", "x1", "y1")]
+        return r["page"][at], [r["id"][at], pa.array(kind, pa.string()), *box, r["area"][at], holes, rank.astype(np.int32)]
+
+    return R.pages(docs(spark, sf_dir), f, "id long, type string, x0 int, y0 int, x1 int, y1 int, area long, holes long, rank int")
 
 
 @query("table_cells")

@@ -7,7 +7,8 @@ import math
 import duckdb
 import pytest
 
-from scantopo.plans import catalogue
+from scantopo.operators import detect
+from scantopo.plans import catalogue, detect_queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -38,3 +39,18 @@ def test_oracle(spark, sf, con, name):
 def test_runs(spark, sf, name):
     df = catalogue.QUERIES[name](spark, sf)
     assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
+
+
+@pytest.mark.parametrize(("name", "operator"), [("page_objects", detect.page_objects)])
+def test_objects_in_the_page_pass(spark, sf, tmp_path, name, operator):
+    """One pass without a shuffle gives what the operators on frames of regions give."""
+    lines = ["x" * 64, "x" + "a" * 62 + "x", *["xa" + ("b" * 19 + "a") * 3 + "x"] * 5, "x" + "a" * 62 + "x", *["xa" + ("b" * 29 + "a") * 2 + "x"] * 4, "x" + "a" * 62 + "x"]
+    ring = ["x" * 64, "x" + "a" * 40, *["xa" + "b" * 38 + "a"] * 4, "xa" + "b" * 9 + "aa" + "b" * 27 + "a", *["xa" + "b" * 38 + "a"] * 4, "x" + "a" * 40]
+    texts = ["\n".join(x.ljust(63, "x")[:63] for x in lines) + "\n", "\n".join(x.ljust(63, "x")[:63] for x in ring), "", None, "a", "bcd", "a" * 200, "abe" * 100]
+    odd = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    odd.unionByName(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalogue.QUERIES[name](spark, str(tmp_path))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = operator(detect_queries.region_boxes(spark, str(tmp_path)))
+    assert got.schema.simpleString() == want.schema.simpleString() and want.filter("page_id < 0").count() > 0
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
