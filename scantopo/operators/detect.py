@@ -94,6 +94,40 @@ def objects_of(r: dict[str, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray
     return at, np.where(rule[at], "rule", np.where(table[at], "table", "diagram")), holes[at], rank
 
 
+def _band(page: np.ndarray, value: np.ndarray, tol: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of the band of each value on its page, and page and value of the first of each band, sorted."""
+    order = np.lexsort((value, page))
+    p, v = page[order], value[order]
+    fresh = np.r_[True, p[1:] != p[:-1]] if len(p) else np.zeros(0, bool)
+    new = fresh | np.r_[True, v[1:] - v[:-1] > tol] if len(p) else fresh
+    number = np.cumsum(new)
+    band = np.empty(len(p), np.int64)
+    band[order] = number - number[np.searchsorted(p, p)] if len(p) else number
+    return band, p[new], v[new]
+
+
+def cells_of(r: dict[str, np.ndarray], n: int, tol: float = 0.0) -> tuple[np.ndarray, ...]:
+    """``table_cells`` for regions of ``n`` whole pages as ``kernel.regions`` gives them: the places of the cells among the
+    regions, table, row, column and the spans of both."""
+    _, hole, at, holes, _ = _holes(r, n)
+    some = np.flatnonzero(holes)
+    some = some[np.lexsort((r["id"][some], -holes[some], r["page"][some]))]
+    best = np.full(n, -1)
+    pages, first = np.unique(r["page"][some], return_index=True)
+    best[pages] = some[first]
+    own = hole[best[r["page"][hole]] == at]
+    page, out = r["page"][own], []
+    for lo, hi in (("y0", "y1"), ("x0", "x1")):
+        a, z = r[lo][own], r[hi][own]
+        band, p, v = _band(page, a, tol)
+        low = int(v.min(initial=0))
+        wide = int(max(v.max(initial=0), z.max(initial=0))) - low + 1
+        key = p * wide + v - low
+        span = np.searchsorted(key, page * wide + z - low) - np.searchsorted(key, page * wide + a - low)
+        out.append((band, np.maximum(1, span)))
+    return own, r["id"][best[page]], out[0][0], out[1][0], out[0][1], out[1][1]
+
+
 def drop_thin_columns(cells: DataFrame, share: float = 0.02) -> DataFrame:
     """Cells (page_id, id, row, col, x0, x1) of columns whose median span is at least ``share`` of the table's width and
     isn't within that of a wider one; columns are numbered anew."""

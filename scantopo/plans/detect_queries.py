@@ -70,7 +70,14 @@ def page_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("table_cells")
 def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.table_cells(region_boxes(spark, sf_dir), 1)
+    """Cells of each page's table, found within the page pass; ``D.table_cells`` is for regions from elsewhere."""
+
+    def f(texts):
+        r = kernel.regions(R.rasterise(texts), R.heights(texts), R.WIDTH)
+        at, best, row, col, rows, cols = D.cells_of(r, len(texts), 1)
+        return r["page"][at], [best, r["id"][at], row, col, rows.astype(np.int32), cols.astype(np.int32)]
+
+    return R.pages(docs(spark, sf_dir), f, "table long, id long, row long, col long, row_span int, col_span int")
 
 
 _READ = "SELECT l_orderkey AS page_id, l_linenumber AS row, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q FROM lineitem WHERE {} GROUP BY ALL"

@@ -41,7 +41,7 @@ def test_runs(spark, sf, name):
     assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
 
 
-@pytest.mark.parametrize(("name", "operator"), [("page_objects", detect.page_objects)])
+@pytest.mark.parametrize(("name", "operator"), [("page_objects", detect.page_objects), ("table_cells", lambda r: detect.table_cells(r, 1))])
 def test_objects_in_the_page_pass(spark, sf, tmp_path, name, operator):
     """One pass without a shuffle gives what the operators on frames of regions give."""
     lines = ["x" * 64, "x" + "a" * 62 + "x", *["xa" + ("b" * 19 + "a") * 3 + "x"] * 5, "x" + "a" * 62 + "x", *["xa" + ("b" * 29 + "a") * 2 + "x"] * 4, "x" + "a" * 62 + "x"]
