@@ -247,13 +247,29 @@ def topology_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rotation_survival")
 def rotation_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of crops of all pages that keep their holes, and their components, when turned by a small angle."""
-    line = F.col("line")
-    r = R.runs(docs(spark, sf_dir)).select((F.col("page_id") * _KEY + F.floor(line / CROP)).alias("page_id"), (line % CROP).cast("int").alias("line"), "lo", "hi")
-    source, out = _topology(r), None
-    for deg in (0.0, 0.5, 3.0, -3.0):
-        c, s = float(np.cos(np.radians(deg))), float(np.sin(np.radians(deg)))
-        turned = _topology(G.transport(r, (c, s, -s, c, 8.0, 8.0), R.WIDTH + 16, CROP + 16)).select("page_id", F.col("components").alias("c"), F.col("holes").alias("h"))
-        j = source.join(turned, "page_id", "left").agg(F.lit(deg).alias("degrees"), F.avg(F.col("holes").eqNullSafe(F.col("h")).cast("double")).alias("holes_kept"), F.avg(F.col("components").eqNullSafe(F.col("c")).cast("double")).alias("components_kept"))
-        out = j if out is None else out.unionByName(j)
-    return out
+    """Shares of crops of all pages that keep their holes, and their components, when turned by a small angle; counted
+    within the page pass."""
+    angles = (0.0, 0.5, 3.0, -3.0)
+
+    def count(r: kernel.Runs, n: int) -> tuple[np.ndarray, np.ndarray]:
+        c = kernel.components(r)
+        crop = r.page[c["first"]]
+        return np.bincount(crop, minlength=n), np.bincount(crop, c["n_edges"] - c["n_runs"] + 1, minlength=n).astype(np.int64)
+
+    def f(texts):
+        r = R.rasterise(texts)
+        crop = np.r_[0, np.cumsum((r.page[1:] != r.page[:-1]) | (r.line[1:] // CROP != r.line[:-1] // CROP))] if len(r) else r.page
+        r = kernel.Runs(crop, r.line % CROP, r.lo, r.hi)
+        n = int(crop[-1]) + 1 if len(r) else 0
+        components, holes = count(r, n)
+        kept = [n]
+        for deg in angles:
+            c, s = float(np.cos(np.radians(deg))), float(np.sin(np.radians(deg)))
+            turned, through = count(G.moved(r, (c, s, -s, c, 8.0, 8.0), R.WIDTH + 16, CROP + 16), n)
+            kept += [((through == holes) & (turned > 0)).sum(), (turned == components).sum()]
+        return [0], [np.array([k], np.int64) for k in kept]
+
+    fields = ["n", *[f"{k}{i}" for i in range(len(angles)) for k in "hc"]]
+    total = R.pages(docs(spark, sf_dir), f, ", ".join(f"{k} long" for k in fields)).agg(*[F.sum(k).alias(k) for k in fields])
+    share = lambda k: F.try_divide(F.col(k).cast("double"), F.col("n").cast("double"))
+    return total.select(F.inline(F.array(*[F.struct(F.lit(deg).alias("degrees"), share(f"h{i}").alias("holes_kept"), share(f"c{i}").alias("components_kept")) for i, deg in enumerate(angles)])))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from test_topology import FIGURE_8, LETTER_H, NESTED, RING, mask
 
 from scantopo.functions import evidence
-from scantopo.operators import formulas, kernel, records, stats
+from scantopo.operators import formulas, geometry, kernel, records, stats
+from scantopo.plans import record_queries
 from scantopo.sources import images
 
 
@@ -106,3 +107,26 @@ def test_png_filters_both_ways(kind):
     rgb = np.random.default_rng(kind).integers(0, 256, (9, 11, 3))
     gray, dpi, neutral = images.read_png(images.write_png(rgb, 200.0, (kind,)))
     assert gray.tolist() == ((299 * rgb[..., 0] + 587 * rgb[..., 1] + 114 * rgb[..., 2] + 500) // 1000).tolist() and round(dpi) == 200 and not neutral
+
+
+@pytest.mark.parametrize("angle", [0.0, 0.5, 3.0, -3.0, 40.0])
+def test_moved_runs(spark, angle):
+    """Runs of whole pages moved as arrays are those that are moved as rows."""
+    rng = np.random.default_rng(5)
+    mask = rng.random((3, 16, 64)) < 0.4
+    r = kernel.from_mask(mask.ravel(), *[v.ravel() for v in np.indices(mask.shape)])
+    c, s = float(np.cos(np.radians(angle))), float(np.sin(np.radians(angle)))
+    m = (c, s, -s, c, 8.0, 8.0)
+    got = geometry.moved(r, m, 70, 30)
+    rows = [tuple(int(v) for v in x) for x in zip(r.page, r.line, r.lo, r.hi, strict=True)]
+    want = geometry.transport(spark.createDataFrame(rows, "page_id long, line int, lo int, hi int"), m, 70, 30).select("page_id", "line", "lo", "hi")
+    assert list(zip(*(v.tolist() for v in (got.page, got.line, got.lo, got.hi)), strict=True)) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("texts", [[], ["", None, "bcd"], ["a", "abe" * 700, "a" * 3000]])
+def test_rotation_within_the_page_pass(spark, tmp_path, texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = record_queries.rotation_survival(spark, str(tmp_path))
+    assert "SortMergeJoin" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "Window" not in plan
+    rows = [tuple(x) for x in got.collect()]
+    assert [x[0] for x in rows] == [0.0, 0.5, 3.0, -3.0] and rows[0][1:] == ((1.0, 1.0) if len(texts) == 3 and texts[0] else (None, None))
