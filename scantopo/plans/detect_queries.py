@@ -37,13 +37,12 @@ def warp_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fill_boxes", B + " SELECT page_id * 100 + id AS page_id, CAST(min(y0) AS BIGINT) AS first, CAST(max(y1) - min(y0) AS BIGINT) AS lines, CAST(sum((x1 - x0) * (y1 - y0)) AS BIGINT) AS area FROM b WHERE y1 > y0 GROUP BY ALL")
 def fill_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outlines of boxes, filled by winding."""
-    b = boxes(spark, sf_dir).filter("y1 > y0").withColumn("page_id", F.col("page_id") * 100 + F.col("id"))
+    """Outlines of boxes, filled by winding, each as a row; ``G.fill`` is for edges from elsewhere."""
+    b = boxes(spark, sf_dir).filter("y1 > y0")
     side = lambda *k: F.struct(*[F.col(c).alias(n) for c, n in zip(k, ("x0", "y0", "x1", "y1"), strict=True)])
-    e = b.select("page_id", F.inline(F.array(side("x0", "y0", "x1", "y0"), side("x1", "y0", "x1", "y1"), side("x1", "y1", "x0", "y1"), side("x0", "y1", "x0", "y0"))))
-    r = G.fill(e)
-    n = F.sum(F.col("hi") - F.col("lo") + 1).cast("long")
-    return r.groupBy("page_id").agg(F.min("line").cast("long").alias("first"), (F.max("line") - F.min("line") + 1).cast("long").alias("lines"), n.alias("area"))
+    edges = F.array(side("x0", "y0", "x1", "y0"), side("x1", "y0", "x1", "y1"), side("x1", "y1", "x0", "y1"), side("x0", "y1", "x0", "y0"))
+    r = G.outline_areas(b.select((F.col("page_id") * 100 + F.col("id")).alias("page_id"), edges.alias("edges")))
+    return r.groupBy("page_id").agg(F.min("first").alias("first"), (F.max("last") - F.min("first") + 1).alias("lines"), F.sum("area").alias("area"))
 
 
 def region_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:

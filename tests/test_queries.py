@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from scantopo.operators import detect
+from scantopo.operators import detect, geometry
 from scantopo.plans import catalogue, detect_queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -54,3 +56,27 @@ def test_objects_in_the_page_pass(spark, sf, tmp_path, name, operator):
     want = operator(detect_queries.region_boxes(spark, str(tmp_path)))
     assert got.schema.simpleString() == want.schema.simpleString() and want.filter("page_id < 0").count() > 0
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_boxes_filled_as_rows(spark, sf, tmp_path):
+    """Outlines are rows of their own up to the sum by their number, which boxes of two large orders may share."""
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * replace (CASE WHEN n < 300 THEN n % 2 + 1 ELSE l_orderkey END AS l_orderkey) from (select *, row_number() over () as n from '{sf}/lineitem.parquet') where n < 400")
+    con.execute(f"copy (select * exclude (n) from lineitem) to '{tmp_path}/lineitem.parquet'")
+    got = catalogue.QUERIES["fill_boxes"](spark, str(tmp_path))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
+    want = con.execute(catalogue.ORACLES["fill_boxes"]).fetchall()
+    assert len(want) < 390 and sorted(map(tuple, got.select("page_id", "first", "lines", "area").collect())) == sorted(want)
+
+
+def test_outline_areas(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for page in range(12):
+        corners = rng.integers(0, 40, (page % 5 + 2, 2)) / rng.choice([1, 2])
+        rows.append((page, [(*map(float, a), *map(float, b)) for a, b in zip(corners, np.roll(corners, -1, 0), strict=True)]))
+    rows += [(77, []), (78, None)]
+    outlines = spark.createDataFrame(rows, "page_id long, edges array<struct<x0:double,y0:double,x1:double,y1:double>>")
+    runs = geometry.fill(outlines.select("page_id", F.inline("edges")))
+    want = runs.groupBy("page_id").agg(F.min("line"), F.max("line"), F.sum(F.col("hi") - F.col("lo") + 1))
+    assert sorted(map(tuple, geometry.outline_areas(outlines).collect())) == sorted(map(tuple, want.collect())) and want.count() > 5
