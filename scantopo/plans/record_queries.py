@@ -252,9 +252,10 @@ def rotation_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
     angles = (0.0, 0.5, 3.0, -3.0)
 
     def count(r: kernel.Runs, n: int) -> tuple[np.ndarray, np.ndarray]:
-        c = kernel.components(r)
-        crop = r.page[c["first"]]
-        return np.bincount(crop, minlength=n), np.bincount(crop, c["n_edges"] - c["n_runs"] + 1, minlength=n).astype(np.int64)
+        up, down = kernel.edges(r)
+        first = np.flatnonzero(kernel.label(len(r), up, down) == np.arange(len(r)))
+        components = np.bincount(r.page[first], minlength=n)
+        return components, np.bincount(r.page[down], minlength=n) - np.bincount(r.page, minlength=n) + components
 
     def f(texts):
         r = R.rasterise(texts)
