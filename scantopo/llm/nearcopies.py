@@ -19,6 +19,11 @@ SHINGLE, SIMILAR = 5, Fraction(4, 5)
 BANDS, ROWS = 32, 5
 #: Components of a signature that must agree for a pair to be verified: 5 standard deviations under 0.8.
 AGREE = 0.64
+#: Members of a bucket outside its largest component beyond which they meet by their rarest elements, if that is less
+#: work. Either way all pairs that are similar enough meet.
+MANY = 512
+#: Bins in which elements are counted to tell the rarest, and how many of them are summed in one row.
+BINS, CHUNK = 1 << 20, 1 << 12
 #: Members of a bucket compared in one block; larger buckets are compared block by block.
 BLOCK = 512
 #: Members of a bucket beyond which blocks of signatures grow with the root of its size, so that a row isn't copied into
@@ -230,8 +235,8 @@ def _tile(rows: list[tuple]) -> tuple:
 
 
 def promising(rows: DataFrame, agree: float = AGREE, block: int = BLOCK, large: int = LARGE) -> DataFrame:
-    """(key, node) of members of (key, n, node, comp, sig) whose signature agrees enough with one of another component
-    in their bucket."""
+    """(key, node) of members of (key, n, node, comp, sig) whose signature agrees enough, and in a whole band, with one of
+    another component in their bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, left, right, node, comp, sig in _by_tile(batches):
@@ -239,6 +244,7 @@ def promising(rows: DataFrame, agree: float = AGREE, block: int = BLOCK, large:
             for x in left:
                 y = right[comp[right] != comp[x]]
                 y = y[(s[y] == s[x]).mean(1) >= agree] if len(y) else y
+                y = y[(s[y] == s[x]).reshape(len(y), BANDS, ROWS).all(2).any(1)] if len(y) else y
                 hit[y] = True
                 hit[x] |= len(y) > 0
             yield pa.RecordBatch.from_arrays([pa.array(np.full(hit.sum(), key, np.int64)), pa.array(node[hit])], names=["key", "node"])
@@ -296,23 +302,73 @@ def across(rows: DataFrame, least: Fraction = SIMILAR, block: int = BLOCK) -> Da
     return tiles(rows, block, "bag").mapInArrow(run, "a long, b long").distinct()
 
 
-def paired(hot: DataFrame) -> DataFrame:
-    """Buckets (key, n, node, comp) for each two of the buckets ``hot`` (key, node, comp) that a node is in, where
-    members of different components meet; one of those with the same members. ``classes`` doesn't split by it, as pairs
-    that share one bucket alone would not meet."""
-    keys = hot.groupBy("node", "comp").agg(F.sort_array(F.collect_set("key")).alias("ks")).filter("size(ks) > 1")
-    two = F.expr("flatten(transform(sequence(0, size(ks) - 2), i -> transform(slice(ks, i + 2, size(ks)), k -> xxhash64(ks[i], k))))")
-    rows = materialise(keys.select("node", "comp", F.explode(two).alias("key")))
-    return several(rows, rows.groupBy("key"))
-
-
-def several(rows: DataFrame, by_key) -> DataFrame:
-    """The rows (key, node, comp) of buckets that hold several components, with n; one of buckets with the same members."""
-    torn = by_key.agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("set"), F.count(F.lit(1)).alias("n"))
+def paired(rows: DataFrame) -> DataFrame:
+    """The rows (key, node, comp) of buckets of any size that hold several components, with n: all members of one, so that
+    pairs meet that share one bucket alone. One of the buckets with the same members."""
+    torn = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("set"), F.count(F.lit(1)).alias("n"))
     torn = materialise(torn.filter("x <> y").groupBy("set", "n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"))
     return spread_join(rows.select("key", "node", "comp"), torn, ["key"], torn).select("key", "n", "node", "comp")
 
 
+def levels(bags: DataFrame, bins: int = BINS) -> np.ndarray:
+    """For each bin of hashes the binary digits of the number of elements of ``bags`` (bag) in it. Tasks send sums of
+    whole bins, and a byte a bin reaches the driver, however many elements there are."""
+    chunk = min(CHUNK, bins)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(bins, np.int64)
+        for b in batches:
+            for x in b.column(0):
+                np.add.at(n, (np.frombuffer(x.as_buffer(), U) & U(bins - 1)).view(np.int64), 1)
+        own = np.flatnonzero(n.reshape(-1, chunk).any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([x.tobytes() for x in n.reshape(-1, chunk)[own]], pa.binary())], names=["at", "n"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                n[at] = n.get(at, 0) + np.frombuffer(x.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array([np.frexp(x.astype(float))[1].astype(np.uint8).tobytes() for x in n.values()], pa.binary())], names=["at", "n"])
+
+    out = np.zeros((bins // chunk, chunk), np.uint8)
+    for r in bags.mapInArrow(count, "at long, n binary").repartition("at").mapInArrow(total, "at long, n binary").collect():
+        out[r["at"]] = np.frombuffer(r["n"], np.uint8)
+    return out.ravel()
+
+
+def rarest(bags: DataFrame, least: Fraction = SIMILAR, bins: int = BINS) -> DataFrame:
+    """Buckets (key, n, node, comp) of the nodes of ``bags`` (node, comp, bag) by elements they share, in which any two
+    of different components meet whose bags are similar enough.
+
+    Such bags share ``least`` of the elements of each. With all elements in one order, both then hold one of those they
+    share among their first, if these are one more than the others may be missing. Any order does; rare elements come
+    first here by the counts of bins, so that what many texts have in common brings few of them together.
+    """
+    shared = bags.sparkSession.sparkContext.broadcast(levels(bags.select("bag"), bins))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = shared.value
+        for b in batches:
+            keys, of, held = [], [], 0
+            for i, x in enumerate(b.column(2)):
+                h = np.frombuffer(x.as_buffer(), U)
+                first = len(h) + 1 + -len(h) * least.numerator // least.denominator
+                keys.append(h[np.argsort(level[h & U(bins - 1)], kind="stable")[:first]])  # h is sorted
+                of.append(np.full(len(keys[-1]), i))
+                held += first
+                if held > 1 << 20 or i + 1 == len(b):
+                    at = pa.array(np.concatenate(of))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), b.column(0).take(at), b.column(1).take(at)], names=["key", "node", "comp"])
+                    keys, of, held = [], [], 0
+
+    return paired(materialise(bags.select("node", "comp", "bag").mapInArrow(run, "key long, node long, comp long")))
+
+
+def pairs(rows: DataFrame) -> float:
+    """Pairs of members that don't both belong to the main component, in all buckets (key, n, rest, ...) of ``mains``."""
+    return rows.agg(F.sum(F.col("rest") * (F.col("n") - F.col("rest") / 2) / F.col("n"))).collect()[0][0] or 0.0
+
+
 def mains(rows: DataFrame) -> DataFrame:
     """The rows (key, n, node, comp) of buckets with ``main``, whether a row is of the component with most rows in its
     bucket, and ``rest``, how many rows are of others."""
@@ -322,7 +378,7 @@ def mains(rows: DataFrame) -> DataFrame:
     return told.select("key", "n", "node", "comp", (F.col("comp") == F.col("top")).alias("main"), "rest")
 
 
-def classes(docs: DataFrame, keep: list[str], large: int = LARGE) -> DataFrame:
+def classes(docs: DataFrame, keep: list[str], large: int = MANY) -> DataFrame:
     """``keep`` of every row of ``docs`` (text), with k1, k2 (the text's key) and near_class, a number that rows share
     just if their texts are linked by chains of pairs of similarity SIMILAR or more.
 
@@ -330,8 +386,9 @@ def classes(docs: DataFrame, keep: list[str], large: int = LARGE) -> DataFrame:
     against the least node. Verified pairs make components. Buckets that then still hold several components are compared
     in full across these, block by block: first by signatures, to find the members with a likely partner, then those
     exactly, by matrix products of their bags. Buckets of any size are compared so, without the pairs within the largest
-    component; ``large`` only says from where on blocks grow. So no bucket's pairs are listed and none is cut off, and a
-    link is missed only where all bands or far too many components differ by chance.
+    component. Members of buckets with over ``large`` outside that one meet by their rarest elements instead, if that
+    makes fewer pairs: all that are similar enough still meet. So no bucket's pairs are listed and none is cut off, and
+    a link is missed only where all bands or far too many components differ by chance, whatever the size of the input.
 
     Texts without words are linked to equal texts alone. Null counts as empty; very long texts are read whole. Nulls in
     ``keep`` stay, but its columns named k1, k2 or near_class are replaced; rows that repeat are of one class; an empty
@@ -350,8 +407,13 @@ def classes(docs: DataFrame, keep: list[str], large: int = LARGE) -> DataFrame:
     links = materialise(verify(star, has))
     comp = components(links)
     where = materialise(members.select("key", "n", "node").join(comp, "node", "left").select("key", "n", "node", F.coalesce("comp", "node").alias("comp")))
-    left = materialise(mains(materialise(several(where, where.groupBy("key")))))
-    some = materialise(promising(left.join(nodes.select("node", "sig"), "node").select("key", "n", "node", "comp", "main", "rest", "sig"), large=large))
+    left = materialise(mains(materialise(paired(where))))
+    many = left.filter(F.col("rest") > large)
+    if not many.isEmpty():
+        shared = materialise(mains(materialise(rarest(materialise(many.select("node", "comp").distinct().join(has, "node"))))))
+        if pairs(shared) < pairs(many):
+            left = left.filter(F.col("rest") <= large).unionByName(shared)
+    some = materialise(promising(left.join(nodes.select("node", "sig"), "node").select("key", "n", "node", "comp", "main", "rest", "sig")))
     if not some.isEmpty():
         n = materialise(some.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
         likely = materialise(left.drop("n").join(some, ["key", "node"]))

@@ -211,6 +211,55 @@ def test_first_of_copies_that_share_one_large_bucket(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in nearcopies.keep_first(lone_bucket(spark)).collect()) == [0, 1]
 
 
+def test_paired_keeps_pairs_that_share_one_bucket(spark):
+    rows = [(1, 0, 0), (1, 1, 1), (2, 0, 0), (2, 2, 0), (3, 1, 1), (4, 0, 0), (4, 1, 1)]
+    got = nearcopies.paired(spark.createDataFrame(rows, "key long, node long, comp long")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 2, 0, 0), (1, 2, 1, 1)]
+
+
+@pytest.mark.parametrize("bins", [1, 16, nearcopies.BINS])
+def test_rarest_elements_bring_similar_bags_together(spark, bins):
+    r = random.Random(8)
+    base = [r.randrange(2**64) for _ in range(60)]
+    bags = [r.sample(base, r.choice([1, 4, 5, 9])) for _ in range(40)]
+    bags += [base[: 50 + i % 11] + [r.randrange(2**64) for _ in range(r.choice([0, 4, 9, 15, 40]))] for i in range(80)]
+    bags = [np.array(sorted(b), np.uint64) for b in bags]
+    df = spark.createDataFrame([(i, i % 50, b.tobytes()) for i, b in enumerate(bags)], "node long, comp long, bag binary")
+    by: dict = {}
+    for x in nearcopies.rarest(df, bins=bins).collect():
+        assert x["comp"] == x["node"] % 50
+        by.setdefault((x["key"], x["n"]), set()).add(x["node"])
+    assert all(len(v) == n for (_, n), v in by.items())
+    met = {(i, j) for v in by.values() for i in v for j in v}
+    near = {(i, j) for i in range(120) for j in range(i) if i % 50 != j % 50 and nearcopies.similar(bags[i], bags[j])}
+    assert len(near) > 300 and near <= met
+
+
+def test_levels_count_all_elements(spark):
+    h = np.arange(64, dtype=np.uint64)
+    df = spark.createDataFrame([(h[: i + 1].tobytes(),) for i in range(64)], "bag binary").repartition(5)
+    assert nearcopies.levels(df, 64).tolist() == [(64 - i).bit_length() for i in range(64)]
+
+
+def test_near_copies_of_one_template_at_any_size_of_bucket(spark, monkeypatch):
+    r = random.Random(9)
+    texts: list = []
+    for i in range(90):  # three quarters in common; every third like the one before
+        w = texts[-1].split() if i % 3 == 2 else [f"t{x}" for x in range(60)] + [f"u{r.randrange(10**9)}" for _ in range(20)]
+        texts.append(" ".join([*w[:-2], f"e{i}", w[-1]]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    met: list = []
+    promising = nearcopies.promising
+    monkeypatch.setattr(nearcopies, "promising", lambda rows, **k: met.append(nearcopies.pairs(rows)) or promising(rows, **k))
+    want = brute.near_classes(texts)
+    for large in (1, 20, nearcopies.MANY):
+        got: dict = {}
+        for x in nearcopies.classes(docs, ["doc_id"], large).collect():
+            got.setdefault(x["near_class"], set()).add(x["doc_id"])
+        assert sorted(map(sorted, got.values())) == sorted(sorted(i for i, c in enumerate(want) if c == x) for x in set(want))
+    assert len(set(want)) == 60 and met[0] < 90 < met[2]
+
+
 @pytest.mark.parametrize(("block", "large"), [(2, 4), (3, 100), (512, 1)])
 def test_tiles_bring_components_together(spark, block, large):
     rows = [(k, n, node, node if node % 3 == k else -1) for k, n in ((0, 30), (1, 7)) for node in range(n)]
