@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,31 @@ HOT_CONTEXTS = 2_000
 SORT_BYTES = 4 << 20
 
 
+class Asked:
+    """What a column of lists asks of the texts beside it: contexts, or structs with one, each found by text and context."""
+
+    def __init__(self, lists: pa.ListArray):
+        self.flat = lists.flatten()
+        self.count = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        context = self["context"] if pa.types.is_struct(self.flat.type) else self.flat.to_numpy()
+        self.names, rank = np.unique(context, return_inverse=True)
+        key = np.repeat(np.arange(len(lists)), self.count) * len(self.names) + rank
+        self.at = np.argsort(key, kind="stable")
+        self.key = key[self.at]
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self.flat.field(name).to_numpy(zero_copy_only=False)
+
+    def rows(self, text: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each text and context the first and the end of its rows in ``at``; -1, -1 if it has none."""
+        if not len(self.key):
+            return np.full(len(text), -1), np.full(len(text), -1)
+        i = np.minimum(np.searchsorted(self.names, context), len(self.names) - 1)
+        key = np.where(self.names[i] == context, text * len(self.names) + i, -1)
+        lo, hi = (np.searchsorted(self.key, key, side) for side in ("left", "right"))
+        return np.where(lo < hi, lo, -1), np.where(lo < hi, hi, -1)
+
+
 @dataclass
 class Segments:
     """Runs of suffixes that have their leading digit in common; positions are in ``buffer`` or in the text."""
@@ -107,18 +133,16 @@ def segments(parts: list[tuple[int, int, bytes]], length: int = LENGTH, gram: in
 def repeated(raw: bytes, start: np.ndarray, n: np.ndarray, key: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Whether each suffix occurs twice, for ``n`` suffixes from each ``start`` in ``raw``: the radix passes.
 
-    ``key`` is what suffixes of equal strings have in common beforehand, one for each.
+    ``key`` is what suffixes of equal strings have in common beforehand, one for each. ``raw`` is under 2 GB.
     """
     total = int(n.sum())
-    pos = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)
-    digits = np.frombuffer(raw + bytes(8), np.uint8)
-    word = np.zeros(len(raw) + 1, U)
-    for i in range(8):
-        word = (word << U(8)) | digits[i : i + len(raw) + 1].astype(U)
-    live = np.argsort(key, kind="stable")
+    pos = np.repeat((start - np.concatenate([[0], np.cumsum(n)[:-1]])).astype(np.int32), n)
+    pos += np.arange(total, dtype=np.int32)
+    word = np.ndarray(len(raw) + 1, ">u8", raw + bytes(8), strides=(1,))  # the eight bytes from each place, as they lie
+    live = np.argsort(key, kind="stable").astype(np.int32)
     group = key[live]
     for depth in [None, *range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
-        digit = np.zeros(len(live), U) if depth is None else word[pos[live] + depth]
+        digit = np.zeros(len(live), U) if depth is None else word[pos[live] + np.int32(depth)].astype(U)
         if depth is not None:
             same = digit == digit[np.flatnonzero(first)][group]
             if same.all():
@@ -131,7 +155,7 @@ def repeated(raw: bytes, start: np.ndarray, n: np.ndarray, key: np.ndarray, leng
         new = np.r_[True, (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])] if len(live) else np.empty(0, bool)
         several = ~(new & np.r_[new[1:], True]) if len(live) else new
         live, first = live[several], new[several]
-        group = np.cumsum(first) - 1
+        group = np.cumsum(first, dtype=np.int32) - np.int32(1)
         if not len(live):
             break
     out = np.zeros(total, bool)
@@ -173,19 +197,19 @@ def find(keyed: DataFrame, carry: list[str], copies: DataFrame, length: int = LE
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k1, k2, wants = (b.column(b.num_columns - 3 + i).to_pylist() for i in range(3))
-            for base, _, texts in slices(b.column(0), PIECE):
+            k1, k2 = (b.column(b.num_columns - 3 + i).to_numpy() for i in range(2))
+            for lo, hi, texts in slices(b.column(0), PIECE):
+                want = Asked(b.column(b.num_columns - 1).slice(lo, hi - lo))
                 for parts in pieces(texts, length):
-                    s, out, seen = segments(parts, length), [], set()
-                    names = {i: {w["context"]: w for w in wants[base + i]} for i in {p[0] for p in parts}}
-                    for j, (i, c) in enumerate(zip(s.text.tolist(), s.context.tolist(), strict=True)):
-                        if (w := names[i].get(c)) and (i, c) not in seen:
-                            seen.add((i, c))
-                            a, n = int(s.at[j]), int(s.n[j])
-                            out.append((int(s.gram[j]), c, k1[base + i], k2[base + i], w["contexts"], w["single"], int(s.offset[j]), n, s.buffer[a : a + n - 1 + length].tobytes()))
-                    if out:
-                        kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["gram", "context", "k1", "k2", "contexts", "single", "off", "n", "raw"])
+                    s = segments(parts, length)
+                    row, _ = want.rows(s.text, s.context)
+                    j = np.flatnonzero(row >= 0)
+                    j = j[np.sort(np.unique(row[j], return_index=True)[1])]  # a context once
+                    if len(j):
+                        own, w = lo + s.text[j], want.at[row[j]]
+                        raw = [s.buffer[a:z].tobytes() for a, z in zip(s.at[j], s.at[j] + s.n[j] - 1 + length, strict=True)]
+                        cols = [s.gram[j], s.context[j], k1[own], k2[own], want["contexts"][w], want["single"][w], s.offset[j].astype(np.int32), s.n[j].astype(np.int32)]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(raw, pa.binary())], names=["gram", "context", "k1", "k2", "contexts", "single", "off", "n", "raw"])
 
     # copies of a text show the same; a context counts once
     shown = spread_join(keyed, materialise(asked), ["k1", "k2"], copies).select("text", *carry, "k1", "k2", "want").mapInArrow(show, schema)
@@ -268,53 +292,49 @@ def remove(docs: DataFrame, keep: list[str], length: int = LENGTH, hot: int = HO
     rows = docs.select("text", *own.take, *text_key(F.col("text")))
     copies = materialise(rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_ROWS))
     hits = find(rows, own.inner, copies, length, hot)
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, texts in slices(b.column(0), PIECE):
-                whole, part = (b.column(b.num_columns - 2 + i).slice(lo, hi - lo).to_pylist() for i in range(2))
-                found = [_merge(e) for e in _edges(texts, whole, part, length)]
-                kept = [_without(t, e) for t, e in zip(texts, found, strict=True)]
-                spans = [[{"start": x, "end": y} for x, y in e] for e in found]
+                whole, part = (Asked(b.column(b.num_columns - 2 + i).slice(lo, hi - lo)) for i in range(2))
+                text, start, end = _merge(*_edges(texts, whole, part, length))
+                first = np.searchsorted(text, np.arange(len(texts) + 1))
+                kept = [_without(t, start[a:z].tolist(), end[a:z].tolist()) for t, a, z in zip(texts, first[:-1], first[1:], strict=True)]
+                spans = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.StructArray.from_arrays([pa.array(start), pa.array(end)], names=["start", "end"]))
                 carried = [c.slice(lo, hi - lo) for c in b.columns[1 : 1 + len(own.inner)]]
-                yield pa.RecordBatch.from_arrays([*carried, pa.array([len(t) for t in texts], pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=[*own.inner, "n_bytes", "spans", "kept"])
+                yield pa.RecordBatch.from_arrays([*carried, pa.array([len(t) for t in texts], pa.int64()), spans, pa.array(kept, pa.binary())], names=[*own.inner, "n_bytes", "spans", "kept"])
 
     joined = spread_join(rows, materialise(hits), ["k1", "k2"], copies, "left").select("text", *own.inner, "whole", "part")
     return joined.mapInArrow(cut, f"{own.fields}n_bytes long, spans array<struct<start:long,end:long>>, kept binary").select(*own.back, "n_bytes", "spans", "kept")
 
 
-def _edges(texts: list[bytes], whole: list, part: list, length: int) -> list[list[tuple[int, int]]]:
-    """For each text the bytes under its repeated suffixes, as spans that may overlap."""
-    out: list[list[tuple[int, int]]] = [[] for _ in texts]
-    wholes = {i: set(w) for i, w in enumerate(whole) if w}
-    partial: dict[int, dict[int, list]] = {}
-    for i, p in enumerate(part):
-        for x in p or ():
-            partial.setdefault(i, {}).setdefault(x["context"], []).append((x["lo"], x["hi"]))
-    for group in pieces([t if whole[i] or part[i] else b"" for i, t in enumerate(texts)], length):
+def _edges(texts: list[bytes], whole: Asked, part: Asked, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes under the texts' repeated suffixes, as (text, start, end); they may overlap."""
+    out: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 3]
+    rel = [part[x].astype(np.int64) for x in ("lo", "hi")]
+    for group in pieces([t if whole.count[i] or part.count[i] else b"" for i, t in enumerate(texts)], length):
         s = segments(group, length)
-        for i, lo, n, c in zip(s.text.tolist(), s.lo.tolist(), s.n.tolist(), s.context.tolist(), strict=True):
-            if c in wholes.get(i, ()):
-                out[i].append((lo, lo + n - 1 + length))
-            else:
-                out[i] += [(lo + x, lo + y - 1 + length) for x, y in partial.get(i, {}).get(c, ())]
-    return out
-
-
-def _merge(spans: list[tuple[int, int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for a, z in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(z, out[-1][1])
-        else:
-            out.append([a, z])
-    return out
-
-
-def _without(text: bytes, spans: list[list[int]]) -> bytes:
-    out, at = [], 0
-    for a, z in spans:
-        out.append(text[at:a])
-        at = z
-    return b"".join([*out, text[at:]])
+        all_ = whole.rows(s.text, s.context)[0] >= 0
+        out.append((s.text[all_], s.lo[all_], (s.lo + s.n - 1 + length)[all_]))
+        first, end = (x[~all_] for x in part.rows(s.text, s.context))
+        j = np.repeat(np.flatnonzero(~all_), end - first)
+        at = part.at[np.repeat(first - np.concatenate([[0], np.cumsum(end - first)[:-1]]), end - first) + np.arange(len(j))]
+        out.append((s.text[j], s.lo[j] + rel[0][at], s.lo[j] + rel[1][at] - 1 + length))
+    text, start, end = (np.concatenate(x) for x in zip(*out, strict=True))
+    return text, start, end
+
+
+def _merge(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's spans in order, those that overlap or touch as one."""
+    if not len(text):
+        return text, start, end
+    order = np.lexsort((start, text))
+    shift = text[order] * (int(end.max()) + 1)  # texts one after another
+    a, z = start[order] + shift, np.maximum.accumulate(end[order] + shift)
+    new = np.r_[True, a[1:] > z[:-1]]
+    last = np.r_[new[1:], True]
+    return text[order][new], (a - shift)[new], (z - shift)[last]
+
+
+def _without(text: bytes, starts: list[int], ends: list[int]) -> bytes:
+    return b"".join(text[a:z] for a, z in zip([0, *ends], [*starts, len(text)], strict=True))

@@ -13,6 +13,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -46,6 +47,34 @@ def test_radix_passes(texts, extra):
     assert hit.tolist() == [count[t[p : p + length]] > 1 for t in raw for p in range(len(t) - length + 1)], repeated
 
 
+def test_radix_passes_memory():
+    r = np.random.default_rng(5)
+    half = r.integers(97, 123, 2 << 20).astype(np.uint8).tobytes()
+    raw = half + half  # as many bytes as a task sorts at once
+    start = np.arange(0, len(raw) - 267, 268)
+    n = np.full(len(start), 69)
+    key = np.zeros(int(n.sum()), int)
+    tracemalloc.start()
+    repeats.repeated(raw, start, n, key)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * len(raw)
+
+
+def test_asked_by_text_and_context():
+    r = random.Random(6)
+    lists = [r.choice([None, [], [{"context": r.randrange(-4, 4), "lo": i} for i in range(5)]]) for _ in range(40)]
+    kind = pa.list_(pa.struct([("context", pa.int64()), ("lo", pa.int32())]))
+    for own in (lists, lists[7:30], [None, []]):
+        column = pa.array(own, kind) if own != lists[7:30] else pa.array(lists, kind).slice(7, 23)
+        asked = repeats.Asked(column)
+        text, context = (x.ravel() for x in np.meshgrid(np.arange(len(own)), np.arange(-6, 6)))
+        lo, hi = asked.rows(text, context)
+        for i, c, a, z in zip(text.tolist(), context.tolist(), lo.tolist(), hi.tolist(), strict=True):
+            want = [x["lo"] for x in own[i] or () if x["context"] == c]
+            assert asked["lo"][asked.at[a:z]].tolist() == want and (a >= 0) == bool(want)
+
+
 def test_repeats_general(spark):
     r = random.Random(3)
     block = "".join(r.choice("abcd ") for _ in range(400))
